@@ -45,3 +45,13 @@ def day_number(date: Column | str) -> Column:
 def is_trading_day(date: Column) -> Column:
     """Monday to Friday; Sunday is 0 and Saturday 6 here."""
     return ~(F.dayofweek(date) - 1).isin(0, 6)
+
+
+def instant(wall: Column | str) -> Column:
+    """A zone-less time as an instant, read as UTC whatever the session zone; watermarks need instants."""
+    return F.timestamp_micros(F.timestamp_diff("MICROSECOND", ts("1970-01-01 00:00:00"), F.col(wall) if isinstance(wall, str) else wall))
+
+
+def wall(moment: Column | str) -> Column:
+    """Inverse of :func:`instant`."""
+    return F.timestamp_add("MICROSECOND", F.unix_micros(moment), ts("1970-01-01 00:00:00")).cast("timestamp_ntz")

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from tidemark.operators import features as f, nav as n, training as tr
 from tidemark.plans.registry import plain, query
-from tidemark.plans.sqlbase import LAST60, NAV_W, r, using
+from tidemark.plans.sqlbase import LAST60, NAV_W, r, single, using
 
 W = "PARTITION BY security_id ORDER BY trade_date"
 
@@ -33,9 +33,9 @@ SPANS = (5, 20, 50, 200)
 
 
 @query("feat_sma", using("brand_prices") + f"SELECT {KEY}, " + ", ".join(
-    r(f"avg(close_price) OVER {rows(k)}", 5, f"sma_{k}") for k in SPANS) + " FROM brand_prices")
+    single(f"avg(close_price) OVER {rows(k)}", f"sma_{k}") for k in SPANS) + " FROM brand_prices")
 def _(t):
-    return plain(cols(f.sma(t.brand_prices()), *[f"sma_{k}" for k in SPANS]), **{f"sma_{k}": 5 for k in SPANS})
+    return plain(cols(f.sma(t.brand_prices()), *[f"sma_{k}" for k in SPANS]), **{f"sma_{k}": None for k in SPANS})
 
 
 # exponential averages by recursion over each series
@@ -171,14 +171,14 @@ def _(t):
 
 
 # ties between the averages are decided before the last digits, so both engines see the same crossing
-SMA = dict(sma=f"""SELECT {KEY}, ROUND(avg(close_price) OVER {rows(5)}, 5) AS sma_5, ROUND(avg(close_price) OVER {rows(20)}, 5) AS sma_20
-    FROM brand_prices""", side="SELECT *, sign(sma_5 - sma_20) AS s FROM sma")
+SMA = dict(sma=f"""SELECT {KEY}, {single(f'avg(close_price) OVER {rows(5)}', 'sma_5')},
+    {single(f'avg(close_price) OVER {rows(20)}', 'sma_20')} FROM brand_prices""", side="SELECT *, sign(sma_5 - sma_20) AS s FROM sma")
 
 
 @query("train_sma_cross", using("brand_prices", **SMA) + f"""SELECT security_id, trade_date, sma_5, sma_20, CASE
     WHEN s > 0 AND lag(s) OVER ({W}) <= 0 THEN 1 WHEN s < 0 AND lag(s) OVER ({W}) >= 0 THEN -1 ELSE 0 END::BIGINT AS sma_cross FROM side""")
 def _(t):
-    averages = plain(f.sma(t.brand_prices(), (5, 20)), sma_5=5, sma_20=5)
+    averages = plain(f.sma(t.brand_prices(), (5, 20)), sma_5=None, sma_20=None)
     return tr.sma_cross(averages).select("security_id", "trade_date", "sma_5", "sma_20", "sma_cross")
 
 

@@ -22,12 +22,17 @@ def query(name: str, sql: str | None):
     return register
 
 
-def plain(df: DataFrame, **digits: int) -> DataFrame:
-    """Decimals as double, and computed doubles cut to ``digits``, so engines can be compared."""
+def plain(df: DataFrame, **digits: int | None) -> DataFrame:
+    """Decimals as double, and computed doubles cut to ``digits``, so engines can be compared.
+
+    None cuts to single precision: for averages of prices, whose last decimal is often exactly a 5.
+    """
     out = {}
     for f in df.schema.fields:
         kind = f.dataType.simpleString()
-        if f.name in digits:
+        if f.name in digits and digits[f.name] is None:
+            out[f.name] = F.col(f.name).cast("float").cast("double")
+        elif f.name in digits:
             out[f.name] = F.round(F.col(f.name).cast("double"), digits[f.name])
         elif kind.startswith("decimal"):
             out[f.name] = F.col(f.name).cast("double")

@@ -14,6 +14,11 @@ def d(expr: str, name: str | None = None) -> str:
     return f"CAST({expr} AS DOUBLE) AS {name or expr}"
 
 
+def single(expr: str, name: str) -> str:
+    """Output column cut to single precision."""
+    return f"CAST(CAST({expr} AS FLOAT) AS DOUBLE) AS {name}"
+
+
 def pick(values: list, n: str) -> str:
     quoted = ", ".join("NULL" if v is None else f"'{v}'" for v in values)
     size = len(values)
