@@ -22,12 +22,16 @@ def last_rows(n: int) -> WindowSpec:
 
 
 def nav_from_trades(trades: DataFrame) -> DataFrame:
-    per_day = trades.groupBy("portfolio_id", F.col("trade_date").alias("as_of_date")).agg(
-        F.sum("net").alias("total_nav"), F.sum("quantity").alias("shares_outstanding"))
-    market = per_day.groupBy("as_of_date").agg(
+    return trades.groupBy("portfolio_id", F.col("trade_date").alias("as_of_date")).agg(
+        F.sum("net").alias("total_nav"), F.sum("quantity").alias("shares_outstanding")).withColumn(
+        "nav_per_share", ratio("total_nav", "shares_outstanding"))
+
+
+def with_benchmark(nav: DataFrame) -> DataFrame:
+    """Adds the NAV per share of all portfolios together that day."""
+    market = nav.groupBy("as_of_date").agg(
         ratio(F.sum("total_nav"), F.sum("shares_outstanding")).alias("benchmark_nav"))
-    return (per_day.withColumn("nav_per_share", ratio("total_nav", "shares_outstanding"))
-            .join(market, "as_of_date"))
+    return nav.join(market, "as_of_date", "left")
 
 
 def daily_return(nav: DataFrame) -> DataFrame:
@@ -73,5 +77,5 @@ def rolling_alpha_beta(nav: DataFrame) -> DataFrame:
 
 
 def nav_history(nav: DataFrame) -> DataFrame:
-    """All derived NAV columns; one shuffle, since every window has the same keys."""
+    """All derived NAV columns, benchmark included; one shuffle, since every window has the same keys."""
     return rolling_alpha_beta(benchmark_return(period_returns(daily_return(nav))))

@@ -13,26 +13,30 @@ def value_slice(value: Column, per_octave: int = 4) -> Column:
     return F.coalesce(F.floor(F.signum(value.cast("double")) * size), F.lit(-(1 << 20))).cast("int")
 
 
-def sliced_row_number(df: DataFrame, group: Sequence[str], by: str, tie: Sequence[str], name: str) -> DataFrame:
-    """``row_number() over (partition by group order by by desc, tie)`` without one task per group.
-
-    Rows are partitioned by (group, slice of the value) and numbered there; a slice's numbers are then
-    shifted by the size of the higher slices. Slice sizes come from the numbered rows, so both branches
-    share one exchange of the data, and only one row per slice travels further. NULL values come last.
+def sliced_row_number(df: DataFrame, group: Sequence[str], by: str, tie: Sequence[str], name: str, *,
+                      large: int = 1_000_000, most: int = 1_000) -> DataFrame:
+    """``row_number() over (partition by group order by by desc, tie)`` with large groups cut in slices.
+
+    A group of more than ``large`` rows is partitioned by (group, slice of the value), numbered per slice,
+    and each slice is shifted by the size of the higher ones. Other groups are one slice. The ``most``
+    largest groups are cut, which keeps their list small enough to broadcast; any further group is
+    numbered in one piece, so the numbers are right whatever the limits. NULL values come last.
+    One narrow pass counts rows per slice; the rows themselves are shuffled once.
     """
-    cut = df.withColumn("_slice", value_slice(F.col(by)))
-    inner = Window.partitionBy(*group, "_slice").orderBy(F.col(by).desc_nulls_last(), *tie)
-    numbered = cut.withColumn("_n", F.row_number().over(inner))
-    higher = (Window.partitionBy(*[f"_g_{c}" for c in group]).orderBy(F.col("_s").desc())
-              .rowsBetween(Window.unboundedPreceding, -1))
-    sizes = (numbered.groupBy(*group, "_slice").agg(F.max("_n").alias("_size"))
-             .select(*[F.col(c).alias(f"_g_{c}") for c in group], F.col("_slice").alias("_s"), "_size")
-             .withColumn("_before", F.coalesce(F.sum("_size").over(higher), F.lit(0))))
-    same = F.col("_slice") == F.col("_s")
-    for c in group:
-        same = same & (F.col(c) == F.col(f"_g_{c}"))
-    return (numbered.join(sizes, same).withColumn(name, F.col("_n") + F.col("_before"))
-            .drop("_slice", "_s", "_n", "_size", "_before", *[f"_g_{c}" for c in group]))
+    counts = df.withColumn("_slice", value_slice(F.col(by))).groupBy(*group, "_slice").agg(F.count("*").alias("_rows"))
+    hot = (counts.groupBy(*group).agg(F.sum("_rows").alias("_all")).where(F.col("_all") > large)
+           .orderBy(F.col("_all").desc(), *group).limit(most).select(*group, F.lit(True).alias("_hot")))
+    higher = Window.partitionBy(*group).orderBy(F.col("_slice").desc()).rowsBetween(Window.unboundedPreceding, -1)
+    shifts = (counts.join(hot, list(group)).withColumn("_before", F.sum("_rows").over(higher))
+              .select(*group, "_slice", "_before"))
+    cut = df.join(hot, list(group), "left").withColumn(
+        "_slice", F.when(F.col("_hot"), value_slice(F.col(by))).otherwise(0))
+    within = Window.partitionBy(*group, "_slice").orderBy(F.col(by).desc_nulls_last(), *tie)
+    # without the repartition an earlier join's partitioning by part of the key would be kept
+    numbered = cut.repartition(*group, "_slice").withColumn("_n", F.row_number().over(within))
+    return (numbered.join(shifts, [*group, "_slice"], "left")
+            .withColumn(name, F.col("_n") + F.coalesce("_before", F.lit(0)))
+            .drop("_hot", "_slice", "_n", "_before"))
 
 
 def top_k(df: DataFrame, group: Sequence[str], by: str, tie: Sequence[str], k: int, name: str) -> DataFrame:

@@ -137,7 +137,8 @@ def weight_pct(holdings: DataFrame) -> DataFrame:
     large portfolio-day is never sorted in one task; the join back is split by AQE when skewed.
     """
     totals = holdings.groupBy("portfolio_id", "as_of_date").agg(F.sum("market_value").alias("_total"))
-    return (holdings.join(totals, ["portfolio_id", "as_of_date"])
+    # a left join on unique keys is dropped by Catalyst wherever the weight is not used
+    return (holdings.join(totals, ["portfolio_id", "as_of_date"], "left")
             .withColumn("weight_pct", ratio("market_value", "_total")).drop("_total"))
 
 

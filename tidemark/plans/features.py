@@ -117,7 +117,7 @@ def _(t):
 
 
 def series(t):
-    return n.benchmark_return(n.daily_return(t.nav()))
+    return n.benchmark_return(n.daily_return(t.benchmarked_nav()))
 
 
 @query("feat_portfolio_returns", using("nav") + "SELECT portfolio_id, as_of_date, " + ", ".join(

@@ -189,7 +189,7 @@ BETA = "covar_samp(daily_return, benchmark_return) / var_samp(benchmark_return)"
     {r(f'avg(daily_return) - {BETA} * avg(benchmark_return)', 6, 'alpha')} FROM nav_r
     WHERE daily_return IS NOT NULL AND benchmark_return IS NOT NULL GROUP BY portfolio_id""")
 def _(t):
-    return plain(n.alpha_beta(n.benchmark_return(n.daily_return(t.nav()))), beta=6, alpha=6)
+    return plain(n.alpha_beta(n.benchmark_return(n.daily_return(t.benchmarked_nav()))), beta=6, alpha=6)
 
 
 @query("silver_nav_alpha_beta_60", using("nav_history") + f"""SELECT portfolio_id, as_of_date, {r('beta', 6, 'beta')}, {r('alpha', 6, 'alpha')}

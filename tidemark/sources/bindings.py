@@ -70,6 +70,17 @@ POLICIES = ["MASK_CLIENT_PII", "MASK_ACCOUNT_NUMBER", "MASK_FINANCIAL_AMOUNT", "
             "ROW_ACCESS_DATA_QUALITY", "ROW_ACCESS_CLIENT_TIER"]
 
 
+def _hundredths(column: str) -> Column:
+    """A stored double with two decimals as whole hundredths."""
+    return F.rint(F.col(column) * 100).cast("bigint")
+
+
+def _decimal(units: Column, precision: int, scale: int) -> Column:
+    """Whole units of 10**-scale as a decimal; much cheaper than casting a double."""
+    one = F.lit(f"{10 ** -scale:.{scale}f}").cast(f"decimal({scale},{scale})")
+    return (units.cast("decimal(18,0)") * one).cast(f"decimal({precision},{scale})")
+
+
 class Tables:
     """Canonical inputs over one folder of test tables."""
 
@@ -82,7 +93,8 @@ class Tables:
     # --- market -------------------------------------------------------------------------------
 
     def trades(self) -> DataFrame:
-        ext = F.col("l_extendedprice").cast("decimal(12,2)")
+        cents, off = _hundredths("l_extendedprice"), _hundredths("l_discount")
+        ext = _decimal(cents, 12, 2)
         return self.raw("lineitem").select(
             F.col("l_suppkey").alias("portfolio_id"),
             F.col("l_partkey").alias("security_id"),
@@ -92,8 +104,8 @@ class Tables:
             F.col("l_quantity").cast("bigint").alias("quantity"),
             (F.col("l_extendedprice") / F.col("l_quantity")).alias("price"),
             ext.alias("gross"),
-            (ext * (1 - F.col("l_discount").cast("decimal(4,2)"))).alias("net"),
-            F.col("l_tax").cast("decimal(4,2)").alias("fee_rate"),
+            _decimal(cents * (100 - off), 18, 4).alias("net"),
+            _decimal(_hundredths("l_tax"), 4, 2).alias("fee_rate"),
             F.col("l_returnflag").alias("flag"),
         )
 
@@ -109,8 +121,11 @@ class Tables:
     def nav(self) -> DataFrame:
         return nav_ops.nav_from_trades(self.trades())
 
+    def benchmarked_nav(self) -> DataFrame:
+        return nav_ops.with_benchmark(self.nav())
+
     def nav_history(self) -> DataFrame:
-        return nav_ops.nav_history(self.nav())
+        return nav_ops.nav_history(self.benchmarked_nav())
 
     def positions(self) -> DataFrame:
         """Holdings without the holding period (no join to orders)."""
