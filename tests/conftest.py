@@ -14,7 +14,8 @@ TESTDATA = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
 def spark():
     session = build_session("tidemark-tests", "local[8]", **{
         "spark.sql.shuffle.partitions": "4", "spark.ui.enabled": "false", "spark.ui.showConsoleProgress": "false",
-        "spark.driver.memory": "8g"})
+        "spark.driver.memory": "8g",
+        "spark.sql.maxMetadataStringLength": "10000"})
     session.sparkContext.setLogLevel("OFF")
     yield session
     session.stop()

@@ -29,13 +29,21 @@ def ago(as_of: dt.datetime, **span: int) -> Column:
 
 
 def trunc(unit: str, moment: str | Column) -> Column:
-    """date_trunc that keeps the zone-less type."""
-    return F.date_trunc(unit, moment).cast("timestamp_ntz")
+    """Start of the hour, day, week, month, quarter or year of a zone-less time.
+
+    date_trunc would go through the session zone, whose clock changes move some hours.
+    """
+    at = F.col(moment) if isinstance(moment, str) else moment
+    date, unit = at.cast("date"), unit.lower()
+    if unit == "hour":
+        return F.timestamp_add("HOUR", F.hour(at), date.cast("timestamp_ntz")).cast("timestamp_ntz")
+    return (date if unit == "day" else F.trunc(date, unit)).cast("timestamp_ntz")
 
 
 def hours_crossed(start: Column | str, end: Column) -> Column:
-    """Hour boundaries between two instants (00:59 to 01:01 is one), not whole hours."""
-    return F.timestamp_diff("HOUR", F.date_trunc("hour", start), F.date_trunc("hour", end))
+    """Hour boundaries between two times (00:59 to 01:01 is one), not whole hours."""
+    begin = F.col(start) if isinstance(start, str) else start
+    return F.datediff(end.cast("date"), begin.cast("date")) * 24 + F.hour(end) - F.hour(begin)
 
 
 def day_number(date: Column | str) -> Column:
@@ -49,7 +57,10 @@ def is_trading_day(date: Column) -> Column:
 
 def instant(wall: Column | str) -> Column:
     """A zone-less time as an instant, read as UTC whatever the session zone; watermarks need instants."""
-    return F.timestamp_micros(F.timestamp_diff("MICROSECOND", ts("1970-01-01 00:00:00"), F.col(wall) if isinstance(wall, str) else wall))
+    at = F.col(wall) if isinstance(wall, str) else wall
+    micros = (F.unix_date(at.cast("date")).cast("bigint") * 86_400_000_000 + F.hour(at).cast("bigint") * 3_600_000_000
+              + F.minute(at).cast("bigint") * 60_000_000 + (F.extract(F.lit("SECOND"), at) * 1_000_000).cast("bigint"))
+    return F.timestamp_micros(micros)
 
 
 def wall(moment: Column | str) -> Column:

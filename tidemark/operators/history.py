@@ -12,7 +12,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from tidemark.contracts import OPEN_END
-from tidemark.functions.clock import day
+from tidemark.functions.clock import day, trunc
 from tidemark.sources.scratch import scratch_path
 
 
@@ -29,7 +29,7 @@ def _versions(states: DataFrame, key: str, attributes: Sequence[str]) -> DataFra
 
 
 def last_per_grain(changes: DataFrame, key: str, attributes: Sequence[str], at: str, tie: str, grain: str = "day") -> DataFrame:
-    when = F.date_trunc(grain, at).cast("timestamp_ntz").alias("effective_from")
+    when = trunc(grain, at).alias("effective_from")
     last = F.max_by(F.struct(*attributes), F.struct(at, tie)).alias("_s")
     return changes.groupBy(key, when).agg(last).select(key, "effective_from", *[F.col(f"_s.{a}").alias(a) for a in attributes])
 
