@@ -68,8 +68,11 @@ def _(t):
                  volatility_20d=7, volatility_60d=7)
 
 
-@query("feat_rsi", using("brand_prices", **RET, gl=f"""SELECT *, avg(greatest(change, 0)) OVER {rows(14)} AS gain,
-    avg(greatest(-change, 0)) OVER {rows(14)} AS loss, count(change) OVER {rows(14)} AS n FROM (SELECT * REPLACE (change AS change) FROM ret)""")
+GAINS = dict(gl=f"""SELECT *, avg(greatest(change, 0)) OVER {rows(14)} AS gain, avg(greatest(-change, 0)) OVER {rows(14)} AS loss,
+    count(change) OVER {rows(14)} AS n FROM ret""")
+
+
+@query("feat_rsi", using("brand_prices", **RET, **GAINS)
     + f"""SELECT {KEY}, {r('CASE WHEN n > 0 THEN CASE WHEN loss = 0 THEN 100.0 ELSE 100.0 - 100.0 / (1.0 + gain / loss) END END', 6, 'rsi_14')}
     FROM gl""")
 def _(t):
@@ -91,9 +94,20 @@ def _(t):
     return cols(f.range_52w(t.brand_prices()), "high_52w", "low_52w", "pct_from_high")
 
 
-@query("feat_price_all", None)
+PRICE_ALL = f"""SELECT security_id, trade_date AS feature_date, open_price, high_price, low_price, close_price, volume, vwap, daily_return,
+    {r('ln(growth)', 9, 'log_return')}, {', '.join(single(f'avg(close_price) OVER {rows(k)}', f'sma_{k}') for k in SPANS)},
+    {', '.join(r(f'stddev_samp(daily_return) OVER {rows(k)}', 7, f'volatility_{k}d') for k in (20, 60))},
+    {r('CASE WHEN n > 0 THEN CASE WHEN loss = 0 THEN 100.0 ELSE 100.0 - 100.0 / (1.0 + gain / loss) END END', 6, 'rsi_14')},
+    {r(f'avg(volume) OVER {rows(20)}', 6, 'volume_sma_20')}, {r(f'volume / avg(volume) OVER {rows(20)}', 7, 'volume_ratio')},
+    max(high_price) OVER {YEAR} AS high_52w, min(low_price) OVER {YEAR} AS low_52w,
+    close_price / max(high_price) OVER {YEAR} - 1.0 AS pct_from_high, {r('e12', 6, 'ema_12')}, {r('e26', 6, 'ema_26')},
+    {r('macd', 6, 'macd')}, {r('sig', 6, 'macd_signal')} FROM gl JOIN ema USING (security_id, trade_date, close_price)"""
+
+
+@query("feat_price_all", using("brand_prices", **RET, **GAINS, **EMA).replace("WITH ", "WITH RECURSIVE ", 1) + PRICE_ALL)
 def _(t):
-    return plain(f.price_features(t.brand_prices()))
+    return plain(f.price_features(t.brand_prices()), log_return=9, **{f"sma_{k}": None for k in SPANS}, volatility_20d=7, volatility_60d=7,
+                 rsi_14=6, volume_sma_20=6, volume_ratio=7, ema_12=6, ema_26=6, macd=6, macd_signal=6)
 
 
 # --- portfolios -----------------------------------------------------------------------------------
@@ -102,14 +116,18 @@ def sectors(t):
     return t.dim_security().select("security_id", "sector")
 
 
-@query("feat_portfolio_composition", using("lots", "dim_security", ranked="""SELECT *, row_number() OVER (PARTITION BY portfolio_id,
-      trade_date ORDER BY market_value DESC, security_id) AS rn FROM lots""",
+COMPOSITION = dict(
+    ranked="""SELECT *, row_number() OVER (PARTITION BY portfolio_id, trade_date ORDER BY market_value DESC, security_id) AS rn FROM lots""",
     sec="""SELECT portfolio_id, trade_date, sector, sum(market_value) AS mv FROM lots JOIN dim_security USING (security_id) GROUP BY 1, 2, 3""",
     hhi="""SELECT portfolio_id, trade_date, sum(CAST(mv AS DOUBLE) * CAST(mv AS DOUBLE)) / (CAST(sum(mv) AS DOUBLE) * CAST(sum(mv) AS DOUBLE))
-      AS sector_hhi FROM sec GROUP BY 1, 2""") + f"""SELECT portfolio_id, trade_date AS as_of_date, count(*) AS num_positions,
-    CAST(sum(market_value) FILTER (rn <= 5) AS DOUBLE) / CAST(sum(market_value) AS DOUBLE) AS concentration_top5,
-    CAST(sum(market_value) FILTER (rn <= 10) AS DOUBLE) / CAST(sum(market_value) AS DOUBLE) AS concentration_top10,
-    {r('any_value(sector_hhi)', 7, 'sector_hhi')} FROM ranked JOIN hhi USING (portfolio_id, trade_date) GROUP BY 1, 2""")
+      AS sector_hhi FROM sec GROUP BY 1, 2""",
+    comp=f"""SELECT portfolio_id, trade_date AS as_of_date, count(*) AS num_positions,
+      CAST(sum(market_value) FILTER (rn <= 5) AS DOUBLE) / CAST(sum(market_value) AS DOUBLE) AS concentration_top5,
+      CAST(sum(market_value) FILTER (rn <= 10) AS DOUBLE) / CAST(sum(market_value) AS DOUBLE) AS concentration_top10,
+      {r('any_value(sector_hhi)', 7, 'sector_hhi')} FROM ranked JOIN hhi USING (portfolio_id, trade_date) GROUP BY 1, 2""")
+
+
+@query("feat_portfolio_composition", using("lots", "dim_security", **COMPOSITION) + "SELECT * FROM comp")
 def _(t):
     lots = t.trades().groupBy(F.col("trade_date").alias("as_of_date"), "portfolio_id", "security_id").agg(
         F.sum("net").alias("market_value"))
@@ -129,27 +147,36 @@ def _(t):
 RISK = dict(volatility_20d=6, volatility_60d=6, sharpe_60d=5, beta_to_benchmark=6)
 
 
-@query("feat_portfolio_risk", using("nav_r") + f"""SELECT portfolio_id, as_of_date,
-    {r(f'stddev_samp(daily_return) OVER {rows(20, NAV_W)}', 6, 'volatility_20d')},
+RISK_SQL = f"""{r(f'stddev_samp(daily_return) OVER {rows(20, NAV_W)}', 6, 'volatility_20d')},
     {r(f'stddev_samp(daily_return) OVER {LAST60}', 6, 'volatility_60d')},
     {r(f'avg(daily_return) OVER {LAST60} * 252 / NULLIF(stddev_samp(daily_return) OVER {LAST60} * sqrt(252), 0)', 5, 'sharpe_60d')},
-    {r(f'covar_samp(daily_return, benchmark_return) OVER {LAST60} / NULLIF(var_samp(benchmark_return) OVER {LAST60}, 0)', 6, 'beta_to_benchmark')}
-    FROM nav_r""")
+    {r(f'covar_samp(daily_return, benchmark_return) OVER {LAST60} / NULLIF(var_samp(benchmark_return) OVER {LAST60}, 0)', 6, 'beta_to_benchmark')}"""
+
+
+@query("feat_portfolio_risk", using("nav_r") + f"SELECT portfolio_id, as_of_date, {RISK_SQL} FROM nav_r")
 def _(t):
     return plain(f.portfolio_risk(series(t)).select("portfolio_id", "as_of_date", *RISK), **RISK)
 
 
-@query("feat_max_drawdown", using("nav", seq=f"SELECT *, row_number() OVER ({NAV_W}) AS i FROM nav",
-    peak=f"""SELECT a.portfolio_id, a.as_of_date, b.nav_per_share / max(b.nav_per_share) OVER (PARTITION BY a.portfolio_id, a.i ORDER BY b.i
-      ROWS UNBOUNDED PRECEDING) - 1.0 AS fall FROM seq a JOIN seq b ON a.portfolio_id = b.portfolio_id AND b.i BETWEEN a.i - 59 AND a.i""")
-    + "SELECT portfolio_id, as_of_date, min(fall) + 0.0 AS max_drawdown_60d FROM peak GROUP BY 1, 2")
+FALLS = dict(seq=f"SELECT *, row_number() OVER ({NAV_W}) AS i FROM nav", peak="""SELECT a.portfolio_id, a.as_of_date, b.nav_per_share / max(b.nav_per_share) OVER (PARTITION BY a.portfolio_id, a.i ORDER BY b.i
+      ROWS UNBOUNDED PRECEDING) - 1.0 AS fall FROM seq a JOIN seq b ON a.portfolio_id = b.portfolio_id AND b.i BETWEEN a.i - 59 AND a.i""",
+    draw="SELECT portfolio_id, as_of_date, min(fall) + 0.0 AS max_drawdown_60d FROM peak GROUP BY 1, 2")
+
+
+@query("feat_max_drawdown", using("nav", **FALLS) + "SELECT * FROM draw")
 def _(t):
     return f.max_drawdown(t.nav()).select("portfolio_id", "as_of_date", "max_drawdown_60d")
 
 
-@query("feat_portfolio_all", None)
+BACK = ", ".join(f"nav_per_share / lag(nav_per_share, {k}) OVER ({NAV_W}) - 1.0 AS return_{k}d" for k in (1, 5, 20, 60))
+PORTFOLIO_COLUMNS = ["portfolio_id", "feature_date", "num_positions", "concentration_top5", "concentration_top10", "sector_hhi",
+                     *[f"return_{k}d" for k in (1, 5, 20, 60)], *RISK, "max_drawdown_60d"]
+
+
+@query("feat_portfolio_all", using("nav_r", "lots", "dim_security", **COMPOSITION, **FALLS, rk=f"SELECT portfolio_id, as_of_date, {RISK_SQL}, {BACK} FROM nav_r")
+       + "SELECT * RENAME (as_of_date AS feature_date) FROM rk JOIN comp USING (portfolio_id, as_of_date) JOIN draw USING (portfolio_id, as_of_date)")
 def _(t):
-    return plain(f.portfolio_features(series(t), t.positions(), sectors(t)))
+    return plain(f.portfolio_features(series(t), t.positions(), sectors(t)).select(PORTFOLIO_COLUMNS), sector_hhi=7, **RISK)
 
 
 # --- training -------------------------------------------------------------------------------------
