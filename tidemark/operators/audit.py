@@ -20,6 +20,7 @@ DATA_VERBS = ["SELECT", "INSERT", "UPDATE", "MERGE", "DELETE"]
 CLIENT_DATA_ROLES = ["INV_DATA_ADMIN", "INV_ANALYST", "ACCOUNTADMIN"]
 CONFIDENTIAL_ROLES = ["INV_DATA_ADMIN", "INV_ANALYST", "INV_ML_ADMIN", "ACCOUNTADMIN"]
 REMEDIATION_ROLES = ["INV_DATA_ENGINEER", "INV_DATA_ADMIN", "ACCOUNTADMIN"]
+PLATFORM_ADMINS = ["INV_DATA_ADMIN", "INV_ML_ADMIN", "INV_APP_ADMIN"]
 TAG_DDL = ["CREATE", "ALTER", "DROP", "ALTER_TABLE", "ALTER_TABLE_MODIFY_COLUMN"]
 POLICY_DDL = ["CREATE_MASKING_POLICY", "CREATE_ROW_ACCESS_POLICY", "ALTER_MASKING_POLICY", "ALTER_ROW_ACCESS_POLICY",
               "DROP_MASKING_POLICY", "DROP_ROW_ACCESS_POLICY", "CREATE", "ALTER", "DROP"]
@@ -100,6 +101,19 @@ def role_hierarchy(to_roles: DataFrame) -> DataFrame:
         F.col("name").alias("child_role"), F.col("grantee_name").alias("parent_role"), "granted_by", "created_on")
 
 
+def inheritors(to_roles: DataFrame, role: str = "INV_READONLY") -> DataFrame:
+    """Roles a base role is granted to."""
+    return role_hierarchy(to_roles).where(F.col("child_role") == role).select(
+        F.col("parent_role").alias("inherits_role"), "granted_by")
+
+
+def admin_role_check(to_roles: DataFrame) -> DataFrame:
+    """Whether each grant of a platform admin role goes to the system administrator."""
+    return role_hierarchy(to_roles).where(F.col("child_role").isin(PLATFORM_ADMINS)).select(
+        F.col("child_role").alias("admin_role"), "parent_role",
+        F.when(F.col("parent_role") == "SYSADMIN", "Correct").otherwise("Check hierarchy").alias("validation_status"))
+
+
 def sessions(log: DataFrame, as_of: dt.datetime) -> DataFrame:
     method = F.col("authentication_method")
     return log.where(_since(as_of, 90, "created_on")).select(
@@ -312,6 +326,9 @@ def risk_score(queries: DataFrame, to_roles: DataFrame, tags: DataFrame, log: Da
         0, ["privilege_escalations", "failed_logins"])
     counted = {"admin": "accountadmin_queries", "escalation": "privilege_escalations", "pii": "pii_access_count",
                "confidential": "confidential_access_count", "logins": "failed_logins"}
+    # a query without a user name matches no user
+    from_queries = ("accountadmin_queries", "pii_access_count", "confidential_access_count")
+    scored = scored.withColumns({c: F.when(F.col("user_name").isNotNull(), F.col(c)).otherwise(0) for c in from_queries})
     score = sum((F.when(F.col(c) > 0, POINTS[k]).otherwise(0) for k, c in counted.items()), F.lit(0))
     scored = scored.withColumn("risk_score", score)
     return scored.select("user_name", *counted.values(), "risk_score",

@@ -158,9 +158,10 @@ def _(t):
     return plain(f.portfolio_risk(series(t)).select("portfolio_id", "as_of_date", *RISK), **RISK)
 
 
-FALLS = dict(seq=f"SELECT *, row_number() OVER ({NAV_W}) AS i FROM nav", peak="""SELECT a.portfolio_id, a.as_of_date, b.nav_per_share / max(b.nav_per_share) OVER (PARTITION BY a.portfolio_id, a.i ORDER BY b.i
-      ROWS UNBOUNDED PRECEDING) - 1.0 AS fall FROM seq a JOIN seq b ON a.portfolio_id = b.portfolio_id AND b.i BETWEEN a.i - 59 AND a.i""",
-    draw="SELECT portfolio_id, as_of_date, min(fall) + 0.0 AS max_drawdown_60d FROM peak GROUP BY 1, 2")
+FALLS = dict(
+    spans=f"SELECT portfolio_id, as_of_date, list(nav_per_share) OVER ({NAV_W} ROWS BETWEEN 59 PRECEDING AND CURRENT ROW) AS v FROM nav",
+    draw="""SELECT portfolio_id, as_of_date, list_min(list_transform(range(1, len(v) + 1), lambda j: v[j] / list_max(v[1:j]) - 1.0)) + 0.0
+      AS max_drawdown_60d FROM spans""")
 
 
 @query("feat_max_drawdown", using("nav", **FALLS) + "SELECT * FROM draw")
