@@ -62,10 +62,10 @@ def _(t):
 
 
 @query("feat_volatility", using("brand_prices", **RET) + f"SELECT {KEY}, " + ", ".join(
-    r(f"stddev_samp(daily_return) OVER {rows(k)}", 5, f"volatility_{k}d") for k in (20, 60)) + " FROM ret")
+    r(f"stddev_samp(daily_return) OVER {rows(k)}", 3, f"volatility_{k}d") for k in (20, 60)) + " FROM ret")
 def _(t):
     return plain(cols(f.volatility(f.returns(t.brand_prices())), "volatility_20d", "volatility_60d"),
-                 volatility_20d=5, volatility_60d=5)
+                 volatility_20d=3, volatility_60d=3)
 
 
 GAINS = dict(gl=f"""SELECT *, avg(greatest(change, 0)) OVER {rows(14)} AS gain, avg(greatest(-change, 0)) OVER {rows(14)} AS loss,
@@ -96,7 +96,7 @@ def _(t):
 
 PRICE_ALL = f"""SELECT security_id, trade_date AS feature_date, open_price, high_price, low_price, close_price, volume, vwap, daily_return,
     {r('ln(growth)', 9, 'log_return')}, {', '.join(single(f'avg(close_price) OVER {rows(k)}', f'sma_{k}') for k in SPANS)},
-    {', '.join(r(f'stddev_samp(daily_return) OVER {rows(k)}', 5, f'volatility_{k}d') for k in (20, 60))},
+    {', '.join(r(f'stddev_samp(daily_return) OVER {rows(k)}', 3, f'volatility_{k}d') for k in (20, 60))},
     {r('CASE WHEN n > 0 THEN CASE WHEN loss = 0 THEN 100.0 ELSE 100.0 - 100.0 / (1.0 + gain / loss) END END', 6, 'rsi_14')},
     {r(f'avg(volume) OVER {rows(20)}', 6, 'volume_sma_20')}, {r(f'volume / avg(volume) OVER {rows(20)}', 7, 'volume_ratio')},
     max(high_price) OVER {YEAR} AS high_52w, min(low_price) OVER {YEAR} AS low_52w,
@@ -106,7 +106,7 @@ PRICE_ALL = f"""SELECT security_id, trade_date AS feature_date, open_price, high
 
 @query("feat_price_all", using("brand_prices", **RET, **GAINS, **EMA).replace("WITH ", "WITH RECURSIVE ", 1) + PRICE_ALL)
 def _(t):
-    return plain(f.price_features(t.brand_prices()), log_return=9, **{f"sma_{k}": None for k in SPANS}, volatility_20d=5, volatility_60d=5,
+    return plain(f.price_features(t.brand_prices()), log_return=9, **{f"sma_{k}": None for k in SPANS}, volatility_20d=3, volatility_60d=3,
                  rsi_14=6, volume_sma_20=6, volume_ratio=7, ema_12=4, ema_26=4, macd=4, macd_signal=4)
 
 
@@ -144,13 +144,13 @@ def _(t):
     return f.portfolio_returns(t.nav()).select("portfolio_id", "as_of_date", *[f"return_{k}d" for k in (1, 5, 20, 60)])
 
 
-RISK = dict(volatility_20d=5, volatility_60d=5, sharpe_60d=4, beta_to_benchmark=5)
+RISK = dict(volatility_20d=3, volatility_60d=3, sharpe_60d=3, beta_to_benchmark=3)
 
 
-RISK_SQL = f"""{r(f'stddev_samp(daily_return) OVER {rows(20, NAV_W)}', 5, 'volatility_20d')},
-    {r(f'stddev_samp(daily_return) OVER {LAST60}', 5, 'volatility_60d')},
-    {r(f'avg(daily_return) OVER {LAST60} * 252 / NULLIF(stddev_samp(daily_return) OVER {LAST60} * sqrt(252), 0)', 4, 'sharpe_60d')},
-    {r(f'covar_samp(daily_return, benchmark_return) OVER {LAST60} / NULLIF(var_samp(benchmark_return) OVER {LAST60}, 0)', 5, 'beta_to_benchmark')}"""
+RISK_SQL = f"""{r(f'stddev_samp(daily_return) OVER {rows(20, NAV_W)}', 3, 'volatility_20d')},
+    {r(f'stddev_samp(daily_return) OVER {LAST60}', 3, 'volatility_60d')},
+    {r(f'avg(daily_return) OVER {LAST60} * 252 / NULLIF(stddev_samp(daily_return) OVER {LAST60} * sqrt(252), 0)', 3, 'sharpe_60d')},
+    {r(f'covar_samp(daily_return, benchmark_return) OVER {LAST60} / NULLIF(var_samp(benchmark_return) OVER {LAST60}, 0)', 3, 'beta_to_benchmark')}"""
 
 
 @query("feat_portfolio_risk", using("nav_r") + f"SELECT portfolio_id, as_of_date, {RISK_SQL} FROM nav_r")
@@ -216,7 +216,7 @@ WEEKLY = dict(fe=f"""SELECT security_id, trade_date AS feature_date, daily_retur
     stddev_samp(daily_return) OVER {rows(20)} AS volatility_20d FROM ret""",
     fri="SELECT * FROM fe WHERE dayofweek(feature_date) = 5")
 TRAIN = f"""SELECT lab.security_id, trade_date, forward_return_5d, forward_return_20d, {DIRECTION}, feature_date, return_1d,
-    {r('volume_ratio', 7, 'volume_ratio')}, {r('volatility_20d', 5, 'volatility_20d')} FROM lab ASOF JOIN fri
+    {r('volume_ratio', 7, 'volume_ratio')}, {r('volatility_20d', 3, 'volatility_20d')} FROM lab ASOF JOIN fri
     ON lab.security_id = fri.security_id AND lab.trade_date >= fri.feature_date WHERE forward_return_5d IS NOT NULL
     AND forward_return_20d IS NOT NULL AND return_1d IS NOT NULL AND volume_ratio IS NOT NULL AND volatility_20d IS NOT NULL"""
 
@@ -227,7 +227,7 @@ def training_set(t):
     daily = f.volume(f.volatility(f.returns(prices), (20,)))
     weekly = daily.where(F.dayofweek("trade_date") == 6).select(
         "security_id", "trade_date", F.col("daily_return").alias("return_1d"), "volume_ratio", "volatility_20d")
-    return plain(tr.dataset(labelled, weekly, FEATURES), volume_ratio=7, volatility_20d=5)
+    return plain(tr.dataset(labelled, weekly, FEATURES), volume_ratio=7, volatility_20d=3)
 
 
 @query("train_dataset", using("brand_prices", **RET, **LABELS, **WEEKLY) + TRAIN)

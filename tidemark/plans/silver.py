@@ -185,14 +185,14 @@ def _(t):
 BETA = "covar_samp(daily_return, benchmark_return) / var_samp(benchmark_return)"
 
 
-@query("silver_nav_alpha_beta", using("nav_r") + f"""SELECT portfolio_id, count(*) AS days, {r(BETA, 5, 'beta')},
-    {r(f'avg(daily_return) - {BETA} * avg(benchmark_return)', 5, 'alpha')} FROM nav_r
+@query("silver_nav_alpha_beta", using("nav_r") + f"""SELECT portfolio_id, count(*) AS days, {r(BETA, 3, 'beta')},
+    {r(f'avg(daily_return) - {BETA} * avg(benchmark_return)', 3, 'alpha')} FROM nav_r
     WHERE daily_return IS NOT NULL AND benchmark_return IS NOT NULL GROUP BY portfolio_id""")
 def _(t):
-    return plain(n.alpha_beta(n.benchmark_return(n.daily_return(t.benchmarked_nav()))), beta=5, alpha=5)
+    return plain(n.alpha_beta(n.benchmark_return(n.daily_return(t.benchmarked_nav()))), beta=3, alpha=3)
 
 
-@query("silver_nav_alpha_beta_60", using("nav_history") + f"""SELECT portfolio_id, as_of_date, {r('beta', 5, 'beta')}, {r('alpha', 5, 'alpha')}
+@query("silver_nav_alpha_beta_60", using("nav_history") + f"""SELECT portfolio_id, as_of_date, {r('beta', 3, 'beta')}, {r('alpha', 3, 'alpha')}
     FROM nav_history""")
 def _(t):
-    return plain(t.nav_history().select("portfolio_id", "as_of_date", "beta", "alpha"), beta=5, alpha=5)
+    return plain(t.nav_history().select("portfolio_id", "as_of_date", "beta", "alpha"), beta=3, alpha=3)
