@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import functools
 
-from tidemark.llm import mixing, packing, token_files
+from pyspark.sql import functions as F
+
+from tidemark.llm import embedding_dedup, exact_topk, mixing, packing, token_files, toxicity, url_filters, warc
 from tidemark.sources.scratch import scratch_path
 
 QUERIES: dict = {}
@@ -78,3 +80,95 @@ def op9(spark, folder):
     path = scratch_path(spark, "token-orc")
     token_files.write_token_files(table(spark, folder, "documents"), tokenizer_path(), path)
     return token_files.token_digests(token_files.read_token_files(spark, path))
+
+
+#: fixed values: the contract's rules
+RULES = [("allow", "org", "/"), ("block", "example.org", "/es/"), ("block", "example.org", "/en/1"),
+         ("allow", "com", "/fr/"), ("block", "com", "/de/")]
+
+OP6_SQL = r"""
+WITH u AS (
+  SELECT page_id, url, CASE WHEN strpos(coalesce(url, ''), '://') > 0 THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest FROM pages),
+p AS (
+  SELECT page_id, translate(regexp_extract(rest, '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+         regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path FROM u),
+o AS (
+  SELECT p.host, CASE WHEN l.quality = 0 OR l.toxic = 1 THEN 1 WHEN l.quality IS NULL OR l.toxic IS NULL THEN NULL ELSE 0 END AS bad
+  FROM p JOIN labels l ON l.doc_id = p.page_id),
+h AS (
+  SELECT host, regexp_extract(regexp_replace(host, ':[0-9]*$', ''), '[^.]*\.?[^.]*$') AS domain,
+         regexp_extract(regexp_replace(host, ':[0-9]*$', ''), '[^.]*$') AS suffix,
+         CAST(count(*) AS DOUBLE) AS n, CAST(sum(bad) AS DOUBLE) AS bad FROM o WHERE bad IS NOT NULL GROUP BY ALL),
+g AS (SELECT sum(bad) / sum(n) AS overall FROM h),
+s0 AS (SELECT suffix, sum(n) AS n, sum(bad) AS bad, any_value(overall) AS prior FROM h CROSS JOIN g GROUP BY suffix),
+s1 AS (SELECT sum(n * pow(bad / n - prior, 2) / (prior * (1 - prior))) AS q, count(*) AS g, sum(n) AS n FROM s0 WHERE prior > 0 AND prior < 1),
+s2 AS (SELECT CASE WHEN g = 0 OR n <= g THEN 999.0 ELSE 1 / least(greatest((q - g) / (n - g), 0.001), 0.5) - 1 END AS k FROM s1),
+s3 AS (SELECT suffix, (bad + k * prior) / (n + k) AS prior FROM s0 CROSS JOIN s2),
+d0 AS (SELECT domain, sum(n) AS n, sum(bad) AS bad, any_value(prior) AS prior FROM h JOIN s3 USING (suffix) GROUP BY domain),
+d1 AS (SELECT sum(n * pow(bad / n - prior, 2) / (prior * (1 - prior))) AS q, count(*) AS g, sum(n) AS n FROM d0 WHERE prior > 0 AND prior < 1),
+d2 AS (SELECT CASE WHEN g = 0 OR n <= g THEN 999.0 ELSE 1 / least(greatest((q - g) / (n - g), 0.001), 0.5) - 1 END AS k FROM d1),
+d3 AS (SELECT domain, (bad + k * prior) / (n + k) AS prior FROM d0 CROSS JOIN d2),
+h0 AS (SELECT host, n, bad, prior FROM h JOIN d3 USING (domain)),
+h1 AS (SELECT sum(n * pow(bad / n - prior, 2) / (prior * (1 - prior))) AS q, count(*) AS g, sum(n) AS n FROM h0 WHERE prior > 0 AND prior < 1),
+h2 AS (SELECT CASE WHEN g = 0 OR n <= g THEN 999.0 ELSE 1 / least(greatest((q - g) / (n - g), 0.001), 0.5) - 1 END AS k FROM h1),
+h3 AS (SELECT host, (bad + k * prior) / (n + k) AS m, n + k AS ab FROM h0 CROSS JOIN h2),
+b AS (SELECT host FROM h3 CROSS JOIN g WHERE m - 1.645 * sqrt(m * (1 - m) / (ab + 1)) > overall),
+r AS (
+  SELECT page_id, host, path, CASE
+    WHEN (host = 'example.org' OR host LIKE '%.example.org') AND starts_with(path, '/en/1') THEN 'example.org/en/1'
+    WHEN (host = 'example.org' OR host LIKE '%.example.org') AND starts_with(path, '/es/') THEN 'example.org/es/'
+    WHEN (host = 'com' OR host LIKE '%.com') AND starts_with(path, '/de/') THEN 'com/de/'
+    WHEN (host = 'com' OR host LIKE '%.com') AND starts_with(path, '/fr/') THEN 'com/fr/'
+    WHEN (host = 'org' OR host LIKE '%.org') AND starts_with(path, '/') THEN 'org/' END AS rule FROM p)
+SELECT page_id, r.host, path, rule, CASE WHEN rule IN ('org/', 'com/fr/') THEN 'allow' WHEN rule IS NOT NULL THEN 'block'
+  WHEN b.host IS NOT NULL THEN 'block' ELSE 'allow' END AS verdict
+FROM r LEFT JOIN b ON r.host = b.host
+"""
+
+
+@query("op6_url_reputation", OP6_SQL)
+def op6(spark, folder):
+    """A page is bad if the label of its id says low quality or toxic."""
+    pages = table(spark, folder, "pages").select("page_id", "url")
+    labels = table(spark, folder, "labels").selectExpr(
+        "doc_id", "case when quality = 0 or toxic = 1 then 1 when quality is null or toxic is null then null else 0 end as bad")
+    outcomes = pages.join(labels, pages.page_id == labels.doc_id).select("url", "bad")
+    return url_filters.judge(pages, outcomes, RULES).select("page_id", "host", "path", "rule", "verdict")
+
+
+OP8_SQL = r"""
+WITH e AS (
+  SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS v FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (
+  SELECT q.vec_id AS query_id, e.vec_id, CAST(list_sum(list_transform(list_zip(q.v, e.v), lambda p: p[1] * p[2])) AS BIGINT) AS score
+  FROM e q JOIN e ON q.vec_id <> e.vec_id WHERE q.vec_id % 50 = 0),
+r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s)
+SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM r WHERE rank <= 5
+"""
+
+
+@query("op8_exact_topk", OP8_SQL)
+def op8(spark, folder):
+    whole = F.transform("embedding", lambda x: F.floor(F.lit(256.0) * x.cast("double")))
+    rows = table(spark, folder, "embeddings").select(
+        "vec_id", F.when(exact_topk.usable(F.col("embedding")), whole).alias("v"))
+    return exact_topk.top_k(rows, rows.where("vec_id % 50 = 0"), k=5)
+
+
+@query("op10_embedding_near_dedup")
+def op10(spark, folder):
+    return embedding_dedup.links_and_components(table(spark, folder, "embeddings"), threshold=0.95)
+
+
+@query("op2_warc")
+def op2(spark, folder):
+    """SHA-1 in base32 is not an SQL function there; tested against hashlib."""
+    return warc.archive(table(spark, folder, "pages"), scratch_path(spark, "warc")).drop("url")
+
+
+@query("op4_toxicity")
+def op4(spark, folder):
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    scored = toxicity.score(docs, table(spark, folder, "labels"))
+    return scored.select("doc_id", F.col("_held_out").alias("held_out"), F.col("_score").alias("score"), F.col("_predicted").alias("predicted"))
