@@ -10,6 +10,8 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from tidemark.llm.storage import set_aside
+
 WORD = r"[^\x20\x09-\x0D]+"
 #: fixed values: the hex digits of a key that name its range; 3 give 4096 ranges a source
 RANGE_DIGITS = 3
@@ -57,6 +59,7 @@ def mix(docs: DataFrame, weights: Sequence[float] = (5, 2, 1), cap: float = 3.0,
     have size 0 and nothing is taken of them. Equal ids are told apart by size; equal rows share what they are given in
     any order. Null ids count as one more id. Source null is a source of its own.
     """
+    docs, restore = set_aside(docs, ["doc_id", "text", "source"], ["_size", "_source_size", "_target", "_taken"])
     docs = docs.select("*", word_count(F.col("text")).alias("_size"),
                        F.md5(F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("null")), F.lit(seed)).cast("binary")).alias("_key"))
     docs = docs.withColumn("_range", F.substring("_key", 1, RANGE_DIGITS))
@@ -74,8 +77,7 @@ def mix(docs: DataFrame, weights: Sequence[float] = (5, 2, 1), cap: float = 3.0,
     epochs = F.when(size > 0, F.floor(budget / F.greatest(size, F.lit(1)))).otherwise(F.lit(0))
     rest = budget - epochs * size
     partial = F.least(F.greatest(rest - F.col("_ahead") - F.col("_inside"), F.lit(0)), F.col("_size"))
-    return (joined.withColumn("_taken", (epochs * F.col("_size") + partial).cast("long"))
-            .drop("_key", "_range", "_s", "_r", "_ahead", "_inside"))
+    return restore(joined.withColumn("_taken", (epochs * F.col("_size") + partial).cast("long")))
 
 
 def mixed_documents(docs: DataFrame, **how) -> DataFrame:
@@ -83,8 +85,8 @@ def mixed_documents(docs: DataFrame, **how) -> DataFrame:
 
     The document at a source's cut is kept whole. Documents nothing is taken of go, among them those without words.
     """
-    columns = docs.columns
+    docs, restore = set_aside(docs, ["doc_id", "text", "source"], [])
     mixed = mix(docs, **how)
     times = F.when(F.col("_taken") > 0, F.ceil(F.col("_taken") / F.greatest(F.col("_size"), F.lit(1)))).otherwise(F.lit(0)).cast("int")
     copies = F.when(times > 0, F.sequence(F.lit(1), times)).otherwise(F.array().cast("array<int>"))
-    return mixed.withColumn("_copy", F.explode(copies)).select(*columns)
+    return restore(mixed.withColumn("_copy", F.explode(copies)))

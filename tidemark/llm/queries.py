@@ -6,7 +6,7 @@ import functools
 
 from pyspark.sql import functions as F
 
-from tidemark.llm import embedding_dedup, exact_topk, mixing, packing, token_files, toxicity, url_filters, warc
+from tidemark.llm import embedding_dedup, exact_topk, mixing, packing, substrings, token_files, toxicity, url_filters, warc
 from tidemark.sources.scratch import scratch_path
 
 QUERIES: dict = {}
@@ -172,3 +172,10 @@ def op4(spark, folder):
     docs = table(spark, folder, "documents").select("doc_id", "text")
     scored = toxicity.score(docs, table(spark, folder, "labels"))
     return scored.select("doc_id", F.col("_held_out").alias("held_out"), F.col("_score").alias("score"), F.col("_predicted").alias("predicted"))
+
+
+@query("op3_substring_dedup")
+def op3(spark, folder):
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    return substrings.without_repeats(docs).select(
+        "doc_id", F.col("_n_words").alias("n_words"), F.col("_n_removed").alias("n_removed"), F.sha2("_kept", 256).alias("kept_sha256"))

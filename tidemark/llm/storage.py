@@ -23,3 +23,18 @@ def with_columns(batch, columns: dict):
 def schema_of(df: DataFrame, *more: str) -> str:
     """The columns of ``df`` and more, as text."""
     return ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields), *more])
+
+
+def set_aside(df: DataFrame, used: list[str], added: list[str]):
+    """``df`` with its columns other than ``used`` under names that clash with nothing, and the function that undoes it.
+
+    Columns named like one of ``added`` are dropped: the operator's replace them.
+    """
+    lowered = {c.lower() for c in added}
+    columns = [c for c in df.columns if c.lower() not in lowered]
+    names = {c: c if c in used else f"__aside_{i}" for i, c in enumerate(columns)}
+    renamed = df.select(*(df[f"`{c}`"].alias(names[c]) for c in columns))
+
+    def restore(result: DataFrame) -> DataFrame:
+        return result.select(*(result[names[c]].alias(c) for c in columns), *added)
+    return renamed, restore

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from tidemark.llm.storage import kept
+from tidemark.llm.storage import kept, schema_of, set_aside
 
 #: letters of a word's beginning, the order that words back off to
 BEGINNING = 4
@@ -197,6 +197,7 @@ def score(docs: DataFrame, labels: DataFrame, threshold: float = 0.3) -> DataFra
     score of zero differences. Without labels of both classes every difference is 0. Repeated rows get equal scores.
     """
     import numpy as np
+    docs, restore = set_aside(docs, ["doc_id", "text"], ["_held_out", "_score", "_predicted"])
     spark = docs.sparkSession
     learning = labelled(docs, labels)
     counts = kept(continuation_counts(learning), "toxic-words")
@@ -230,7 +231,5 @@ def score(docs: DataFrame, labels: DataFrame, threshold: float = 0.3) -> DataFra
             p = 1 / (1 + np.exp(-np.clip(x @ w[1:] + w[0], -30, 30)))
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(p)], [*batch.schema.names, "_score"])
 
-    from tidemark.llm.storage import schema_of
     found = docs.mapInArrow(scored, schema_of(docs, "_score double"))
-    return (with_folds(found).withColumns({"_held_out": F.col("_fold") == 2, "_predicted": (F.col("_score") >= threshold).cast("int")})
-            .drop("_fold"))
+    return restore(with_folds(found).withColumns({"_held_out": F.col("_fold") == 2, "_predicted": (F.col("_score") >= threshold).cast("int")}))

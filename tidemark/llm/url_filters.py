@@ -7,6 +7,8 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from tidemark.llm.storage import set_aside
+
 #: bounds of the correlation of outcomes within one host, domain or suffix; it sets how strongly a parent's rate counts
 LEAST_CORRELATION, MOST_CORRELATION = 0.001, 0.5
 
@@ -93,9 +95,10 @@ def judge(pages: DataFrame, outcomes: DataFrame, rules: Sequence[tuple[str, str,
     """
     host, path = host_and_path(F.col("url"))
     reputation = host_reputation(outcomes.select(host.alias("host"), "bad"), **how)
+    pages, restore = set_aside(pages, ["url"], ["host", "path", "rule", "verdict"])
     blocked = reputation.where("blocked").select(F.col("host").alias("_blocked"))
     judged = pages.withColumns({"host": host, "path": path})
     judged = judged.withColumn("_rule", matched_rule(F.col("host"), F.col("path"), rules))
     judged = judged.join(blocked, F.col("host") == F.col("_blocked"), "left")
     verdict = F.coalesce(F.col("_rule.verdict"), F.when(F.col("_blocked").isNotNull(), F.lit("block")), F.lit("allow"))
-    return judged.withColumns({"rule": F.col("_rule.rule"), "verdict": verdict}).drop("_rule", "_blocked")
+    return restore(judged.withColumns({"rule": F.col("_rule.rule"), "verdict": verdict}))
