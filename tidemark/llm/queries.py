@@ -6,7 +6,7 @@ import functools
 
 from pyspark.sql import functions as F
 
-from tidemark.llm import embedding_dedup, exact_topk, mixing, packing, substrings, token_files, toxicity, url_filters, warc
+from tidemark.llm import embedding_dedup, exact_topk, mixing, ngram_join, packing, substrings, token_files, toxicity, url_filters, warc
 from tidemark.sources.scratch import scratch_path
 
 QUERIES: dict = {}
@@ -179,3 +179,8 @@ def op3(spark, folder):
     docs = table(spark, folder, "documents").select("doc_id", "text")
     return substrings.without_repeats(docs).select(
         "doc_id", F.col("_n_words").alias("n_words"), F.col("_n_removed").alias("n_removed"), F.sha2("_kept", 256).alias("kept_sha256"))
+
+
+@query("op5_ngram_jaccard_join")
+def op5(spark, folder):
+    return ngram_join.similar_groups(table(spark, folder, "documents")).select("doc_id", "n_shingles", "component_id")
