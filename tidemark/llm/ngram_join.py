@@ -82,17 +82,16 @@ def document_sets(docs: DataFrame, width: int = SHINGLE) -> DataFrame:
 
 
 def _prefix_entries(docs: DataFrame, buckets: int, rule: Threshold, width: int) -> DataFrame:
-    """Rows (kind, bucket, size, shingles, sets): the prefixes of a batch's distinct sets, as packed arrays per bucket.
+    """Rows (kind, bucket, shingles, sets): the prefixes of a batch's distinct sets, as packed arrays per bucket.
 
-    Kind 0: shingles (32 bits within the bucket) with their sets' ids, first those within the least prefix (as many as
-    ``size`` says), then those of the slack. A shingle that more than SMALL_REGION sets of the batch have is in a large
+    Kind 0: shingles (32 bits within the bucket) with their sets' ids. A shingle that more than SMALL_REGION sets of the batch have is in a large
     region anyhow: its sets go to kind 1 rows, which are spread evenly, and only a mark (set id -1) to its bucket.
     """
     def entries(batches):
         import numpy as np
         import pyarrow as pa
-        names = ["kind", "bucket", "least", "shingles", "sets"]
-        types = [pa.int32(), pa.int32(), pa.int32(), pa.binary(), pa.binary()]
+        names = ["kind", "bucket", "shingles", "sets"]
+        types = [pa.int32(), pa.int32(), pa.binary(), pa.binary()]
         turn = 0
         for batch in batches:
             found, seen = [], set()
@@ -103,11 +102,11 @@ def _prefix_entries(docs: DataFrame, buckets: int, rule: Threshold, width: int)
                 if size and own not in seen:
                     seen.add(own)
                     prefix = prints[:rule.prefix(size)]
-                    found.append((prefix, np.full(len(prefix), own), np.arange(len(prefix)) >= size - rule.common(size) + 1))
+                    found.append((prefix, np.full(len(prefix), own)))
             if not found:
                 continue
-            shingles, sets, spare = (np.concatenate(x) for x in zip(*found))
-            order = np.lexsort((spare, shingles % np.uint64(buckets)))
+            shingles, sets = (np.concatenate(x) for x in zip(*found))
+            order = np.argsort(shingles % np.uint64(buckets), kind="stable")
             values, place, count = np.unique(shingles, return_inverse=True, return_counts=True)
             many = count[place] > SMALL_REGION
             rows = []
@@ -116,22 +115,21 @@ def _prefix_entries(docs: DataFrame, buckets: int, rule: Threshold, width: int)
                 if kind:
                     heavy = values[count > SMALL_REGION]
                     for value in heavy:
-                        rows.append((0, int(value % np.uint64(buckets)), 0, _low(np.array([value]), buckets).tobytes(), np.array([-1], np.int64).tobytes()))
+                        rows.append((0, int(value % np.uint64(buckets)), _low(np.array([value]), buckets).tobytes(), np.array([-1], np.int64).tobytes()))
                     step = 1 << 14
                     for at in range(0, len(chosen), step):
                         part = chosen[at:at + step]
-                        part = part[np.argsort(spare[part], kind="stable")]
                         turn += 1
-                        rows.append((1, turn % buckets, int((~spare[part]).sum()), shingles[part].tobytes(), sets[part].tobytes()))
+                        rows.append((1, turn % buckets, shingles[part].tobytes(), sets[part].tobytes()))
                     continue
                 bucket = (shingles[chosen] % np.uint64(buckets)).astype(np.int64)
                 edges = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1], [True]])) if len(bucket) else []
                 for a, b in zip(edges[:-1], edges[1:]):
                     part = chosen[a:b]
-                    rows.append((0, int(bucket[a]), int((~spare[part]).sum()), _low(shingles[part], buckets).tobytes(), sets[part].tobytes()))
+                    rows.append((0, int(bucket[a]), _low(shingles[part], buckets).tobytes(), sets[part].tobytes()))
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types)], names)
 
-    return docs.select("text").mapInArrow(entries, "kind int, bucket int, least int, shingles binary, sets binary")
+    return docs.select("text").mapInArrow(entries, "kind int, bucket int, shingles binary, sets binary")
 
 
 def _low(shingles, buckets: int):
@@ -142,45 +140,44 @@ def _low(shingles, buckets: int):
 
 def _regions(entries: DataFrame, buckets: int) -> DataFrame:
     """Rows (kind, x, y, n): kind 0 pairs x < y of sets with n shared shingles of small regions in this bucket; kind 1
-    memberships of set x in the large region y, n = 1 if within the least prefix."""
+    memberships of set x in the large region y."""
     def join(batches):
         import numpy as np
         import pyarrow as pa
         names = ["kind", "x", "y", "n"]
 
-        def out(kind, x, y, n):
+        def out(kind, x, y, n=None):
+            n = np.ones(len(x)) if n is None else n
             return pa.RecordBatch.from_arrays([pa.array(np.full(len(x), kind, np.int32)), pa.array(x), pa.array(y), pa.array(n.astype(np.int32))], names)
 
         def region(bucket, low):
             return (low.astype(np.int64) * buckets + bucket).astype(np.int64)
 
         for bucket, parts in _by_bucket(batches):
-            shingles, sets, least = [], [], []
-            for kind, n, raw, ids in parts:
+            shingles, sets = [], []
+            for kind, raw, ids in parts:
                 ids = np.frombuffer(ids, np.int64)
-                first = np.arange(len(ids)) < n
                 if kind:
                     full = np.frombuffer(raw, np.uint64)
                     home = (full % np.uint64(buckets)).astype(np.int64)
-                    yield out(1, ids, region(home, _low(full, buckets)), first)
+                    yield out(1, ids, region(home, _low(full, buckets)))
                 else:
                     shingles.append(np.frombuffer(raw, np.uint32))
                     sets.append(ids)
-                    least.append(first)
             if not shingles:
                 continue
-            shingles, sets, least = np.concatenate(shingles), np.concatenate(sets), np.concatenate(least)
+            shingles, sets = np.concatenate(shingles), np.concatenate(sets)
             order = np.lexsort((sets, shingles))
-            shingles, sets, least = shingles[order], sets[order], least[order]
+            shingles, sets = shingles[order], sets[order]
             fresh = np.concatenate([[True], (shingles[1:] != shingles[:-1]) | (sets[1:] != sets[:-1])])
-            shingles, sets, least = shingles[fresh], sets[fresh], least[fresh]
+            shingles, sets = shingles[fresh], sets[fresh]
             start = np.flatnonzero(np.concatenate([[True], shingles[1:] != shingles[:-1]]))
             size = np.diff(np.append(start, len(shingles)))
             marked = sets[start] == -1
             large = marked | (size > SMALL_REGION)
             own = np.repeat(large, size) & (sets >= 0)
             if own.any():
-                yield out(1, sets[own], region(bucket, shingles[own]), least[own])
+                yield out(1, sets[own], region(bucket, shingles[own]))
             pairs = []
             for k in np.unique(size[~large]):
                 if k > 1:
@@ -199,12 +196,12 @@ def _by_bucket(batches):
     current, parts = None, []
     for batch in batches:
         columns = [c.to_pylist() for c in batch.columns]
-        for kind, bucket, n, raw, ids in zip(*columns):
+        for kind, bucket, raw, ids in zip(*columns):
             if bucket != current and parts:
                 yield current, parts
                 parts = []
             current = bucket
-            parts.append((kind, n, raw, ids))
+            parts.append((kind, raw, ids))
     if parts:
         yield current, parts
 
@@ -312,6 +309,30 @@ def _large_regions(cells: DataFrame, lookup, rule: Threshold) -> DataFrame:
     raise RuntimeError(f"large regions are not joined after {MOST_ROUNDS} rounds")
 
 
+def _rarest_first(texts: DataFrame, rule: Threshold, width: int) -> DataFrame:
+    """(cell, x): each set (set_id, text) in the regions of its rarest shingles, as many as it takes to meet all partners.
+
+    All sets order their shingles alike, by the number of ``texts`` that have them, so a region of many sets only holds
+    those that consist of frequent shingles for the most part. One row per shingle and set is counted and joined back;
+    only the shingles of one set are ever gathered.
+    """
+    def rows(batches):
+        import numpy as np
+        import pyarrow as pa
+        for batch in batches:
+            found = [(x, shingle_set(t, width).view(np.int64)) for x, t in zip(*(c.to_pylist() for c in batch.columns))]
+            size = [len(p) for _, p in found]
+            least = [n - rule.common(n) + 1 for n in size]
+            prints = np.concatenate([p for _, p in found]) if found else np.empty(0, np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(np.array([x for x, _ in found], np.int64), size)), pa.array(prints),
+                                              pa.array(np.repeat(np.array(least, np.int32), size))], ["x", "cell", "least"])
+
+    all_rows = texts.select("set_id", "text").mapInArrow(rows, "x long, cell long, least int")
+    often = all_rows.groupBy("cell").agg(F.count(F.lit(1)).alias("often"))
+    ordered = (all_rows.join(often, "cell").groupBy("x", "least").agg(F.array_sort(F.collect_list(F.struct("often", "cell"))).alias("cells")))
+    return ordered.select("x", F.explode(F.slice("cells", F.lit(1), F.col("least"))).alias("c")).where("c.often > 1").select(F.col("c.cell").alias("cell"), "x")
+
+
 def similar_groups(docs: DataFrame, share: int = 75, width: int = SHINGLE) -> DataFrame:
     """(doc_id, text_key, n_shingles, component_id) per row of ``docs``; text_key is xxhash64 of the text.
 
@@ -319,8 +340,9 @@ def similar_groups(docs: DataFrame, share: int = 75, width: int = SHINGLE) -> Da
     the smallest doc_id that links lead to. Equal sets are one node, so copies are never compared. A set's prefix is its
     least shingles, so many that partners share several of them; pairs that share too few in regions of up to
     SMALL_REGION sets are left out by count, and each other pair is compared on its whole texts unless links found
-    before connect it. Only sets whose prefix is mostly in large regions, those with many near copies, are joined there,
-    by pivots. Null, empty and wordless texts have no shingles, link with nothing and are their own component; rows with
+    before connect it. Sets whose prefix has more shingles
+    of large regions than partners share anyhow take the regions of their rarest shingles instead; those that are large
+    all the same, of sets with many near copies, are joined by pivots. Null, empty and wordless texts have no shingles, link with nothing and are their own component; rows with
     a null id link with nothing; rows of one id may be in two components. An empty table gives no rows.
     """
     rule = Threshold(share)
@@ -331,7 +353,7 @@ def similar_groups(docs: DataFrame, share: int = 75, width: int = SHINGLE) -> Da
     buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-entries // BUCKET_ENTRIES))
     regions = kept(_regions(_prefix_entries(docs.where("doc_id is not null"), buckets, rule, width), buckets), "regions")
     nodes = sets.where("set_id is not null and doc_id is not null").groupBy("set_id").agg(F.first("size").alias("size"))
-    memberships = regions.where("kind = 1").groupBy("x", "y").agg(F.max("n").alias("n"))
+    memberships = regions.where("kind = 1").select("x", "y").distinct()
     large = memberships.groupBy(F.col("x").alias("set_id")).agg(F.count(F.lit(1)).alias("large"))
     least_slack = F.floor(F.ceil(F.col("size") * share / 100) / 10)
     sized = nodes.join(large, "set_id", "left").select(
@@ -343,10 +365,10 @@ def similar_groups(docs: DataFrame, share: int = 75, width: int = SHINGLE) -> Da
     pairs = (pairs.join(one, "x").join(two, "y")
              .where((F.col("n") >= need) & (100 * F.least("x_size", "y_size") >= share * F.greatest("x_size", "y_size"))).select("x", "y", "n"))
     pairs = kept(pairs, "pairs")
-    crowd = sized.where("crowded").select(F.col("set_id").alias("x"))
-    cells = kept(memberships.where("n = 1").select(F.col("y").alias("cell"), "x").join(crowd, "x", "left_semi").select("cell", "x"), "crowded")
-    wanted = (pairs.select("x").union(pairs.select("y")).union(cells.select("x"))).distinct().withColumnRenamed("x", "set_id")
+    crowd = kept(sized.where("crowded").select("set_id"), "crowded")
+    wanted = pairs.select("x").union(pairs.select("y")).union(crowd).distinct().withColumnRenamed("x", "set_id")
     texts = _texts_of(docs, sets, wanted)
+    cells = _rarest_first(texts.join(crowd, "set_id", "left_semi"), rule, width)
 
     def lookup(asked: DataFrame) -> DataFrame:
         return _common(asked, texts, width)
