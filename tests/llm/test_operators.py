@@ -44,7 +44,7 @@ def test_encoder_gives_the_ids_of_the_whole_text(encode):
     rnd = random.Random(1)
     parts = ["a", "word", "é", "²", "7", "'s", "'", "Ġ", ".", ",", "\n", " ", "  ", "\t", "\x1c", "\xa0", "<|endoftext|>", "_", "(", "字", "\x85", "🙂"]
     texts = ["".join(rnd.choice(parts) for _ in range(rnd.randint(0, 12))) for _ in range(3000)] + [None, "", "x" * 5000, "w x, y.\nZ " * 3000]
-    encoder = tokens.Encoder(tokenizer_path(), half=50)
+    encoder = tokens.Encoder(tokenizer_path(), most=50)
     assert [np.frombuffer(b, "<u4").tolist() for b in encoder.batch(texts, 1000)] == [encode(t)[:-1] for t in texts]
 
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from tidemark.llm.storage import kept
+from tidemark.llm.storage import dropped, kept
 
 
 def _forest(edges: DataFrame) -> DataFrame:
@@ -52,7 +52,8 @@ def components(edges: DataFrame, label: str = "components", most_rounds: int = 6
         least = large.groupBy("a").agg(F.min("b").alias("m"))
         moved = large.join(least, "a")
         small = moved.where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
-        edges = kept(least.select("a", F.col("m").alias("b")).union(small).distinct(), label)
+        last, edges = edges, kept(least.select("a", F.col("m").alias("b")).union(small).distinct(), label)
+        dropped(last, large)
         now = tuple(edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
         if now == before or not now[0]:
             break

@@ -11,7 +11,17 @@ def kept(df: DataFrame, label: str) -> DataFrame:
     """``df`` written to the shared scratch folder and read back, so that what it holds is fixed and its lineage ends."""
     path = scratch_path(df.sparkSession, label)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    table = df.sparkSession.read.schema(df.schema).parquet(path)
+    table._kept_at = path
+    return table
+
+
+def dropped(*tables: DataFrame) -> None:
+    """Deletes what ``kept`` wrote for tables that nothing reads any more."""
+    for table in tables:
+        spark = table.sparkSession
+        path = spark._jvm.org.apache.hadoop.fs.Path(table._kept_at)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def with_columns(batch, columns: dict):

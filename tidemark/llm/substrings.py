@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from tidemark.llm.shingling import Fingerprints, mixed, split_words, word_hashes
-from tidemark.llm.storage import kept, schema_of, set_aside
+from tidemark.llm.storage import dropped, kept, schema_of, set_aside
 
 WINDOW = 50
 #: words of an anchor: a window's anchor is the run of so many of its words with the smallest fingerprint
@@ -75,6 +75,7 @@ def repeated_spans(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     """
     runs = kept(anchored_runs(docs, window), "runs")
     candidates = kept(estimated_repeated(runs), "repeated-runs")
+    dropped(runs)
     groups = kept(candidates.groupBy("anchor", "print").agg(F.min("doc_id").alias("m")), "run-groups")
     grouped = candidates.join(groups, ["anchor", "print"])
     copies = grouped.where("doc_id > m").select("doc_id", "text_key", F.col("first").alias("start"), (F.col("first") + F.col("count") + window - 1).alias("end"))
