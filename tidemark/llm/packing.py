@@ -10,8 +10,8 @@ from pyspark.sql import DataFrame, Window, functions as F
 from tidemark.llm.storage import kept, schema_of, with_columns
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
-#: documents in each group of pieces that is numbered by itself
-SLICE_ROWS = 100_000
+#: pieces meant for each slice, in which pieces of one length are numbered, and slices at most
+SLICE_ROWS, MOST_SLICES = 1000, 4096
 
 
 class OpenBins:
@@ -126,13 +126,13 @@ def pack(pieces: DataFrame, capacity: int, label: str = "packing") -> DataFrame:
 
     Lengths from 1 to ``capacity`` are counted, and that histogram, whose size does not depend on the data, is packed.
     A piece's place follows from its rank among those of its length: the rank in its slice plus the sizes of the slices
-    before. Slices hold some hundred thousand documents, so a length that many pieces share is ranked in many tasks.
+    before. A length that many pieces share is thus ranked in many tasks.
     Ranks among equal lengths are arbitrary but written down once. An empty table gives no rows.
     """
     from itertools import chain
     pieces = kept(pieces, label)
     total = pieces.agg(F.count(F.lit(1))).first()[0]
-    slices = max(1, -(-total // SLICE_ROWS))
+    slices = min(max(1, -(-total // SLICE_ROWS)), MOST_SLICES)
     cut = pieces.withColumn("_slice", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(slices)))
     sizes = cut.groupBy("length", "_slice").agg(F.count(F.lit(1)).alias("_n"))
     counts = {r["length"]: r["n"] for r in sizes.groupBy("length").agg(F.sum("_n").alias("n")).collect()}
