@@ -5,15 +5,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from tidemark.llm.shingling import Fingerprints, mixed, split_words, word_hashes
-from tidemark.llm.storage import dropped, kept, schema_of, set_aside
+from tidemark.llm.storage import dropped, each, kept, schema_of, set_aside
 
 WINDOW = 50
 #: words of an anchor: a window's anchor is the run of so many of its words with the smallest fingerprint
 ANCHOR = 16
 #: counters of a sketch row for each anchor counted, and rows
 CELLS_PER_ANCHOR, SKETCH_ROWS = 8, 2
-#: runs whose documents are found by broadcasting the runs; more are joined by a shuffle
-MOST_BROADCAST_RUNS = 1_000_000
 RUNS = "anchor long, print long, doc_id long, text_key long, first int, count int"
 
 
@@ -28,7 +26,7 @@ def anchored_runs(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR) -
         import pyarrow as pa
         for batch in batches:
             out = []
-            for doc, key, text in zip(*(c.to_pylist() for c in batch.columns)):
+            for doc, key, text in zip(*(each(c) for c in batch.columns)):
                 words = split_words(text)
                 if len(words) < window:
                     continue
@@ -70,7 +68,7 @@ def repeated_spans(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     ``docs`` has doc_id, text_key and text. Runs estimated repeated are grouped exactly: of runs with equal words only
     the smallest document's can be first ones, all windows of the others are repeats. Where an anchor has runs that
     differ, the windows of those first ones are grouped by two 64-bit fingerprints of their words. Groups are minima,
-    made before the shuffle, and are joined back, so copies of a passage in any share of the documents never meet in
+    made before the shuffle, and are written and joined back (a join of written tables is cut up where a key is hot), so copies of a passage in any share of the documents never meet in
     one task.
     """
     runs = kept(anchored_runs(docs, window), "runs")
@@ -79,18 +77,16 @@ def repeated_spans(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     groups = kept(candidates.groupBy("anchor", "print").agg(F.min("doc_id").alias("m")), "run-groups")
     grouped = candidates.join(groups, ["anchor", "print"])
     copies = grouped.where("doc_id > m").select("doc_id", "text_key", F.col("first").alias("start"), (F.col("first") + F.col("count") + window - 1).alias("end"))
-    several = groups.groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("anchor")
+    several = kept(groups.groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("anchor"), "shared-anchors")
     firsts = grouped.where("doc_id = m").join(several, "anchor", "left_semi")
     per_document = kept(firsts.groupBy("doc_id", "text_key").agg(F.collect_list(F.struct("first", "count")).alias("runs")), "first-runs")
-    if (per_document.agg(F.sum(F.size("runs"))).first()[0] or 0) <= MOST_BROADCAST_RUNS:
-        per_document = F.broadcast(per_document)
 
     def prints(batches):
         import numpy as np
         import pyarrow as pa
         for batch in batches:
             out = []
-            for doc, key, text, first_runs in zip(*(c.to_pylist() for c in batch.columns)):
+            for doc, key, text, first_runs in zip(*(each(c) for c in batch.columns)):
                 hashes = word_hashes(split_words(text))
                 at = np.concatenate([np.arange(r["first"], r["first"] + r["count"]) for r in first_runs])
                 one, two = (Fingerprints(hashes, k).of(at, at + window) for k in (0, 1))
@@ -100,7 +96,7 @@ def repeated_spans(docs: DataFrame, window: int = WINDOW) -> DataFrame:
 
     windows = kept(docs.select("doc_id", "text_key", "text").join(per_document, ["doc_id", "text_key"])
                    .mapInArrow(prints, "one long, two long, doc_id long, text_key long, start int"), "windows")
-    earliest = windows.groupBy("one", "two").agg(F.min("doc_id").alias("m"), F.max("doc_id").alias("x")).where("m < x").drop("x")
+    earliest = kept(windows.groupBy("one", "two").agg(F.min("doc_id").alias("m"), F.max("doc_id").alias("x")).where("m < x").drop("x"), "first-windows")
     single = (windows.join(earliest, ["one", "two"]).where("doc_id > m")
               .select("doc_id", "text_key", "start", (F.col("start") + window).alias("end")))
     return copies.union(single)
@@ -127,7 +123,7 @@ def without_repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
         for batch in batches:
             counts, removed, texts = [], [], []
             spans_ = batch.column(len(columns))
-            for text, own in zip(batch.column(columns.index("text")).to_pylist(), spans_.to_pylist()):
+            for text, own in zip(each(batch.column(columns.index("text"))), each(spans_)):
                 words = split_words(text)
                 counts.append(len(words))
                 if own:
