@@ -47,8 +47,9 @@ def components(edges: DataFrame, label: str = "components", most_rounds: int = 6
     before = None
     for _ in range(most_rounds):
         both = edges.union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("m"))
+        least = kept(both.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("m")), label)
         large = kept(both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct(), label)
+        dropped(least)
         least = large.groupBy("a").agg(F.min("b").alias("m"))
         moved = large.join(least, "a")
         small = moved.where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))

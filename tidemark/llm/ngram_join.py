@@ -14,18 +14,20 @@ from pyspark.sql import DataFrame, functions as F
 
 from tidemark.llm.components import components
 from tidemark.llm.shingling import Fingerprints, split_words, word_hashes
-from tidemark.llm.storage import kept, set_aside
+from tidemark.llm.storage import each, kept, set_aside
 
 SHINGLE = 5
 #: documents of a region that are joined without pivots
 SMALL_REGION = 32
 #: pivots of a larger region in one round
-PIVOTS = 16
+PIVOTS = 128
 #: entries (shingle, document) meant for one bucket
 BUCKET_ENTRIES = 1_000_000
 #: ids of sets that a broadcast may hold when texts are looked up; more are joined by a shuffle
 MOST_BROADCAST_SETS = 1_000_000
 MOST_ROUNDS = 1000
+#: pairs whose sets are in a task's memory together
+COMPARED_AT_ONCE = 500
 _UPPER = bytes(range(256)).translate(bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123))))
 
 
@@ -71,7 +73,7 @@ def document_sets(docs: DataFrame, width: int = SHINGLE) -> DataFrame:
         import pyarrow as pa
         for batch in batches:
             sizes, ids = [], []
-            for text in batch.column(2).to_pylist():
+            for text in each(batch.column(2)):
                 prints = shingle_set(text, width)
                 sizes.append(len(prints))
                 ids.append(_set_id(prints) if len(prints) else None)
@@ -95,7 +97,7 @@ def _prefix_entries(docs: DataFrame, buckets: int, rule: Threshold, width: int)
         turn = 0
         for batch in batches:
             found, seen = [], set()
-            for text in batch.column(0).to_pylist():
+            for text in each(batch.column(0)):
                 prints = shingle_set(text, width)
                 size = len(prints)
                 own = _set_id(prints) if size else -1
@@ -226,12 +228,15 @@ def _common(pairs: DataFrame, texts: DataFrame, width: int) -> DataFrame:
         import numpy as np
         import pyarrow as pa
         for batch in batches:
-            known, rows = {}, []
-            for x, y, a, b in zip(*(c.to_pylist() for c in batch.columns)):
-                one, two = (known.get(k) if k in known else known.setdefault(k, shingle_set(t, width)) for k, t in ((x, a), (y, b)))
-                rows.append((x, y, len(np.intersect1d(one, two, assume_unique=True)), len(one), len(two)))
-            columns = list(zip(*rows)) or [()] * 5
-            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], ["x", "y", "common", "x_size", "y_size"])
+            for at in range(0, batch.num_rows, COMPARED_AT_ONCE):
+                known, rows = {}, []
+                for x, y, a, b in zip(*(each(c) for c in batch.slice(at, COMPARED_AT_ONCE).columns)):
+                    for key, text in ((x, a), (y, b)):
+                        if key not in known:
+                            known[key] = shingle_set(text, width)
+                    one, two = known[x], known[y]
+                    rows.append((x, y, len(np.intersect1d(one, two, assume_unique=True)), len(one), len(two)))
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows)], ["x", "y", "common", "x_size", "y_size"])
 
     return joined.mapInArrow(count, "x long, y long, common long, x_size long, y_size long")
 
@@ -320,7 +325,7 @@ def _rarest_first(texts: DataFrame, rule: Threshold, width: int) -> DataFrame:
         import numpy as np
         import pyarrow as pa
         for batch in batches:
-            found = [(x, shingle_set(t, width).view(np.int64)) for x, t in zip(*(c.to_pylist() for c in batch.columns))]
+            found = [(x, shingle_set(t, width).view(np.int64)) for x, t in zip(*(each(c) for c in batch.columns))]
             size = [len(p) for _, p in found]
             least = [n - rule.common(n) + 1 for n in size]
             prints = np.concatenate([p for _, p in found]) if found else np.empty(0, np.int64)
@@ -328,7 +333,7 @@ def _rarest_first(texts: DataFrame, rule: Threshold, width: int) -> DataFrame:
                                               pa.array(np.repeat(np.array(least, np.int32), size))], ["x", "cell", "least"])
 
     all_rows = texts.select("set_id", "text").mapInArrow(rows, "x long, cell long, least int")
-    often = all_rows.groupBy("cell").agg(F.count(F.lit(1)).alias("often"))
+    often = kept(all_rows.groupBy("cell").agg(F.count(F.lit(1)).alias("often")), "shingle-counts")
     ordered = (all_rows.join(often, "cell").groupBy("x", "least").agg(F.array_sort(F.collect_list(F.struct("often", "cell"))).alias("cells")))
     return ordered.select("x", F.explode(F.slice("cells", F.lit(1), F.col("least"))).alias("c")).where("c.often > 1").select(F.col("c.cell").alias("cell"), "x")
 

@@ -7,7 +7,7 @@ from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, Window, functions as F
 
-from tidemark.llm.storage import kept, schema_of, with_columns
+from tidemark.llm.storage import each, kept, schema_of, with_columns
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 #: pieces meant for each slice, in which pieces of one length are numbered, and slices at most
@@ -106,7 +106,7 @@ def token_pieces(docs: DataFrame, tokenizer: str, capacity: int, end_id: int = 0
         encode = encoder(tokenizer)
         for batch in batches:
             rows = []
-            for doc, ids in zip(batch.column(0).to_pylist(), encode.batch(batch.column(1).to_pylist())):
+            for doc, ids in zip(each(batch.column(0)), encode.batch(each(batch.column(1)))):
                 ids = memoryview(ids + end)
                 n = len(ids) // 4
                 at, upto, piece = 0, n % capacity or min(n, capacity), 0

@@ -24,6 +24,11 @@ def dropped(*tables: DataFrame) -> None:
         path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def each(column):
+    """The values of an Arrow column one by one, so that a batch of long texts is not held twice."""
+    return (x.as_py() for x in column)
+
+
 def with_columns(batch, columns: dict):
     """An Arrow batch with more columns."""
     import pyarrow as pa

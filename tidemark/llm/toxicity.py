@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from tidemark.llm.storage import kept, schema_of, set_aside
+from tidemark.llm.storage import each, kept, schema_of, set_aside
 
 #: letters of a word's beginning, the order that words back off to
 BEGINNING = 4
@@ -67,7 +67,7 @@ def continuation_counts(rows: DataFrame) -> DataFrame:
         for batch in batches:
             found = {}
             number, beginning, heads = {}, [], []
-            for text, toxic, fold in zip(*(c.to_pylist() for c in batch.columns)):
+            for text, toxic, fold in zip(*(each(c) for c in batch.columns)):
                 own = [number.setdefault(w, len(number)) for w in words(text)]
                 if own:
                     found.setdefault((int(bool(toxic)), fold != 3), []).append(np.array([-1, *own], np.int64))
@@ -208,7 +208,7 @@ def score(docs: DataFrame, labels: DataFrame, threshold: float = 0.3) -> DataFra
         import pyarrow as pa
         scorer = Scorer(trial.value)
         for batch in batches:
-            rows = [scorer.features(t) for t in batch.column(0).to_pylist()]
+            rows = [scorer.features(t) for t in each(batch.column(0))]
             yield pa.RecordBatch.from_arrays([pa.array(rows, pa.list_(pa.float64())), batch.column(1)], ["x", "toxic"])
 
     sample = (learning.where("_fold = 3").select("text", "toxic").mapInArrow(examined, "x array<double>, toxic int")
@@ -227,7 +227,7 @@ def score(docs: DataFrame, labels: DataFrame, threshold: float = 0.3) -> DataFra
         scorer = Scorer(model)
         text = columns.index("text")
         for batch in batches:
-            x = np.array([scorer.features(t) for t in batch.column(text).to_pylist()]).reshape(-1, FEATURES)
+            x = np.array([scorer.features(t) for t in each(batch.column(text))]).reshape(-1, FEATURES)
             p = 1 / (1 + np.exp(-np.clip(x @ w[1:] + w[0], -30, 30)))
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(p)], [*batch.schema.names, "_score"])
 

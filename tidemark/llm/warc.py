@@ -62,7 +62,7 @@ def record_types(chunks: DataFrame, at_least: int = 0) -> DataFrame:
     others revisit it (refers_to is that id); a null page_id is above all others. Smaller payloads are all responses.
     """
     records = chunks.where("last").select("record_id", "page_id", F.col("bytes").alias("total"), F.col("digest").alias("payload_digest"))
-    first = records.where(F.col("total") >= at_least).groupBy("payload_digest").agg(F.min("page_id").alias("first"))
+    first = kept(records.where(F.col("total") >= at_least).groupBy("payload_digest").agg(F.min("page_id").alias("first")), "warc-first")
     refers = F.when((F.col("total") >= at_least) & F.col("first").isNotNull() & ~F.col("first").eqNullSafe(F.col("page_id")), F.col("first"))
     return records.join(first, "payload_digest", "left").select("record_id", "total", "payload_digest", refers.alias("refers_to"))
 
