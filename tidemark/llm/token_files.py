@@ -8,8 +8,8 @@ from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 #: ids are unsigned 32-bit; vocabularies stay below 2^31, so ORC's 32-bit integer holds them
 IDS = "doc_id long, ids array<int>"
-#: characters of text a file is meant for; each is written by one task
-FILE_CHARS = 32 << 20
+#: documents a file is meant for; each is written by one task
+FILE_ROWS = 8192
 
 
 def write_token_files(docs: DataFrame, tokenizer: str, path: str, end_id: int = 0, stride: int = 1000) -> None:
@@ -39,8 +39,7 @@ def write_token_files(docs: DataFrame, tokenizer: str, path: str, end_id: int =
                 at += size
 
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    chars = docs.agg(F.sum(F.length("text"))).first()[0] or 0
-    ranges = max(1, -(-chars // FILE_CHARS))
+    ranges = max(1, -(-docs.count() // FILE_ROWS))
     (docs.repartitionByRange(ranges, "doc_id").sortWithinPartitions("doc_id").mapInArrow(encode, IDS)
      .write.option("compression", "zstd").option("orc.bloom.filter.columns", "doc_id").option("orc.row.index.stride", str(stride))
      .option("orc.create.index", "true").orc(path))

@@ -5,6 +5,7 @@ from __future__ import annotations
 import functools
 import re
 from collections.abc import Iterable
+from itertools import filterfalse, islice
 
 BYTES_PER_ID = 4
 # a space before which no piece ends: white space or the end follows
@@ -18,19 +19,18 @@ class Encoder:
     """Encodes texts with a ``tokenizers`` file, remembering the ids of space-delimited chunks.
 
     The byte-level pattern always starts a new piece at a space that a non-space follows, so the ids of a text are the
-    ids of its chunks between such places. Words repeat, and a remembered one is not encoded again. The memory has two
-    halves of ``half`` chunks each: a full half becomes the older one, and chunks met again move to the newer. Chunks
-    over ``longest`` characters are not kept. Special tokens' strings in a text are ordinary text.
+    ids of its chunks between such places. Words repeat, and a remembered one is not encoded again. When ``most`` chunks
+    are remembered the older half is forgotten; chunks over ``longest`` characters never outlive their block. Special
+    tokens' strings in a text are ordinary text.
     """
 
-    def __init__(self, path: str, half: int = 700_000, longest: int = 48):
+    def __init__(self, path: str, most: int = 1_200_000, longest: int = 48):
         import numpy as np
         from tokenizers import Tokenizer
         self._tokenizer = Tokenizer.from_file(path)
         self._tokenizer.encode_special_tokens = True
-        self._new: dict[str, bytes] = {}
-        self._old: dict[str, bytes] = {}
-        self._half, self._longest = half, longest
+        self._known: dict[str, bytes] = {}
+        self._most, self._longest = most, longest
         space = self._tokenizer.encode(" ", add_special_tokens=False).tokens[0]
         self._opens = np.zeros(self._tokenizer.get_vocab_size(), bool)
         for token, number in self._tokenizer.get_vocab().items():
@@ -48,7 +48,7 @@ class Encoder:
             raw = ids.tobytes()
             yield from (raw[a:b] for a, b in zip(at[:-1].tolist(), at[1:].tolist()))
 
-    def batch(self, texts: list[str | None], most: int = 4 << 20) -> Iterable[bytes]:
+    def batch(self, texts: Iterable[str | None], most: int = 4 << 20) -> Iterable[bytes]:
         """The ids of each text, without an end id; none for null and empty texts. About ``most`` characters at a time."""
         block, size = [], 0
         for text in texts:
@@ -60,26 +60,27 @@ class Encoder:
         yield from self._block(block)
 
     def _block(self, texts: list[str]) -> Iterable[bytes]:
-        parts = [t.split(" ") if _HELD_SPACE.search(t) is None else _CUT.split(t) for t in texts]
-        chunks = set()
-        for p in parts:
-            chunks.update(p[1:])
-        cut = {c: _pieces(c) for c in chunks if not c.isalpha()}
-        keys = {c for c in chunks if c not in cut}
-        keys.update(k for p in cut.values() for k in p)
-        new, old = self._new, self._old
-        known = {k: ids for k in keys if (ids := new.get(k) or old.get(k)) is not None}
-        plain = [k for k in keys if k not in known and k[0] != "\n" and " " not in k and len(k) <= self._longest]
+        known = self._known
+        if len(known) > self._most:
+            known = self._known = dict(islice(known.items(), len(known) // 2, None))
+        firsts, parts, missing = [], [], set()
+        for text in texts:
+            first, *rest = text.split(" ") if _HELD_SPACE.search(text) is None else _CUT.split(text)
+            firsts.append(first)
+            parts.append(rest)
+            missing.update(filterfalse(known.__contains__, rest))
+        cut = {c: _pieces(c) for c in missing if not c.isalpha()}
+        wanted = {c for c in missing if c not in cut}
+        wanted.update(k for p in cut.values() for k in p if k not in known)
+        plain = [k for k in wanted if k[0] != "\n" and " " not in k and len(k) <= self._longest]
         known.update(zip(plain, self._plain(plain)))
-        other = [k for k in keys if k not in known]
+        other = [k for k in wanted if k not in known]
         known.update((k, x.tobytes()) for k, x in zip(other, self._encode([k[1:] if k[0] == "\n" else " " + k for k in other])))
-        if len(new) + len(known) > self._half:
-            self._old, self._new = new, {}
-        self._new.update((k, ids) for k, ids in known.items() if len(k) <= self._longest)
         known.update([(c, b"".join([known[k] for k in p])) for c, p in cut.items()])
-        firsts = [x.tobytes() for x in self._encode([p[0] for p in parts])]
-        for first, p in zip(firsts, parts):
-            yield first + b"".join(map(known.__getitem__, p[1:]))
+        for first, rest in zip(self._encode(firsts), parts):
+            yield first.tobytes() + b"".join(map(known.__getitem__, rest))
+        for k in [k for k in missing.union(other) if len(k) > self._longest]:
+            del known[k]
 
 
 def _pieces(chunk: str) -> list[str]:
@@ -88,6 +89,8 @@ def _pieces(chunk: str) -> list[str]:
     A key that begins with a line break stands for the text after it, any other for itself after a space. A lone line
     break between two non-spaces is a piece by itself, and so are letters before final punctuation.
     """
+    if chunk[-1] in ".," and chunk[:-1].isalpha():
+        return [chunk[:-1], "\n" + chunk[-1]]
     lines = chunk.split("\n")
     if not all(lines) or _SPACE.search("".join(lines)):
         return [chunk]
