@@ -21,7 +21,7 @@ WINDOWS = (1, 5)
 FEATURES = 2 + len(WINDOWS)
 #: calibration where one class has fewer than FEW_ROWS rows: the best word must be some 400 times likelier in toxic texts
 FEW_ROWS, DEFAULT_WEIGHTS = 5, (-6.0, 0.0, 1.0, 0.0, 0.0)
-PAIRS = "w long, s long, v int, toxic int, fit boolean"
+PAIRS = "w long, v int, toxic int, fit boolean"
 
 
 def words(text: str | None) -> list[str]:
@@ -37,9 +37,11 @@ def _letters():
 _LETTERS = _letters()
 
 
-def _hash(text: str) -> int:
+def _key(word: str) -> int:
+    """64 bits: above, those of the word's beginning, which is what ``key >> 32`` gives; below, those of the word."""
     import xxhash
-    return xxhash.xxh3_64_intdigest(text) - (1 << 63)
+    key = xxhash.xxh3_64_intdigest(word[:BEGINNING]) >> 32 << 32 | xxhash.xxh3_64_intdigest(word) & 0xFFFFFFFF
+    return key - (1 << 64) if key >> 63 else key
 
 
 def with_folds(docs: DataFrame) -> DataFrame:
@@ -56,7 +58,7 @@ def labelled(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def continuation_counts(rows: DataFrame) -> DataFrame:
-    """(w, s, toxic, n, n_fit): after how many distinct words each word (and its beginning s) comes, per class.
+    """(w, toxic, n, n_fit): after how many distinct words each word comes, per class.
 
     n over all rows, n_fit over those outside fold 3. Counted over all of ``rows``: map tasks send each pair of
     neighbours once per batch, and the key is the pair, so no frequent word is gathered in one task.
@@ -66,14 +68,13 @@ def continuation_counts(rows: DataFrame) -> DataFrame:
         import pyarrow as pa
         for batch in batches:
             found = {}
-            number, beginning, heads = {}, [], []
+            number = {}
             for text, toxic, fold in zip(*(each(c) for c in batch.columns)):
                 own = [number.setdefault(w, len(number)) for w in words(text)]
                 if own:
                     found.setdefault((int(bool(toxic)), fold != 3), []).append(np.array([-1, *own], np.int64))
             vocabulary = list(number)
-            heads = np.array([_hash(w) for w in vocabulary] or [0], np.int64)
-            beginning = np.array([_hash("^" + w[:BEGINNING]) for w in vocabulary] or [0], np.int64)
+            heads = np.array([_key(w) for w in vocabulary] or [0], np.int64)
             for (toxic, fit), runs in found.items():
                 previous = np.concatenate([r[:-1] for r in runs])
                 current = np.concatenate([r[1:] for r in runs])
@@ -82,11 +83,11 @@ def continuation_counts(rows: DataFrame) -> DataFrame:
                 before = np.where(previous < 0, 0, heads[previous]).astype(np.int32)
                 n = len(code)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(heads[current]), pa.array(beginning[current]), pa.array(before),
-                     pa.array(np.full(n, toxic, np.int32)), pa.array(np.full(n, fit))], ["w", "s", "v", "toxic", "fit"])
+                    [pa.array(heads[current]), pa.array(before),
+                     pa.array(np.full(n, toxic, np.int32)), pa.array(np.full(n, fit))], ["w", "v", "toxic", "fit"])
 
-    distinct = rows.mapInArrow(pairs, PAIRS).groupBy("w", "v", "toxic").agg(F.max("fit").alias("fit"), F.first("s").alias("s"))
-    return distinct.groupBy("w", "toxic").agg(F.first("s").alias("s"), F.count(F.lit(1)).alias("n"), F.sum(F.col("fit").cast("long")).alias("n_fit"))
+    distinct = rows.mapInArrow(pairs, PAIRS).groupBy("w", "v", "toxic").agg(F.max("fit").alias("fit"))
+    return distinct.groupBy("w", "toxic").agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("fit").cast("long")).alias("n_fit"))
 
 
 def _orders(counts: DataFrame, n: str):
@@ -101,7 +102,7 @@ def _orders(counts: DataFrame, n: str):
     def of(toxic, name):
         return F.sum(F.when(F.col("toxic") == toxic, F.col(n)).otherwise(0)).alias(name)
 
-    table = counts.where(F.col(n) > 0).groupBy("w").agg(F.first("s").alias("s"), of(0, "m0"), of(1, "m1"))
+    table = counts.where(F.col(n) > 0).groupBy("w").agg(of(0, "m0"), of(1, "m1")).withColumn("s", F.shiftright("w", 32))
     beginnings = table.groupBy("s").agg(F.sum((F.col("m0") > 0).cast("long")).alias("b0"), F.sum((F.col("m1") > 0).cast("long")).alias("b1"),
                                         F.sum(F.col("m0") + F.col("m1")).alias("inside"))
     sums = table.agg(*(F.sum(f"m{c}").alias(f"m{c}") for c in (0, 1)), *(F.sum((F.col(f"m{c}") > 0).cast("long")).alias(f"k{c}") for c in (0, 1))).first()
@@ -140,8 +141,8 @@ class Scorer:
     def _value(self, word: str) -> float:
         import numpy as np
         (heads, values), (beginnings, ratios), never = self.model
-        for keys, found, text in ((heads, values, word), (beginnings, ratios, "^" + word[:BEGINNING])):
-            key = _hash(text)
+        own = _key(word)
+        for keys, found, key in ((heads, values, own), (beginnings, ratios, own >> 32)):
             at = int(np.searchsorted(keys, key))
             if at < len(keys) and keys[at] == key:
                 return float(found[at])
