@@ -19,7 +19,7 @@ from tidemark.llm.storage import each, kept, set_aside
 SHINGLE = 5
 #: documents of a region that are joined without pivots
 SMALL_REGION = 32
-#: pivots of a larger region in one round
+#: pivots of the largest region in one round, on average
 PIVOTS = 128
 #: entries (shingle, document) meant for one bucket
 BUCKET_ENTRIES = 1_000_000
@@ -256,15 +256,13 @@ def _all_pairs(cells: DataFrame) -> DataFrame:
     return pairs.select(F.col("a.x").alias("x"), F.col("b.x").alias("y"))
 
 
-def _pivots(members: DataFrame, turn: int) -> DataFrame:
-    """(cell, p): up to PIVOTS members of each cell that are not yet connected to its pivot, by a hash of the round.
+def _pivots(members: DataFrame, most: int, turn: int) -> DataFrame:
+    """(cell, p): members not yet connected to their cell's pivot, by a hash of the round, about PIVOTS in the largest cell.
 
-    Only members below a hash that some of a cell's are expected to be below are gathered; a cell may get none for once.
+    A set is a pivot in all its cells or in none, so a pivot has met all it shares a cell with and is done for good.
     """
     mark = F.xxhash64(F.lit(turn), "x").bitwiseAND(F.lit((1 << 62) - 1))
-    low = members.where(~F.col("inner") & (mark.cast("double") * F.col("outer") < float(4 * PIVOTS) * (1 << 62)))
-    chosen = low.groupBy("cell").agg(F.slice(F.array_sort(F.collect_set(F.struct(mark.alias("mark"), F.col("x").alias("p")))), 1, PIVOTS).alias("ps"))
-    return chosen.select("cell", F.explode("ps.p").alias("p"))
+    return members.where(~F.col("inner") & (mark.cast("double") * most < float(PIVOTS) * (1 << 62))).select("cell", F.col("x").alias("p"))
 
 
 def _large_regions(cells: DataFrame, lookup, rule: Threshold) -> DataFrame:
@@ -290,7 +288,8 @@ def _large_regions(cells: DataFrame, lookup, rule: Threshold) -> DataFrame:
             return _links(compared, rule)
         cells = cells.join(sizes, "cell")
         large = cells.where(F.col("size") > SMALL_REGION)
-        pivots = kept(_pivots(large, turn), "pivots")
+        most = sizes.agg(F.max("outer")).first()[0]
+        pivots = kept(_pivots(large, most, turn), "pivots")
         to_pivot = kept(large.select("cell", "x").join(pivots, "cell"), "to-pivots")
         star = to_pivot.where("x <> p").select(*_ordered(F.col("x"), F.col("p")))
         asked = _all_pairs(cells.where(F.col("size") <= SMALL_REGION)).union(star).distinct()
