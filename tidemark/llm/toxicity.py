@@ -4,15 +4,15 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from tidemark.llm.storage import each, kept, schema_of, set_aside
+from tidemark.llm.storage import each, kept, set_aside
 
 #: letters of a word's beginning, the order that words back off to
 BEGINNING = 4
 DISCOUNT = 0.75
 #: words met after fewer distinct words than this are rare: they are scored by their beginning alone
 LEAST_COUNT = 3
-#: entries of either order that scoring keeps, those that say most; a bound of what is broadcast
-MOST_ENTRIES = 300_000
+#: characters of the texts that are scored together, and entries looked up in one task's range, about
+CHUNK, ENTRIES_A_RANGE = 12 << 20, 400_000
 #: labelled rows the score's calibration is fitted on at most
 MOST_CALIBRATION = 20_000
 #: labels a broadcast may hold; more are joined by a shuffle
@@ -21,7 +21,10 @@ WINDOWS = (1, 5)
 FEATURES = 2 + len(WINDOWS)
 #: calibration where one class has fewer than FEW_ROWS rows: the best word must be some 400 times likelier in toxic texts
 FEW_ROWS, DEFAULT_WEIGHTS = 5, (-6.0, 0.0, 1.0, 0.0, 0.0)
-PAIRS = "w long, v int, toxic int, fit boolean"
+#: counts of an entry: in ordinary and toxic texts, of all learning rows and of those outside fold 3
+COUNTS = ["n0", "n1", "f0", "f1"]
+#: kinds of entries: words, beginnings, and the words' counts summed by beginning
+WORD, BEGIN, INSIDE = 0, 1, 2
 
 
 def words(text: str | None) -> list[str]:
@@ -49,123 +52,286 @@ def with_folds(docs: DataFrame) -> DataFrame:
     return docs.withColumn("_fold", F.pmod(F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")), F.lit(4)))
 
 
-def labelled(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """(text, toxic, _fold) of the documents with a label outside fold 2. Repeated labels of an id count as the highest."""
-    marks = labels.where("toxic is not null and doc_id is not null").groupBy("doc_id").agg(F.max(F.col("toxic").cast("int")).alias("toxic"))
-    if labels.count() <= MOST_BROADCAST_LABELS:
-        marks = F.broadcast(marks)
-    return with_folds(docs.select("doc_id", "text")).where("_fold <> 2").join(marks, "doc_id").select("text", "toxic", "_fold")
+def _pack(array) -> bytes:
+    """The bytes of an array, compressed after their number."""
+    import pyarrow as pa
+    raw = array.tobytes()
+    return len(raw).to_bytes(8, "little") + pa.compress(raw, codec="zstd", asbytes=True)
+
+
+def _unpack(packed: bytes, kind):
+    import numpy as np
+    import pyarrow as pa
+    return np.frombuffer(pa.decompress(packed[8:], int.from_bytes(packed[:8], "little"), codec="zstd", asbytes=True), kind)
 
 
-def continuation_counts(rows: DataFrame) -> DataFrame:
-    """(w, toxic, n, n_fit): after how many distinct words each word comes, per class.
+def chunks(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """The texts as numbers of words, about CHUNK characters a row: words' keys, word numbers, and length, kind and digest by text.
 
-    n over all rows, n_fit over those outside fold 3. Counted over all of ``rows``: map tasks send each pair of
-    neighbours once per batch, and the key is the pair, so no frequent word is gathered in one task.
+    A text's kind is -1 if nothing is learned from it (no label, or fold 2), else toxic + 2 * (fold 3). Repeated labels of
+    an id count as the highest. Texts without words are left out.
     """
-    def pairs(batches):
+    marks = labels.where("toxic is not null and doc_id is not null").groupBy("doc_id").agg(F.max(F.col("toxic").cast("int")).alias("toxic"))
+    if labels.count() <= MOST_BROADCAST_LABELS:
+        marks = F.broadcast(marks)
+    kind = F.when(F.col("toxic").isNull() | (F.col("_fold") == 2), -1).otherwise((F.col("toxic") > 0).cast("int") + 2 * (F.col("_fold") == 3).cast("int"))
+    rows = with_folds(docs.select("doc_id", "text")).join(marks, "doc_id", "left").select("text", kind.alias("kind"), digest().alias("d"))
+
+    def encoded(batches):
         import numpy as np
         import pyarrow as pa
+        from pyspark import TaskContext
+        part, made = TaskContext.get().partitionId(), 0
+
+        def row():
+            heads = np.array([_key(w) for w in number], np.int64)
+            return pa.RecordBatch.from_pydict({
+                "chunk": [part << 32 | made], "heads": [heads.tobytes()], "seq": [_pack(np.concatenate(runs))],
+                "lengths": [_pack(np.array([len(r) for r in runs], np.int64))], "kinds": [_pack(np.array(kinds, np.int8))], "digests": [b"".join(digests)]},
+                pa.schema([("chunk", pa.int64()), *((k, pa.binary()) for k in ("heads", "seq", "lengths", "kinds", "digests"))]))
+
+        number, runs, kinds, digests, size = {}, [], [], [], 0
         for batch in batches:
-            found = {}
-            number = {}
-            for text, toxic, fold in zip(*(each(c) for c in batch.columns)):
+            for text, kind, d in zip(*(each(c) for c in batch.columns)):
                 own = [number.setdefault(w, len(number)) for w in words(text)]
                 if own:
-                    found.setdefault((int(bool(toxic)), fold != 3), []).append(np.array([-1, *own], np.int64))
-            vocabulary = list(number)
-            heads = np.array([_key(w) for w in vocabulary] or [0], np.int64)
-            for (toxic, fit), runs in found.items():
-                previous = np.concatenate([r[:-1] for r in runs])
-                current = np.concatenate([r[1:] for r in runs])
-                code = np.unique((previous + 1) * len(vocabulary) + current)
-                previous, current = code // len(vocabulary) - 1, code % len(vocabulary)
-                before = np.where(previous < 0, 0, heads[previous]).astype(np.int32)
-                n = len(code)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(heads[current]), pa.array(before),
-                     pa.array(np.full(n, toxic, np.int32)), pa.array(np.full(n, fit))], ["w", "v", "toxic", "fit"])
-
-    distinct = rows.mapInArrow(pairs, PAIRS).groupBy("w", "v", "toxic").agg(F.max("fit").alias("fit"))
-    return distinct.groupBy("w", "toxic").agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("fit").cast("long")).alias("n_fit"))
-
-
-def _orders(counts: DataFrame, n: str):
-    """Log ratios toxic / ordinary of the words and of the beginnings, as sorted arrays of hashes with their values.
-
-    Both orders are discounted per class; what is taken off goes to the next order: words back off to beginnings (by how
-    many distinct words of the class begin so) times a share of the word in its beginning that both classes have in
-    common, beginnings to their share over both classes. What both have in common cancels for words never met.
+                    runs.append(np.array(own, np.uint32))
+                    kinds.append(kind)
+                    digests.append(d)
+                    size += len(text)
+                if size >= CHUNK:
+                    yield row()
+                    made += 1
+                    number, runs, kinds, digests, size = {}, [], [], [], 0
+        if runs:
+            yield row()
+
+    return kept(rows.mapInArrow(encoded, "chunk long, heads binary, seq binary, lengths binary, kinds binary, digests binary"), "toxic-chunks")
+
+
+def digest():
+    return F.unhex(F.md5(F.col("text").cast("binary")))
+
+
+class Chunk:
+    """One row of ``chunks``: its distinct pairs (previous word, word), and which of them each place holds."""
+
+    def __init__(self, row: dict):
+        import numpy as np
+        self.heads = np.frombuffer(row["heads"], np.int64)
+        self.lengths, self.kinds = _unpack(row["lengths"], np.int64), _unpack(row["kinds"], np.int8)
+        self.digests = [row["digests"][i:i + 16] for i in range(0, len(row["digests"]), 16)]
+        current = _unpack(row["seq"], np.uint32).astype(np.int64)
+        previous = np.concatenate([[-1], current[:-1]])
+        previous[np.cumsum(self.lengths)[:-1]] = -1
+        self.code = (previous + 1) * len(self.heads) + current
+
+    def split(self, code):
+        """Numbers of the previous word (-1 at the start of a text) and of the word."""
+        return code // len(self.heads) - 1, code % len(self.heads)
+
+    def history(self, previous):
+        import numpy as np
+        return np.where(previous < 0, 0, self.heads[previous])
+
+
+def pair_counts(texts: DataFrame) -> DataFrame:
+    """(w, v, n0, n1, f0, f1): how often word w follows v in ordinary and in toxic texts, over all learning rows and without fold 3.
+
+    Map tasks count within a chunk, and the key is the pair, so no frequent word is gathered in one task.
     """
+    def counted(batches):
+        import numpy as np
+        import pyarrow as pa
+        for batch in batches:
+            for row in batch.to_pylist():
+                chunk = Chunk(row)
+                kinds = np.repeat(chunk.kinds, chunk.lengths)
+                for kind in range(4):
+                    code, n = np.unique(chunk.code[kinds == kind], return_counts=True)
+                    previous, current = chunk.split(code)
+                    yield pa.RecordBatch.from_arrays([pa.array(chunk.heads[current]), pa.array(chunk.history(previous)),
+                                                      pa.array(np.full(len(code), kind, np.int32)), pa.array(n.astype(np.int64))], ["w", "v", "kind", "n"])
+
+    rows = texts.mapInArrow(counted, "w long, v long, kind int, n long")
+    return rows.groupBy("w", "v").agg(*(F.sum(F.when(F.col("kind").isin(kinds), F.col("n")).otherwise(0)).alias(name)
+                                        for name, kinds in zip(COUNTS, ([0, 2], [1, 3], [0], [1]))))
+
+
+def _types(df: DataFrame, key, name: str) -> DataFrame:
+    """How many rows of ``df`` have each count, by key."""
+    return df.groupBy(key.alias(name)).agg(*(F.sum((F.col(c) > 0).cast("long")).alias(c) for c in COUNTS))
+
+
+def _mixed(kind: int, w, v=0):
+    """64-bit keys of entries: splitmix64 of the kind of entry, a word or beginning, and the word before it."""
+    import numpy as np
+
+    def mix(x):
+        x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+        x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+        return x ^ (x >> np.uint64(31))
+
+    w, v = (np.atleast_1d(np.asarray(x, np.int64)).view(np.uint64) for x in (w, v))
+    with np.errstate(over="ignore"):
+        return mix(mix(v + np.uint64(0x9E3779B97F4A7C15) * np.uint64(kind + 1)) ^ w)
+
+
+class Model:
+    """Totals of one pair of models; the counts themselves are looked up."""
+
+    def __init__(self, at: int, sums: dict, tops: dict):
+        self.at = slice(at, at + 2)
+        names = COUNTS[self.at]
+        self.m, self.k = ([sums[f"{s}{c}"] for c in names] for s in "sk")
+        self.b, self.bk = ([tops[f"{s}{c}"] for c in names] for s in "sk")
+        self.all = tops["all" + names[0]]
+        self.known = all(self.m)
+
+    def values(self, word, beginning, inside):
+        """Log ratios toxic / ordinary. Arguments are counts by entry, one row each.
+
+        Orders are discounted per class; what is taken off goes to the next order: words back off to beginnings (by how
+        many distinct words of the class begin so) times a share of the word in its beginning that both classes have in
+        common, beginnings to their share over both classes. What both have in common cancels for words never met.
+        """
+        import numpy as np
+        if not self.known:
+            return np.zeros(len(word))
+        m, b, inside = word[:, self.at], beginning[:, self.at], inside[:, self.at].sum(axis=1)
+        rare = m.sum(axis=1) < LEAST_COUNT
+        m, b = np.where(rare[:, None], 0, m), np.where((rare & (b.sum(axis=1) < LEAST_COUNT))[:, None], 0, b)
+        met = m.sum(axis=1)
+        share = np.where(met > 0, met / np.maximum(inside, 1), 1.0)
+        top = (b.sum(axis=1) + 0.5) / (sum(self.b) + 0.5 * self.all)
+        p = []
+        for c in (0, 1):
+            begin = np.maximum(b[:, c] - DISCOUNT, 0) / self.b[c] + DISCOUNT * self.bk[c] / self.b[c] * top
+            p.append(np.maximum(m[:, c] - DISCOUNT, 0) / self.m[c] + DISCOUNT * self.k[c] / self.m[c] * begin * share)
+        return np.log(p[1] / p[0])
+
+
+def learned(pairs: DataFrame):
+    """(tables, first, full): the (w, v, counts) of each kind of entry, and the totals of the models without and with fold 3."""
+    words_ = kept(_types(pairs, F.col("w"), "w"), "toxic-words")
+    begin = F.shiftright("w", 32)
+    beginnings = kept(_types(words_, begin, "w"), "toxic-beginnings")
+    inside = words_.groupBy(begin.alias("w")).agg(*(F.sum(c).alias(c) for c in COUNTS))
+    totals = [F.sum(c).alias(f"s{c}") for c in COUNTS] + [F.sum((F.col(c) > 0).cast("long")).alias(f"k{c}") for c in COUNTS]
+    met = [F.sum((F.col(a) + F.col(b) > 0).cast("long")).alias("all" + a) for a, b in (COUNTS[:2], COUNTS[2:])]
+    sums, tops = (df.agg(*totals, *met).first().asDict() for df in (words_, beginnings))
+    return {WORD: words_, BEGIN: beginnings, INSIDE: inside}, Model(2, sums, tops), Model(0, sums, tops)
+
+
+def _wanted(chunk: Chunk, code):
+    """Keys of the entries that the distinct pairs need, by kind."""
+    _, current = chunk.split(code)
+    w = chunk.heads[current]
+    return {WORD: _mixed(WORD, w), BEGIN: _mixed(BEGIN, w >> 32), INSIDE: _mixed(INSIDE, w >> 32)}
+
+
+def _entries(tables: dict, bits: int) -> DataFrame:
+    """(b, key, counts) of all entries; b is the range of the key, one of 2 ** bits."""
+    rows = None
+    for kind, table in tables.items():
+        own = table.select(F.lit(kind).alias("kind"), "w", (F.col("v") if "v" in table.columns else F.lit(0).cast("long")).alias("v"), *COUNTS)
+        rows = own if rows is None else rows.unionByName(own)
+
+    def keyed(batches):
+        import numpy as np
+        import pyarrow as pa
+        for batch in batches:
+            kind, w, v = (c.to_numpy(zero_copy_only=False) for c in batch.columns[:3])
+            key = np.empty(len(w), np.uint64)
+            for k in np.unique(kind).tolist():
+                own = kind == k
+                key[own] = _mixed(k, w[own], v[own])
+            yield pa.RecordBatch.from_arrays([pa.array(_range(key, bits)), pa.array(key.view(np.int64)), *batch.columns[3:]], ["b", "key", *COUNTS])
+
+    return rows.mapInArrow(keyed, "b int, key long, " + ", ".join(f"{c} long" for c in COUNTS))
+
+
+def _range(key, bits: int):
     import numpy as np
+    return (key >> np.uint64(64 - bits)).astype(np.int32)
+
+
+def features(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """(d, kind, x, t): features of each text with words under the models of all learning rows, and under those without fold 3.
 
-    def of(toxic, name):
-        return F.sum(F.when(F.col("toxic") == toxic, F.col(n)).otherwise(0)).alias(name)
-
-    table = counts.where(F.col(n) > 0).groupBy("w").agg(of(0, "m0"), of(1, "m1")).withColumn("s", F.shiftright("w", 32))
-    beginnings = table.groupBy("s").agg(F.sum((F.col("m0") > 0).cast("long")).alias("b0"), F.sum((F.col("m1") > 0).cast("long")).alias("b1"),
-                                        F.sum(F.col("m0") + F.col("m1")).alias("inside"))
-    sums = table.agg(*(F.sum(f"m{c}").alias(f"m{c}") for c in (0, 1)), *(F.sum((F.col(f"m{c}") > 0).cast("long")).alias(f"k{c}") for c in (0, 1))).first()
-    tops = beginnings.agg(*(F.sum(f"b{c}").alias(f"b{c}") for c in (0, 1)), *(F.sum((F.col(f"b{c}") > 0).cast("long")).alias(f"k{c}") for c in (0, 1)),
-                          F.count(F.lit(1)).alias("all")).first()
-    empty = np.empty(0, np.int64), np.empty(0, np.float64)
-    if not sums["m0"] or not sums["m1"]:
-        return empty, empty, 0.0
-    off = [DISCOUNT * sums[f"k{c}"] / sums[f"m{c}"] for c in (0, 1)]
-    top_off = [DISCOUNT * tops[f"k{c}"] / tops[f"b{c}"] for c in (0, 1)]
-    share = (F.col("b0") + F.col("b1") + 0.5) / (tops["b0"] + tops["b1"] + 0.5 * tops["all"])
-    begin = beginnings.select("s", "inside", (F.col("b0") + F.col("b1")).alias("types"), *(
-        (off[c] * (F.greatest(F.col(f"b{c}") - DISCOUNT, F.lit(0.0)) / tops[f"b{c}"] + top_off[c] * share)).alias(f"p{c}") for c in (0, 1)))
-    begin = begin.withColumn("ratio", F.log(F.col("p1") / F.col("p0")))
-    never = float(np.log(off[1] * top_off[1] / (off[0] * top_off[0])))
-    single = (table.where(F.col("m0") + F.col("m1") >= LEAST_COUNT).join(begin, "s")
-              .withColumn("share", (F.col("m0") + F.col("m1")) / F.col("inside")))
-    p = [F.greatest(F.col(f"m{c}") - DISCOUNT, F.lit(0.0)) / sums[f"m{c}"] + F.col(f"p{c}") * F.col("share") for c in (0, 1)]
-    single = single.select("w", "s", (F.col("m0") + F.col("m1")).alias("n"), F.log(p[1] / p[0]).alias("value"), "ratio")
-
-    def largest(df, key, value, weight):
-        rows = df.select(F.col(key).alias("key"), value.alias("value"), weight.alias("weight"))
-        rows = rows.orderBy(F.col("weight").desc(), "key").limit(MOST_ENTRIES).toPandas().sort_values("key")
-        return rows["key"].to_numpy(np.int64), rows["value"].to_numpy(np.float64)
-
-    return (largest(single, "w", F.col("value"), F.abs(F.col("value") - F.col("ratio")) * F.col("n")),
-            largest(begin.where(F.col("types") >= LEAST_COUNT), "s", F.col("ratio"), F.abs(F.col("ratio") - never) * F.col("types")), never)
-
-
-class Scorer:
-    """Length-normalised log-likelihood differences of whole texts under the two models."""
-
-    def __init__(self, model, memory: int = 500_000):
-        self.model, self.memory, self.known = model, memory, {}
-
-    def _value(self, word: str) -> float:
+    Every entry is kept at any size: entries are dealt by ranges of their keys, each chunk sends the distinct keys it
+    needs to those ranges, and what is found there comes back to the chunk. Nothing is broadcast but totals.
+    """
+    texts = chunks(docs, labels)
+    pairs = kept(pair_counts(texts), "toxic-pairs")
+    tables, first, full = learned(pairs)
+    bits = max(4, (sum(t.count() for t in tables.values()) // ENTRIES_A_RANGE).bit_length())
+
+    def asked(batches):
+        import numpy as np
+        import pyarrow as pa
+        for batch in batches:
+            for row in batch.to_pylist():
+                chunk = Chunk(row)
+                keys = np.unique(np.concatenate(list(_wanted(chunk, np.unique(chunk.code)).values())))
+                ranges, starts = np.unique(_range(keys, bits), return_index=True)
+                own = [_pack(k) for k in np.split(keys, starts[1:])]
+                yield pa.RecordBatch.from_arrays([pa.array(ranges), pa.array([row["chunk"]] * len(ranges), pa.int64()), pa.array(own, pa.binary())], ["b", "chunk", "keys"])
+
+    def found(entries, requests):
         import numpy as np
-        (heads, values), (beginnings, ratios), never = self.model
-        own = _key(word)
-        for keys, found, key in ((heads, values, own), (beginnings, ratios, own >> 32)):
-            at = int(np.searchsorted(keys, key))
-            if at < len(keys) and keys[at] == key:
-                return float(found[at])
-        return never
-
-    def features(self, text: str | None) -> list[float]:
-        """Mean over the text, the highest mean over 1 and over 5 words in a row, and the log of the word count."""
+        import pyarrow as pa
+        keys = entries["key"].to_numpy().view(np.uint64)
+        order = np.argsort(keys)
+        keys = keys[order]
+        counts = np.stack([entries[c].to_numpy() for c in COUNTS], axis=1)[order]
+        out = {"chunk": [], "keys": [], "counts": []}
+        for chunk, wanted in zip(requests["chunk"].to_pylist(), requests["keys"]) if len(keys) else ():
+            wanted = _unpack(wanted.as_py(), np.uint64)
+            at = np.minimum(np.searchsorted(keys, wanted), len(keys) - 1)
+            hit = keys[at] == wanted
+            for name, value in (("chunk", chunk), ("keys", _pack(wanted[hit])), ("counts", _pack(counts[at[hit]]))):
+                out[name].append(value)
+        return pa.table(out, pa.schema([("chunk", pa.int64()), ("keys", pa.binary()), ("counts", pa.binary())]))
+
+    def examined(rows, answers):
         import numpy as np
-        own = words(text)
-        if not own:
-            return [0.0] * FEATURES
-        known = self.known
-        values = [known.get(w) for w in own]
-        if None in values:
-            if len(known) > self.memory:
-                known.clear()
-            for w in own:
-                if w not in known:
-                    known[w] = self._value(w)
-            values = [known[w] for w in own]
-        sums = np.concatenate([[0.0], np.cumsum(values)])
-        best = [float((sums[k:] - sums[:-k]).max()) / k for k in (min(w, len(own)) for w in WINDOWS)]
-        return [float(sums[-1]) / len(own), *best, float(np.log1p(len(own)))]
+        import pyarrow as pa
+        out = {"d": [], "kind": [], "x": [], "t": []}
+        keys = np.concatenate([np.empty(0, np.uint64), *(_unpack(k.as_py(), np.uint64) for k in answers["keys"])])
+        counts = np.concatenate([np.empty((0, 4), np.int64), *(_unpack(c.as_py(), np.int64).reshape(-1, 4) for c in answers["counts"])])
+        order = np.argsort(keys)
+        keys, counts = np.append(keys[order], np.uint64(0)), np.vstack([counts[order], np.zeros((1, 4), np.int64)])
+        for row in rows.to_pylist():
+            chunk = Chunk(row)
+            code, places = np.unique(chunk.code, return_inverse=True)
+            got = []
+            for wanted in _wanted(chunk, code).values():
+                at = np.searchsorted(keys[:-1], wanted)
+                got.append(counts[np.where(keys[at] == wanted, at, len(keys) - 1)])
+            x, t = (_summary(m.values(*got)[places], chunk.lengths) for m in (full, first))
+            out["d"] += chunk.digests
+            out["kind"] += chunk.kinds.tolist()
+            out["x"] += x
+            out["t"] += t
+        return pa.table(out, pa.schema([("d", pa.binary()), ("kind", pa.int32()), ("x", pa.list_(pa.float64())), ("t", pa.list_(pa.float64()))]))
+
+    requests = texts.mapInArrow(asked, "b int, chunk long, keys binary")
+    answers = _entries(tables, bits).groupBy("b").cogroup(requests.groupBy("b")).applyInArrow(found, "chunk long, keys binary, counts binary")
+    rows = texts.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(examined, "d binary, kind int, x array<double>, t array<double>")
+    return kept(rows, "toxic-features")
+
+
+def _summary(values, lengths) -> list[list[float]]:
+    """By text: mean, the highest mean over 1 and over 5 words in a row, and the log of the word count."""
+    import numpy as np
+    out, start = [], 0
+    for n in lengths.tolist():
+        sums = np.concatenate([[0.0], np.cumsum(values[start:start + n])])
+        best = [float((sums[k:] - sums[:-k]).max()) / k for k in (min(w, n) for w in WINDOWS)]
+        out.append([float(sums[-1]) / n, *best, float(np.log1p(n))])
+        start += n
+    return out
 
 
 def _fit_logistic(features, marks, ridge: float = 1e-2, steps: int = 50):
@@ -193,44 +359,28 @@ def score(docs: DataFrame, labels: DataFrame, threshold: float = 0.3) -> DataFra
     The models and the calibration learn from labelled rows outside fold 2 only, and from their text and label alone.
     Counts cover all of those rows; a first pair of models without fold 3 scores at most MOST_CALIBRATION rows of fold 3,
     on which a logistic regression turns the log-likelihood differences into a score; the models that score ``docs`` then
-    use all learning rows. Each keeps at most MOST_ENTRIES words and beginnings, which bounds what is broadcast. A text
-    is scored as a whole, in one pass without a shuffle. Null, empty and wordless texts have no evidence and get the
-    score of zero differences. Without labels of both classes every difference is 0. Repeated rows get equal scores.
+    use all learning rows. Scores meet their rows again by a digest of the text. Null, empty and wordless texts have no
+    evidence and get the score of zero differences. Without labels of both classes every difference is 0. Repeated rows
+    get equal scores.
     """
     import numpy as np
     docs, restore = set_aside(docs, ["doc_id", "text"], ["_held_out", "_score", "_predicted"])
-    spark = docs.sparkSession
-    learning = labelled(docs, labels)
-    counts = kept(continuation_counts(learning), "toxic-words")
-    first, full = _orders(counts, "n_fit"), _orders(counts, "n")
-    trial = spark.sparkContext.broadcast(first)
-
-    def examined(batches):
-        import pyarrow as pa
-        scorer = Scorer(trial.value)
-        for batch in batches:
-            rows = [scorer.features(t) for t in each(batch.column(0))]
-            yield pa.RecordBatch.from_arrays([pa.array(rows, pa.list_(pa.float64())), batch.column(1)], ["x", "toxic"])
-
-    sample = (learning.where("_fold = 3").select("text", "toxic").mapInArrow(examined, "x array<double>, toxic int")
-              .orderBy(F.xxhash64("x")).limit(MOST_CALIBRATION).collect())
-    marks = np.array([r["toxic"] > 0 for r in sample], float)
+    examined = features(docs, labels)
+    sample = examined.where("kind >= 2").select("t", "kind").orderBy(F.xxhash64("t")).limit(MOST_CALIBRATION).collect()
+    marks = np.array([r["kind"] == 3 for r in sample], float)
     if min(marks.sum(), len(marks) - marks.sum()) < FEW_ROWS:
         weights = np.array(DEFAULT_WEIGHTS)
     else:
-        weights = _fit_logistic(np.array([r["x"] for r in sample]), marks)
-    final = spark.sparkContext.broadcast((full, weights))
-    columns = docs.columns
-
-    def scored(batches):
-        import pyarrow as pa
-        model, w = final.value
-        scorer = Scorer(model)
-        text = columns.index("text")
-        for batch in batches:
-            x = np.array([scorer.features(t) for t in each(batch.column(text))]).reshape(-1, FEATURES)
-            p = 1 / (1 + np.exp(-np.clip(x @ w[1:] + w[0], -30, 30)))
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(p)], [*batch.schema.names, "_score"])
-
-    found = docs.mapInArrow(scored, schema_of(docs, "_score double"))
+        weights = _fit_logistic(np.array([r["t"] for r in sample]), marks)
+    constant, *slopes = (float(w) for w in weights)
+
+    def chance(x):
+        total = F.lit(constant)
+        for i, slope in enumerate(slopes):
+            total = total + F.lit(slope) * x[i]
+        return 1 / (1 + F.exp(-F.greatest(F.lit(-30.0), F.least(F.lit(30.0), total))))
+
+    scores = kept(examined.groupBy("d").agg(F.first("x").alias("x")).select("d", chance(F.col("x")).alias("_score")), "toxic-scores")
+    nothing = chance([F.lit(0.0)] * FEATURES)
+    found = docs.withColumn("d", digest()).join(scores, "d", "left").withColumn("_score", F.coalesce("_score", nothing)).drop("d")
     return restore(with_folds(found).withColumns({"_held_out": F.col("_fold") == 2, "_predicted": (F.col("_score") >= threshold).cast("int")}))
