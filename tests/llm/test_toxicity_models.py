@@ -69,3 +69,13 @@ def test_no_entry_is_dropped_however_many_there_are(corpus, monkeypatch):
     monkeypatch.setattr(toxicity, "ENTRIES_A_RANGE", 2, raising=False)
     monkeypatch.setattr(toxicity, "CHUNK", 300, raising=False)
     assert {r["doc_id"]: r["_score"] for r in toxicity.score(docs, labels).collect()} == pytest.approx(usual)
+
+
+def test_words_met_once_have_their_own_value(spark):
+    """Words after always the same word used to be scored by their beginning alone."""
+    texts = [(i, f"plain word number {'xyzzy' if i % 2 else 'other'} fixed phrase " + ("rare oftiorly" if i % 2 else "rare oftenly")) for i in range(40)]
+    docs = spark.createDataFrame([*texts, (100, "oftiorly"), (101, "oftenly"), (102, "oftunmet")], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i, _ in texts], "doc_id long, toxic int")
+    got = found(docs, labels)
+    bad, good, unmet = (got[hashlib.md5(w.encode()).digest()][0][0] for w in ("oftiorly", "oftenly", "oftunmet"))
+    assert bad > unmet + 0.5 and good < unmet - 0.5

@@ -9,8 +9,6 @@ from tidemark.llm.storage import each, kept, set_aside
 #: letters of a word's beginning, the order that words back off to
 BEGINNING = 4
 DISCOUNT = 0.75
-#: words met after fewer distinct words than this are rare: they are scored by their beginning alone
-LEAST_COUNT = 3
 #: characters of the texts that are scored together, and entries looked up in one task's range, about
 CHUNK, ENTRIES_A_RANGE = 12 << 20, 400_000
 #: labelled rows the score's calibration is fitted on at most
@@ -199,8 +197,6 @@ class Model:
         if not self.known:
             return np.zeros(len(word))
         m, b, inside = word[:, self.at], beginning[:, self.at], inside[:, self.at].sum(axis=1)
-        rare = m.sum(axis=1) < LEAST_COUNT
-        m, b = np.where(rare[:, None], 0, m), np.where((rare & (b.sum(axis=1) < LEAST_COUNT))[:, None], 0, b)
         met = m.sum(axis=1)
         share = np.where(met > 0, met / np.maximum(inside, 1), 1.0)
         top = (b.sum(axis=1) + 0.5) / (sum(self.b) + 0.5 * self.all)
