@@ -4,7 +4,7 @@ import hashlib
 import math
 import random
 import zlib
-from collections import Counter, defaultdict
+from collections import Counter
 
 import pytest
 
@@ -38,7 +38,7 @@ def found(docs, labels):
 
 
 def values(learning):
-    """The log ratio of a word by plain counting of (text, toxic) rows."""
+    """The log ratios of a word after another and of the word alone, by plain counting of (text, toxic) rows."""
     pairs = Counter()
     for text, toxic in learning:
         own = toxicity.words(text)
@@ -48,16 +48,22 @@ def values(learning):
     met, inside = m[0] + m[1], Counter()
     for w, n in met.items():
         inside[w[:4]] += n
-    size = sum(map(len, {0: set(b[0]) | set(b[1])}.values()))
+    size = len(set(b[0]) | set(b[1]))
+    after, kinds = Counter(), Counter((c, v) for c, v, _ in pairs)
+    for (c, v, _), n in pairs.items():
+        after[c, v] += n
 
     def ratio(v, w):
-        p = []
+        p, alone, begins = [], [], []
         for c in (0, 1):
             top = (b[0][w[:4]] + b[1][w[:4]] + 0.5) / (sum(b[0].values()) + sum(b[1].values()) + 0.5 * size)
             begin = max(b[c][w[:4]] - D, 0) / sum(b[c].values()) + D * len(b[c]) / sum(b[c].values()) * top
+            begins.append(D * len(m[c]) / sum(m[c].values()) * begin)
             share = met[w] / inside[w[:4]] if met[w] else 1.0
-            p.append(max(m[c][w] - D, 0) / sum(m[c].values()) + D * len(m[c]) / sum(m[c].values()) * begin * share)
-        return math.log(p[1] / p[0])
+            alone.append(max(m[c][w] - D, 0) / sum(m[c].values()) + D * len(m[c]) / sum(m[c].values()) * begin * share)
+            n = after[c, v]
+            p.append((max(pairs[c, v, w] - D, 0) + D * kinds[c, v] * alone[c]) / n if n else alone[c])
+        return [math.log(q[1] / q[0]) for q in (p, alone, alone if met[w] >= 3 else begins)]
     return ratio
 
 
@@ -79,3 +85,30 @@ def test_words_met_once_have_their_own_value(spark):
     got = found(docs, labels)
     bad, good, unmet = (got[hashlib.md5(w.encode()).digest()][0][0] for w in ("oftiorly", "oftenly", "oftunmet"))
     assert bad > unmet + 0.5 and good < unmet - 0.5
+
+
+def test_features_equal_plain_counting(corpus):
+    rows, docs, labels = corpus
+    got = found(docs, labels)
+    for at, out in ((0, 2), (1, 0), (1, 1), (1, 3)):
+        ratio = values([(t, c) for i, t, c in rows if fold(i) not in (2, out)])
+        for _, text, _ in [r for r in rows if at == 0 or fold(r[0]) == out]:
+            own = toxicity.words(text)
+            orders = zip(*(ratio(v, w) for v, w in zip([None, *own], own)))
+            want = []
+            for order in orders:
+                want += [sum(order) / len(own), max(order), max(sum(order[k:k + 5]) / 5 for k in range(max(1, len(own) - 4)))]
+            assert got[hashlib.md5(text.encode()).digest()][at] == pytest.approx([*want, math.log1p(len(own))])
+
+
+def test_order_of_common_words_counts(spark):
+    """Toxic and harmless texts hold the same words in another order; words alone cannot tell them."""
+    rnd = random.Random(5)
+    rows = []
+    for i in range(400):
+        filler = [rnd.choice("lorem ipsum dolor amet".split()) for _ in range(6)]
+        rows.append((i, " ".join([*filler[:3], *(["burn", "that", "house"] if i % 2 else ["house", "that", "burn"]), *filler[3:]])))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i, _ in rows], "doc_id long, toxic int")
+    held = [r for r in toxicity.score(docs, labels, 0.5).collect() if r["_held_out"]]
+    assert held and all(r["_predicted"] == r["doc_id"] % 2 for r in held)

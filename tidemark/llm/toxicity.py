@@ -1,4 +1,4 @@
-"""Toxicity by class-conditional Kneser-Ney models of words."""
+"""Toxicity by class-conditional Kneser-Ney models of words and the words before them."""
 
 from __future__ import annotations
 
@@ -16,13 +16,18 @@ MOST_CALIBRATION = 20_000
 #: labels a broadcast may hold; more are joined by a shuffle
 MOST_BROADCAST_LABELS = 2_000_000
 WINDOWS = (1, 5)
-FEATURES = 2 + len(WINDOWS)
+#: values of a word: after the word before it, alone, and alone as far as SURE distinct words come before it (else its beginning's)
+ORDERS, SURE = 3, 3
+FEATURES = 1 + ORDERS * (1 + len(WINDOWS))
 #: calibration where one class has fewer than FEW_ROWS rows: the best word must be some 400 times likelier in toxic texts
-FEW_ROWS, DEFAULT_WEIGHTS = 5, (-6.0, 0.0, 1.0, 0.0, 0.0)
-#: counts of an entry: in ordinary and toxic texts, of all learning rows and of those outside fold 3
-COUNTS = ["n0", "n1", "f0", "f1"]
-#: kinds of entries: words, beginnings, and the words' counts summed by beginning
-WORD, BEGIN, INSIDE = 0, 1, 2
+FEW_ROWS, DEFAULT_WEIGHTS = 5, (-6.0, 0.0, 0.0, 0.0, 0.0, 0.0, 0.0, 0.0, 1.0, 0.0, 0.0)
+#: folds that are learned from; each is scored for the calibration by models that leave it out
+FOLDS = (0, 1, 3)
+#: counts of an entry in ordinary and toxic texts: of all learning rows, and without each fold
+COUNTS = ["n0", "n1", *(f"f{fold}_{c}" for fold in FOLDS for c in (0, 1))]
+#: kinds of entries: words, beginnings, the words' counts summed by beginning; pairs, and how often and before how many
+#: distinct words a word comes
+WORD, BEGIN, INSIDE, PAIR, AFTER, KINDS_AFTER = range(6)
 
 
 def words(text: str | None) -> list[str]:
@@ -66,13 +71,13 @@ def _unpack(packed: bytes, kind):
 def chunks(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The texts as numbers of words, about CHUNK characters a row: words' keys, word numbers, and length, kind and digest by text.
 
-    A text's kind is -1 if nothing is learned from it (no label, or fold 2), else toxic + 2 * (fold 3). Repeated labels of
+    A text's kind is -1 if nothing is learned from it (no label, or fold 2), else toxic + 2 * (the fold's place in FOLDS). Repeated labels of
     an id count as the highest. Texts without words are left out.
     """
     marks = labels.where("toxic is not null and doc_id is not null").groupBy("doc_id").agg(F.max(F.col("toxic").cast("int")).alias("toxic"))
     if labels.count() <= MOST_BROADCAST_LABELS:
         marks = F.broadcast(marks)
-    kind = F.when(F.col("toxic").isNull() | (F.col("_fold") == 2), -1).otherwise((F.col("toxic") > 0).cast("int") + 2 * (F.col("_fold") == 3).cast("int"))
+    kind = F.when(F.col("toxic").isNull() | (F.col("_fold") == 2), -1).otherwise((F.col("toxic") > 0).cast("int") + 2 * F.least("_fold", F.lit(2)).cast("int"))
     rows = with_folds(docs.select("doc_id", "text")).join(marks, "doc_id", "left").select("text", kind.alias("kind"), digest().alias("d"))
 
     def encoded(batches):
@@ -134,7 +139,7 @@ class Chunk:
 
 
 def pair_counts(texts: DataFrame) -> DataFrame:
-    """(w, v, n0, n1, f0, f1): how often word w follows v in ordinary and in toxic texts, over all learning rows and without fold 3.
+    """(w, v, counts): how often word w follows v in ordinary and in toxic texts, over all learning rows and without each fold.
 
     Map tasks count within a chunk, and the key is the pair, so no frequent word is gathered in one task.
     """
@@ -145,7 +150,7 @@ def pair_counts(texts: DataFrame) -> DataFrame:
             for row in batch.to_pylist():
                 chunk = Chunk(row)
                 kinds = np.repeat(chunk.kinds, chunk.lengths)
-                for kind in range(4):
+                for kind in range(2 * len(FOLDS)):
                     code, n = np.unique(chunk.code[kinds == kind], return_counts=True)
                     previous, current = chunk.split(code)
                     yield pa.RecordBatch.from_arrays([pa.array(chunk.heads[current]), pa.array(chunk.history(previous)),
@@ -153,7 +158,7 @@ def pair_counts(texts: DataFrame) -> DataFrame:
 
     rows = texts.mapInArrow(counted, "w long, v long, kind int, n long")
     return rows.groupBy("w", "v").agg(*(F.sum(F.when(F.col("kind").isin(kinds), F.col("n")).otherwise(0)).alias(name)
-                                        for name, kinds in zip(COUNTS, ([0, 2], [1, 3], [0], [1]))))
+                                        for name, kinds in zip(COUNTS, ([c + 2 * f for f in range(len(FOLDS)) if f != out] for out in (-1, *range(len(FOLDS))) for c in (0, 1)))))
 
 
 def _types(df: DataFrame, key, name: str) -> DataFrame:
@@ -186,44 +191,54 @@ class Model:
         self.all = tops["all" + names[0]]
         self.known = all(self.m)
 
-    def values(self, word, beginning, inside):
-        """Log ratios toxic / ordinary. Arguments are counts by entry, one row each.
+    def values(self, word, beginning, inside, pair, after, kinds_after):
+        """Log ratios toxic / ordinary, of words given the word before and of words alone. Arguments are counts by entry, one row each.
 
-        Orders are discounted per class; what is taken off goes to the next order: words back off to beginnings (by how
-        many distinct words of the class begin so) times a share of the word in its beginning that both classes have in
+        Orders are discounted per class; what is taken off goes to the next order: a word after another, by how often
+        they occur so, backs off to the word (after how many distinct words of the class it comes), that to its beginning
+        (by how many distinct words of the class begin so) times a share of the word in its beginning that both classes have in
         common, beginnings to their share over both classes. What both have in common cancels for words never met.
         """
         import numpy as np
         if not self.known:
-            return np.zeros(len(word))
+            return [np.zeros(len(word))] * ORDERS
         m, b, inside = word[:, self.at], beginning[:, self.at], inside[:, self.at].sum(axis=1)
         met = m.sum(axis=1)
         share = np.where(met > 0, met / np.maximum(inside, 1), 1.0)
         top = (b.sum(axis=1) + 0.5) / (sum(self.b) + 0.5 * self.all)
-        p = []
+        n, after, kinds_after = pair[:, self.at], after[:, self.at], kinds_after[:, self.at]
+        p, alone, begins = [], [], []
         for c in (0, 1):
             begin = np.maximum(b[:, c] - DISCOUNT, 0) / self.b[c] + DISCOUNT * self.bk[c] / self.b[c] * top
-            p.append(np.maximum(m[:, c] - DISCOUNT, 0) / self.m[c] + DISCOUNT * self.k[c] / self.m[c] * begin * share)
-        return np.log(p[1] / p[0])
+            begins.append(DISCOUNT * self.k[c] / self.m[c] * begin)
+            alone.append(np.maximum(m[:, c] - DISCOUNT, 0) / self.m[c] + DISCOUNT * self.k[c] / self.m[c] * begin * share)
+            left = np.where(after[:, c] > 0, DISCOUNT * kinds_after[:, c] / np.maximum(after[:, c], 1), 1.0)
+            p.append(np.maximum(n[:, c] - DISCOUNT, 0) / np.maximum(after[:, c], 1) + left * alone[c])
+        single = np.log(alone[1] / alone[0])
+        return [np.log(p[1] / p[0]), single, np.where(met >= SURE, single, np.log(begins[1] / begins[0]))]
 
 
 def learned(pairs: DataFrame):
-    """(tables, first, full): the (w, v, counts) of each kind of entry, and the totals of the models without and with fold 3."""
+    """(tables, models): the (w, v, counts) of each kind of entry, and the totals of the models of all rows and without each fold."""
     words_ = kept(_types(pairs, F.col("w"), "w"), "toxic-words")
     begin = F.shiftright("w", 32)
     beginnings = kept(_types(words_, begin, "w"), "toxic-beginnings")
     inside = words_.groupBy(begin.alias("w")).agg(*(F.sum(c).alias(c) for c in COUNTS))
     totals = [F.sum(c).alias(f"s{c}") for c in COUNTS] + [F.sum((F.col(c) > 0).cast("long")).alias(f"k{c}") for c in COUNTS]
-    met = [F.sum((F.col(a) + F.col(b) > 0).cast("long")).alias("all" + a) for a, b in (COUNTS[:2], COUNTS[2:])]
+    met = [F.sum((F.col(a) + F.col(b) > 0).cast("long")).alias("all" + a) for a, b in zip(COUNTS[::2], COUNTS[1::2])]
     sums, tops = (df.agg(*totals, *met).first().asDict() for df in (words_, beginnings))
-    return {WORD: words_, BEGIN: beginnings, INSIDE: inside}, Model(2, sums, tops), Model(0, sums, tops)
+    after = pairs.groupBy(F.col("v").alias("w"))
+    tables = {WORD: words_, BEGIN: beginnings, INSIDE: inside, PAIR: pairs, AFTER: after.agg(*(F.sum(c).alias(c) for c in COUNTS)),
+              KINDS_AFTER: _types(pairs, F.col("v"), "w")}
+    return tables, [Model(at, sums, tops) for at in range(0, len(COUNTS), 2)]
 
 
 def _wanted(chunk: Chunk, code):
     """Keys of the entries that the distinct pairs need, by kind."""
-    _, current = chunk.split(code)
-    w = chunk.heads[current]
-    return {WORD: _mixed(WORD, w), BEGIN: _mixed(BEGIN, w >> 32), INSIDE: _mixed(INSIDE, w >> 32)}
+    previous, current = chunk.split(code)
+    v, w = chunk.history(previous), chunk.heads[current]
+    return {WORD: _mixed(WORD, w), BEGIN: _mixed(BEGIN, w >> 32), INSIDE: _mixed(INSIDE, w >> 32),
+            PAIR: _mixed(PAIR, w, v), AFTER: _mixed(AFTER, v), KINDS_AFTER: _mixed(KINDS_AFTER, v)}
 
 
 def _entries(tables: dict, bits: int) -> DataFrame:
@@ -253,14 +268,14 @@ def _range(key, bits: int):
 
 
 def features(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """(d, kind, x, t): features of each text with words under the models of all learning rows, and under those without fold 3.
+    """(d, kind, x, t): features of each text with words under the models of all learning rows, and of labelled ones under those without their fold.
 
     Every entry is kept at any size: entries are dealt by ranges of their keys, each chunk sends the distinct keys it
     needs to those ranges, and what is found there comes back to the chunk. Nothing is broadcast but totals.
     """
     texts = chunks(docs, labels)
     pairs = kept(pair_counts(texts), "toxic-pairs")
-    tables, first, full = learned(pairs)
+    tables, models = learned(pairs)
     bits = max(4, (sum(t.count() for t in tables.values()) // ENTRIES_A_RANGE).bit_length())
 
     def asked(batches):
@@ -295,9 +310,9 @@ def features(docs: DataFrame, labels: DataFrame) -> DataFrame:
         import pyarrow as pa
         out = {"d": [], "kind": [], "x": [], "t": []}
         keys = np.concatenate([np.empty(0, np.uint64), *(_unpack(k.as_py(), np.uint64) for k in answers["keys"])])
-        counts = np.concatenate([np.empty((0, 4), np.int64), *(_unpack(c.as_py(), np.int64).reshape(-1, 4) for c in answers["counts"])])
+        counts = np.concatenate([np.empty((0, len(COUNTS)), np.int64), *(_unpack(c.as_py(), np.int64).reshape(-1, len(COUNTS)) for c in answers["counts"])])
         order = np.argsort(keys)
-        keys, counts = np.append(keys[order], np.uint64(0)), np.vstack([counts[order], np.zeros((1, 4), np.int64)])
+        keys, counts = np.append(keys[order], np.uint64(0)), np.vstack([counts[order], np.zeros((1, len(COUNTS)), np.int64)])
         for row in rows.to_pylist():
             chunk = Chunk(row)
             code, places = np.unique(chunk.code, return_inverse=True)
@@ -305,7 +320,8 @@ def features(docs: DataFrame, labels: DataFrame) -> DataFrame:
             for wanted in _wanted(chunk, code).values():
                 at = np.searchsorted(keys[:-1], wanted)
                 got.append(counts[np.where(keys[at] == wanted, at, len(keys) - 1)])
-            x, t = (_summary(m.values(*got)[places], chunk.lengths) for m in (full, first))
+            x, *without = (_summary([v[places] for v in m.values(*got)], chunk.lengths) for m in models)
+            t = [without[kind // 2][i] if kind >= 0 else [] for i, kind in enumerate(chunk.kinds.tolist())]
             out["d"] += chunk.digests
             out["kind"] += chunk.kinds.tolist()
             out["x"] += x
@@ -318,14 +334,16 @@ def features(docs: DataFrame, labels: DataFrame) -> DataFrame:
     return kept(rows, "toxic-features")
 
 
-def _summary(values, lengths) -> list[list[float]]:
-    """By text: mean, the highest mean over 1 and over 5 words in a row, and the log of the word count."""
+def _summary(orders, lengths) -> list[list[float]]:
+    """By text: mean, the highest mean over 1 and over 5 words in a row, by order; and the log of the word count."""
     import numpy as np
     out, start = [], 0
     for n in lengths.tolist():
-        sums = np.concatenate([[0.0], np.cumsum(values[start:start + n])])
-        best = [float((sums[k:] - sums[:-k]).max()) / k for k in (min(w, n) for w in WINDOWS)]
-        out.append([float(sums[-1]) / n, *best, float(np.log1p(n))])
+        own = []
+        for values in orders:
+            sums = np.concatenate([[0.0], np.cumsum(values[start:start + n])])
+            own += [float(sums[-1]) / n, *(float((sums[k:] - sums[:-k]).max()) / k for k in (min(w, n) for w in WINDOWS))]
+        out.append([*own, float(np.log1p(n))])
         start += n
     return out
 
@@ -353,17 +371,17 @@ def score(docs: DataFrame, labels: DataFrame, threshold: float = 0.3) -> DataFra
     """``docs`` with _held_out, _score (0 to 1) and _predicted (1 from ``threshold`` on).
 
     The models and the calibration learn from labelled rows outside fold 2 only, and from their text and label alone.
-    Counts cover all of those rows; a first pair of models without fold 3 scores at most MOST_CALIBRATION rows of fold 3,
-    on which a logistic regression turns the log-likelihood differences into a score; the models that score ``docs`` then
-    use all learning rows. Scores meet their rows again by a digest of the text. Null, empty and wordless texts have no
+    Counts cover all of those rows. Each learning row is also scored by models without its fold; on at most
+    MOST_CALIBRATION of these a logistic regression turns the log-likelihood differences into a score; the models that
+    score ``docs`` use all learning rows. Scores meet their rows again by a digest of the text. Null, empty and wordless texts have no
     evidence and get the score of zero differences. Without labels of both classes every difference is 0. Repeated rows
     get equal scores.
     """
     import numpy as np
     docs, restore = set_aside(docs, ["doc_id", "text"], ["_held_out", "_score", "_predicted"])
     examined = features(docs, labels)
-    sample = examined.where("kind >= 2").select("t", "kind").orderBy(F.xxhash64("t")).limit(MOST_CALIBRATION).collect()
-    marks = np.array([r["kind"] == 3 for r in sample], float)
+    sample = examined.where("kind >= 0").select("t", "kind").orderBy(F.xxhash64("t")).limit(MOST_CALIBRATION).collect()
+    marks = np.array([r["kind"] % 2 == 1 for r in sample], float)
     if min(marks.sum(), len(marks) - marks.sum()) < FEW_ROWS:
         weights = np.array(DEFAULT_WEIGHTS)
     else:
