@@ -6,7 +6,7 @@ import functools
 
 from pyspark.sql import functions as F
 
-from tidemark.llm import embedding_dedup, exact_topk, mixing, ngram_join, packing, substrings, token_files, toxicity, url_filters, warc
+from tidemark.llm import conversation_repair, embedding_dedup, exact_topk, mixing, ngram_join, packing, substrings, token_files, toxicity, url_filters, warc
 from tidemark.sources.scratch import scratch_path
 
 QUERIES: dict = {}
@@ -184,3 +184,65 @@ def op3(spark, folder):
 @query("op5_ngram_jaccard_join")
 def op5(spark, folder):
     return ngram_join.similar_groups(table(spark, folder, "documents")).select("doc_id", "n_shingles", "component_id")
+
+
+OP13_SQL = r"""
+WITH RECURSIVE raw AS (
+  SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS txt,
+    list_transform(string_split(conv_id::VARCHAR || ':' || turn::VARCHAR, ''), c -> ascii(c)::BIGINT) AS bytes FROM conversations),
+keyed AS (
+  SELECT *, xor(list_reduce(list_prepend(4294967295::BIGINT, bytes), (c, b) -> list_reduce(list_prepend(xor(c, b), [0, 0, 0, 0, 0, 0, 0, 0]::BIGINT[]),
+    (x, i) -> xor(x >> 1, 3988292384::BIGINT * (x & 1)))), 4294967295::BIGINT) % 20 AS k FROM raw),
+damaged AS (
+  SELECT conv_id, turn, CASE WHEN k = 4 THEN 'user' ELSE role END AS role,
+    CASE k WHEN 1 THEN '' WHEN 2 THEN translate(txt, '.!?', '') ELSE txt END AS txt
+  FROM keyed, unnest(range(CASE WHEN k = 3 THEN 2 ELSE 1 END)) WHERE k != 0),
+placed AS (
+  SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, md5(txt)) AS i,
+    regexp_extract(txt, '([^\x20\x09-\x0D])[\x20\x09-\x0D]*$', 1) AS final FROM damaged),
+judged AS (
+  SELECT *, CASE WHEN final = '' THEN 'blank' WHEN row_number() OVER (PARTITION BY conv_id, role, txt ORDER BY i) > 1 THEN 'duplicate'
+      WHEN final NOT IN ('.', '!', '?') THEN 'truncated' ELSE 'none' END AS fault,
+    CASE WHEN left(role, 1) IN ('s', 'u', 'a') THEN left(role, 1) ELSE '-' END AS initial,
+    lag(left(role, 1)) OVER (PARTITION BY conv_id ORDER BY i) || left(role, 1) AS pair FROM placed),
+moves(q, r, q2) AS (VALUES (0, 's', 1), (0, 'u', 2), (1, 'u', 2), (2, 'a', 3), (3, 'u', 2)),
+initials(initial) AS (VALUES ('s'), ('u'), ('a'), ('-')),
+ways AS (
+  SELECT q, initial, 'K' AS letter, 0 AS price, q2 FROM moves JOIN initials ON r = initial
+  UNION ALL SELECT q, initial, 'R', 1, q2 FROM moves JOIN initials ON r != initial WHERE r != 's'
+  UNION ALL SELECT q, initial, 'D', 2, q FROM (VALUES (0), (1), (2), (3)) s(q), initials),
+more(q, n, q2) AS (VALUES (0, 0, 0), (1, 0, 1), (2, 0, 2), (3, 0, 3), (0, 1, 2), (0, 2, 3), (1, 1, 2), (1, 2, 3), (2, 1, 3), (3, 1, 2)),
+walk(conv_id, i, q, best) AS (
+  SELECT conv_id, 0::BIGINT, more.q2, min(printf('%09d', 5 * n) || repeat('I', n)) FROM (SELECT DISTINCT conv_id FROM judged), more WHERE more.q = 0 GROUP BY ALL
+  UNION ALL
+  SELECT w.conv_id, j.i, more.q2,
+    min(printf('%09d', left(w.best, 9)::INT + e.price + CASE WHEN j.fault = 'truncated' AND letter != 'D' THEN 5 ELSE 0 END + 5 * n)
+        || substr(w.best, 10) || letter || repeat('I', n))
+  FROM walk w JOIN judged j ON j.conv_id = w.conv_id AND j.i = w.i + 1 JOIN ways e ON e.q = w.q AND e.initial = j.initial
+    JOIN more ON more.q = e.q2
+  WHERE letter = 'D' OR j.fault NOT IN ('blank', 'duplicate') GROUP BY ALL),
+totals AS (
+  SELECT conv_id, max(i) AS n, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (fault = 'blank') AS blank,
+    count(*) FILTER (fault = 'duplicate') AS duplicate, count(*) FILTER (fault = 'truncated') AS truncated,
+    count(*) FILTER (pair NOT IN ('su', 'ua', 'au')) AS illegal FROM judged GROUP BY conv_id),
+cheapest AS (
+  SELECT t.*, left(min(best), 9)::BIGINT AS cost, substr(min(best), 10) AS audit FROM totals t JOIN walk w ON w.conv_id = t.conv_id AND w.i = t.n AND q IN (0, 3) GROUP BY ALL),
+letters AS (
+  SELECT conv_id, p, audit[p] AS letter, length(replace(left(audit, p), 'I', '')) AS i FROM cheapest, unnest(range(1, length(audit) + 1)) u(p)),
+out AS (
+  SELECT l.*, j.role, j.txt, row_number() OVER w AS m, first_value(letter = 'K' AND j.initial = 's') OVER w AS sys
+  FROM letters l LEFT JOIN judged j ON j.conv_id = l.conv_id AND j.i = l.i WHERE letter != 'D' WINDOW w AS (PARTITION BY l.conv_id ORDER BY p)),
+lines AS (
+  SELECT conv_id, p, CASE WHEN letter = 'K' THEN role WHEN (m - sys::INT) % 2 = 1 THEN 'user' ELSE 'assistant' END || ':'
+    || CASE WHEN letter = 'I' THEN '' ELSE txt END AS line FROM out),
+texts AS (SELECT conv_id, string_agg(line, chr(10) ORDER BY p) AS repaired FROM lines GROUP BY conv_id)
+SELECT c.conv_id, coalesce(gaps, 0)::BIGINT AS gaps, coalesce(blank, 0)::BIGINT AS blank, coalesce(duplicate, 0)::BIGINT AS duplicate,
+  coalesce(truncated, 0)::BIGINT AS truncated, coalesce(illegal, 0)::BIGINT AS illegal, coalesce(cost, 0)::BIGINT AS cost, coalesce(audit, '') AS audit,
+  sha256(coalesce(repaired, '')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) c LEFT JOIN cheapest USING (conv_id) LEFT JOIN texts USING (conv_id)
+"""
+
+
+@query("op13_conversation_repair", OP13_SQL)
+def op13(spark, folder):
+    return conversation_repair.repair_reports(table(spark, folder, "conversations"))
