@@ -189,10 +189,10 @@ def op5(spark, folder):
 OP13_SQL = r"""
 WITH RECURSIVE raw AS (
   SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS txt,
-    list_transform(string_split(conv_id::VARCHAR || ':' || turn::VARCHAR, ''), c -> ascii(c)::BIGINT) AS bytes FROM conversations),
+    list_transform(string_split(conv_id::VARCHAR || ':' || turn::VARCHAR, ''), lambda c: ascii(c)::BIGINT) AS bytes FROM conversations),
 keyed AS (
-  SELECT *, xor(list_reduce(list_prepend(4294967295::BIGINT, bytes), (c, b) -> list_reduce(list_prepend(xor(c, b), [0, 0, 0, 0, 0, 0, 0, 0]::BIGINT[]),
-    (x, i) -> xor(x >> 1, 3988292384::BIGINT * (x & 1)))), 4294967295::BIGINT) % 20 AS k FROM raw),
+  SELECT *, xor(list_reduce(list_prepend(4294967295::BIGINT, bytes), lambda c, b: list_reduce(list_prepend(xor(c, b), [0, 0, 0, 0, 0, 0, 0, 0]::BIGINT[]),
+    lambda x, i: xor(x >> 1, 3988292384::BIGINT * (x & 1)))), 4294967295::BIGINT) % 20 AS k FROM raw),
 damaged AS (
   SELECT conv_id, turn, CASE WHEN k = 4 THEN 'user' ELSE role END AS role,
     CASE k WHEN 1 THEN '' WHEN 2 THEN translate(txt, '.!?', '') ELSE txt END AS txt
