@@ -6,7 +6,7 @@ import functools
 
 from pyspark.sql import functions as F
 
-from tidemark.llm import conversation_repair, embedding_dedup, exact_topk, mixing, ngram_join, packing, substrings, token_files, toxicity, url_filters, warc
+from tidemark.llm import conversation_repair, embedding_dedup, exact_topk, language_id, mixing, ngram_join, packing, substrings, token_files, toxicity, url_filters, warc
 from tidemark.sources.scratch import scratch_path
 
 QUERIES: dict = {}
@@ -246,3 +246,9 @@ FROM (SELECT DISTINCT conv_id FROM conversations) c LEFT JOIN cheapest USING (co
 @query("op13_conversation_repair", OP13_SQL)
 def op13(spark, folder):
     return conversation_repair.repair_reports(table(spark, folder, "conversations"))
+
+
+@query("op12_language_id")
+def op12(spark, folder):
+    docs = table(spark, folder, "documents").select("doc_id", "text", "lang")
+    return language_id.identify(docs).select("doc_id", F.col("_held_out").alias("held_out"), F.col("_lang_pred").alias("lang_pred"), F.col("_score").alias("score"))
