@@ -6,7 +6,7 @@ import functools
 
 from pyspark.sql import functions as F
 
-from tidemark.llm import conversation_repair, embedding_dedup, exact_topk, language_id, mixing, ngram_join, packing, substrings, token_files, toxicity, url_filters, warc
+from tidemark.llm import conversation_repair, embedding_dedup, exact_topk, language_id, mixing, ngram_join, packing, ranked_search, substrings, token_files, toxicity, url_filters, warc
 from tidemark.sources.scratch import scratch_path
 
 QUERIES: dict = {}
@@ -252,3 +252,28 @@ def op13(spark, folder):
 def op12(spark, folder):
     docs = table(spark, folder, "documents").select("doc_id", "text", "lang")
     return language_id.identify(docs).select("doc_id", F.col("_held_out").alias("held_out"), F.col("_lang_pred").alias("lang_pred"), F.col("_score").alias("score"))
+
+
+OP11_SQL = r"""
+WITH d AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS terms FROM documents),
+i AS (
+  SELECT item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS terms FROM benchmark),
+sums AS (SELECT count(*)::BIGINT AS docs, sum(len(terms))::BIGINT AS length FROM d WHERE len(terms) > 0),
+q AS (SELECT item_id, term, count(*) AS times FROM (SELECT item_id, unnest(terms) AS term FROM i) GROUP BY ALL),
+tf AS (SELECT doc_id, n, term, count(*) AS tf FROM (SELECT doc_id, len(terms)::BIGINT AS n, unnest(terms) AS term FROM d)
+  WHERE term IN (SELECT term FROM q) GROUP BY ALL),
+w AS (SELECT term, floor(1000 * ln((2 * any_value(docs) + 2)::DOUBLE / (2 * count(*) + 1)::DOUBLE))::BIGINT AS w FROM tf, sums GROUP BY term),
+s AS (
+  SELECT item_id, doc_id, sum(times * w * ((1000000000 * tf) // (1000 * tf + 12 * (75 + (25 * n * docs) // length))))::BIGINT AS score
+  FROM q JOIN tf USING (term) JOIN w USING (term), sums GROUP BY ALL)
+SELECT item_id, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id)::INT AS rank, doc_id, score
+FROM s WHERE score > 0 QUALIFY rank <= 20
+"""
+
+
+@query("op11_ranked_search", OP11_SQL)
+def op11(spark, folder):
+    return ranked_search.ranked(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
