@@ -13,7 +13,7 @@ PRICE_FEED = ("security_id string, price_date date, open_price decimal(18,6), hi
               "low_price decimal(18,6), close_price decimal(18,6), adjusted_close decimal(18,6), volume bigint, currency string")
 
 
-def land_prices(spark: SparkSession, path: str, source_system: str, loaded_at: dt.datetime, file_format: str = "json",
+def land_prices(spark: SparkSession, path: str | list[str], source_system: str, loaded_at: dt.datetime, file_format: str = "json",
                 schema: str = PRICE_FEED, **options: str) -> DataFrame:
     """Typed price rows (json, csv, parquet or orc; the schema is given, never inferred) with their origin."""
     reader = spark.read.schema(schema).options(**options)
@@ -23,7 +23,7 @@ def land_prices(spark: SparkSession, path: str, source_system: str, loaded_at: d
         ts(loaded_at).alias("load_timestamp"))
 
 
-def land_json(spark: SparkSession, path: str, source_system: str, loaded_at: dt.datetime,
+def land_json(spark: SparkSession, path: str | list[str], source_system: str, loaded_at: dt.datetime,
               side_columns: Mapping[str, tuple[str, str]] = {}) -> DataFrame:
     """One row per JSON line: ``raw_data`` as VARIANT beside the untouched ``raw_text``.
 
@@ -37,12 +37,9 @@ def land_json(spark: SparkSession, path: str, source_system: str, loaded_at: dt.
                          F.lit(source_system).alias("source_system"), ts(loaded_at).alias("load_timestamp"), "source_file")
 
 
-def append_by_load_date(landed: DataFrame, path: str) -> None:
-    """Appends to the bronze table, partitioned by load date."""
-    landed.withColumn("load_date", F.to_date("load_timestamp")).write.mode("append").partitionBy("load_date").parquet(path)
-
-
-def export_json(df: DataFrame, path: str) -> None:
-    """Writes rows as compressed JSON lines, NULL fields included."""
-    line = F.to_json(F.struct(*df.columns), {"ignoreNullFields": "false"})
-    df.select(line.alias("value")).write.option("compression", "gzip").text(path)
+def export_json(df: DataFrame, path: str, by: str | None = None) -> None:
+    """Adds rows as compressed JSON lines, NULL fields included; ``by`` names a column that gives folders and stays out of the lines."""
+    line = F.to_json(F.struct(*(c for c in df.columns if c != by)), {"ignoreNullFields": "false"})
+    lines = df.select(line.alias("value"), *([by] if by else []))
+    writer = lines.write.mode("append").option("compression", "gzip")
+    (writer.partitionBy(by) if by else writer).text(path)
