@@ -1,10 +1,12 @@
 """Streams over several files: duplicates, late rows, restarts."""
 
 import datetime as dt
+import os
 
 from pyspark.sql import functions as F
 
-from tidemark.streaming import jobs
+from tidemark.sources import files
+from tidemark.streaming import dated, jobs
 
 T0 = dt.datetime(2024, 1, 10, 12, 0)
 SCHEMA = "id bigint, at timestamp_ntz, doc string"
@@ -78,3 +80,71 @@ def test_batch_and_stream_forms_agree(spark, tmp_path):
     got = jobs.latest(spark, out, job.schema, keys)
     assert sorted(map(tuple, got.select(batch.columns).collect())) == sorted(map(tuple, batch.collect()))
     assert got.count() == 6
+
+
+def day(n, hour=9):
+    return dt.datetime(2024, 1, 1 + n, hour)
+
+
+SINKS = {"certified": "dq_status = 'CERTIFIED'", "quarantined": "dq_status = 'QUARANTINED'"}
+
+
+def silver_job(spark, src):
+    landed = stream(spark, src).select("id", "at", F.try_parse_json("doc").alias("raw_data"))
+    return jobs.bronze_to_silver(landed, [("px", "px", "int")], {"positive": F.col("px") > 0}, ["id"], "at", lag="5 days")
+
+
+def folders(out):
+    """Every data file by its folder."""
+    found = {}
+    for top, _, names in os.walk(out):
+        data = sorted(n for n in names if n.endswith(".parquet"))
+        if data:
+            found[os.path.relpath(top, out)] = data
+    return found
+
+
+def test_dated_sinks_across_restarts_late_days_and_repeats(spark, tmp_path):
+    src, out, state = (str(tmp_path / n) for n in ("src", "out", "state"))
+
+    def run():
+        job = silver_job(spark, src)
+        dropped = dated.run_dated(job, out, state, F.to_date("at"), SINKS)
+        rows = {s: sorted((r.id, r.px) for r in dated.stored(spark, out, s, job.schema).collect()) for s in SINKS}
+        return dropped, rows
+
+    drop_file(spark, src, "a", [(1, day(0), '{"px": 5}'), (2, day(1), '{"px": -1}'), (3, day(1), '{"px": 7}')])
+    assert run() == (0, {"certified": [(1, 5), (3, 7)], "quarantined": [(2, -1)]})
+    before = folders(out)
+    assert set(before) == {"sink=certified/event_date=2024-01-01/batch_id=0", "sink=certified/event_date=2024-01-02/batch_id=0",
+                           "sink=quarantined/event_date=2024-01-02/batch_id=0"}
+    # a restart, a row of an early day, a duplicate and a new day: only new folders of their own dates
+    drop_file(spark, src, "b", [(4, day(0), '{"px": 2}'), (1, day(0), '{"px": 5}'), (5, day(3), "no json")])
+    assert run() == (0, {"certified": [(1, 5), (3, 7), (4, 2)], "quarantined": [(2, -1), (5, None)]})
+    after = folders(out)
+    added = {f for f in after if f not in before}
+    assert {f: n for f, n in after.items() if f in before} == before and {f.split("/")[1] for f in added} == {"event_date=2024-01-01", "event_date=2024-01-04"}
+    assert len({f.split("/")[2] for f in added}) == 1
+    # the last batch is repeated: the run ended after its rows were written, and a stray folder of a half-done attempt is left
+    last = max(int(f.rpartition("=")[2]) for f in added)
+    for log, least in (("commits", last), ("offsets", last + 1)):
+        for name in os.listdir(f"{state}/{log}"):
+            if name.isdigit() and int(name) >= least:
+                files.remove(spark, f"{state}/{log}/{name}")
+    spark.createDataFrame([(99, day(8), "CERTIFIED")], "id bigint, at timestamp_ntz, dq_status string").write.parquet(
+        f"{out}/sink=certified/event_date=2024-01-09/batch_id={last}")
+    assert run()[1] == {"certified": [(1, 5), (3, 7), (4, 2)], "quarantined": [(2, -1), (5, None)]}
+    again = folders(out)
+    assert {f: n for f, n in again.items() if f in before} == before and set(again) == set(after)
+    assert all(again[f] != after[f] for f in added)
+
+
+def test_rows_beyond_the_watermark_are_counted(spark, tmp_path):
+    src, out, state = (str(tmp_path / n) for n in ("src", "out", "state"))
+    for name, n in (("a", 0), ("b", 20), ("c", 21)):
+        drop_file(spark, src, name, [(n, day(n), '{"px": 5}')])
+        job = silver_job(spark, src)
+        dated.run_dated(job, out, state, F.to_date("at"), SINKS)
+    drop_file(spark, src, "d", [(77, day(1), '{"px": 5}'), (78, None, '{"px": 5}')])
+    assert dated.run_dated(silver_job(spark, src), out, state, F.to_date("at"), SINKS) >= 1
+    assert 77 not in {r.id for r in dated.stored(spark, out, "certified", job.schema).collect()}

@@ -6,11 +6,13 @@ from tidemark.plans.monitoring import _cost, _rr, _sum
 from tidemark.plans.registry import plain, query
 from tidemark.plans.sqlbase import d, using
 from tidemark.sources.bindings import Tables
+from tidemark.sources import files
 from tidemark.sources.scratch import scratch_path
-from tidemark.streaming import jobs
+from tidemark.streaming import dated, jobs
 
 EVENTS = "event_id bigint, ts timestamp_ntz, user_id bigint, event_type string, value double, props string"
 OWN = "warehouse_name LIKE 'INV_%'"
+SINKS = {"certified": "dq_status = 'CERTIFIED'", "quarantined": "dq_status = 'QUARANTINED'"}
 
 
 def arriving(t: Tables):
@@ -24,16 +26,42 @@ def as_stream(t: Tables, df, label: str):
     return jobs.read_files(t.spark, path, df.schema)
 
 
-@query("stream_bronze_to_silver", """SELECT event_id, ts, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k, value,
+CHECKED = """SELECT event_id, ts, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k, value,
     concat_ws(',', CASE WHEN NOT value < 200 THEN 'value_below_200' END, CASE WHEN NOT CAST(json_extract_string(props, '$.k') AS BIGINT) > 4
       THEN 'k_above_4' END) AS failed_rules,
-    CASE WHEN value < 200 AND CAST(json_extract_string(props, '$.k') AS BIGINT) > 4 THEN 'CERTIFIED' ELSE 'QUARANTINED' END AS dq_status FROM events""")
-def _(t):
-    landed = jobs.read_files(t.spark, t.folder, EVENTS, "events.parquet").select(
-        "event_id", "ts", "value", F.try_parse_json("props").alias("raw_data"))
+    CASE WHEN value < 200 AND CAST(json_extract_string(props, '$.k') AS BIGINT) > 4 THEN 'CERTIFIED' ELSE 'QUARANTINED' END AS dq_status FROM events"""
+
+
+def checked_events(landed):
     rules = {"value_below_200": F.col("value") < 200, "k_above_4": F.col("k") > 4}
-    silver = jobs.bronze_to_silver(landed, [("k", "k", "bigint")], rules, ["event_id"], "ts")
-    return jobs.run_once(t.spark, silver, "silver").withColumn("failed_rules", F.array_join("failed_rules", ","))
+    raw = landed.select("event_id", "ts", "value", F.try_parse_json("props").alias("raw_data"))
+    return jobs.bronze_to_silver(raw, [("k", "k", "bigint")], rules, ["event_id"], "ts", lag="40 days")
+
+
+@query("stream_bronze_to_silver", CHECKED)
+def _(t):
+    """Events by two files in reverse order, so that every day comes late once; the second run goes on where the first stopped."""
+    source, out, state = (scratch_path(t.spark, f"silver-{part}") for part in ("events", "table", "state"))
+    for even in (0, 1):
+        t.raw("events").where(F.col("event_id") % 2 == even).write.mode("append").parquet(f"{source}/part={even}")
+        silver = checked_events(jobs.read_files(t.spark, f"{source}/*", EVENTS))
+        dated.run_dated(silver, out, state, F.to_date("ts"), SINKS, files_per_day=1)
+    good, bad = (dated.stored(t.spark, out, sink, silver.schema) for sink in SINKS)
+    return good.unionByName(bad).drop("event_date", "batch_id").withColumn("failed_rules", F.array_join("failed_rules", ","))
+
+
+@query("stream_quarantine_by_day", f"""WITH c AS ({CHECKED}) SELECT CAST(ts AS DATE) AS event_date, count(*) FILTER (dq_status = 'CERTIFIED') AS certified,
+    count(*) FILTER (dq_status = 'QUARANTINED') AS quarantined FROM c WHERE CAST(ts AS DATE) >= DATE '2024-01-10' GROUP BY 1""")
+def _(t):
+    """Rows of both sinks by event date, from a run whose batch is repeated, as its commit is lost; only the dates asked for are read."""
+    out, state = scratch_path(t.spark, "quarantine-table"), scratch_path(t.spark, "quarantine-state")
+    silver = checked_events(jobs.read_files(t.spark, t.folder, EVENTS, "events.parquet"))
+    dated.run_dated(silver, out, state, F.to_date("ts"), SINKS, files_per_day=1)
+    for log in ("commits", "offsets/1"):
+        files.remove(t.spark, f"{state}/{log}")
+    dated.run_dated(silver, out, state, F.to_date("ts"), SINKS, files_per_day=1)
+    counts = [dated.stored(t.spark, out, sink, silver.schema).where("event_date >= '2024-01-10'").select("event_date", F.lit(sink).alias("sink")) for sink in SINKS]
+    return counts[0].unionByName(counts[1]).groupBy("event_date").agg(*(F.count_if(F.col("sink") == sink).alias(sink) for sink in SINKS))
 
 
 @query("stream_failed_spike", using("qh") + f"""SELECT time_bucket(INTERVAL 15 MINUTE, start_time) AS window_start,
