@@ -8,7 +8,7 @@ from tidemark.plans.sqlbase import d, using
 from tidemark.sources.bindings import Tables
 from tidemark.sources import files
 from tidemark.sources.scratch import scratch_path
-from tidemark.streaming import dated, jobs
+from tidemark.streaming import alerts, dated, jobs
 
 EVENTS = "event_id bigint, ts timestamp_ntz, user_id bigint, event_type string, value double, props string"
 OWN = "warehouse_name LIKE 'INV_%'"
@@ -93,3 +93,44 @@ def _(t):
 def _(t):
     metering = as_stream(t, t.metering(), "metering")
     return plain(jobs.run_once(t.spark, jobs.daily_credits(metering), "credits", ["usage_date", "warehouse_name"]))
+
+
+# --- alerts with a memory --------------------------------------------------------------------------
+
+def in_two_runs(t, df, label, events):
+    """The events of a log of which the second half arrives after a restart."""
+    source, out, state = (scratch_path(t.spark, f"{label}-{part}") for part in ("log", "events", "state"))
+    for part, own in enumerate((F.col("start_time") < MIDDLE, F.col("start_time") >= MIDDLE)):
+        df.where(own).write.parquet(f"{source}/part={part}")
+        stream = events(jobs.read_files(t.spark, f"{source}/*", df.schema))
+        alerts.with_state_store(lambda: jobs.run_available(stream, out, state, "update"), t.spark)  # noqa: B023
+    return jobs.emitted(t.spark, out, stream.schema)
+
+
+MIDDLE = "2024-01-12 05:10:00"
+_CHANGES = """c AS (SELECT *, lag(holds, 1, FALSE) OVER (PARTITION BY subject ORDER BY tick) AS held FROM h)
+    SELECT '{name}' AS alert, '{severity}' AS severity, subject, CASE WHEN holds THEN 'started' ELSE 'ended' END AS event, tick AS at FROM c WHERE holds <> held"""
+_TICKS = "SELECT unnest(generate_series(min(start_time), max(start_time) - INTERVAL 3 HOUR, INTERVAL 30 MINUTE)) AS tick FROM own"
+
+
+@query("stream_high_queue_events", using("load", own=f"SELECT *, CAST(avg_queued_load * 10000 AS BIGINT) AS units FROM load WHERE {OWN}", ticks=_TICKS,
+    s="""SELECT tick, k.warehouse_name AS subject, CAST(sum(units) AS BIGINT) AS units, count(units) AS n FROM ticks
+      CROSS JOIN (SELECT DISTINCT warehouse_name FROM own) k LEFT JOIN own o ON o.warehouse_name = k.warehouse_name
+      AND o.start_time >= tick - INTERVAL 24 HOUR AND o.start_time < tick GROUP BY ALL""",
+    h="SELECT *, coalesce((units * 200 + n * 10000) // nullif(n * 20000, 0) > 700, FALSE) AS holds FROM s")
+    .rstrip() + ",\n" + _CHANGES.format(name="high_queue", severity="WARNING"))
+def _(t):
+    return in_two_runs(t, t.warehouse_load(), "queue", lambda load: alerts.high_queue(load, limit=7.0))
+
+
+@query("stream_cost_spike_events", using("metering", own=f"""SELECT start_time - INTERVAL 15 DAY AS start_time, credits_used + credits_used_cloud_services AS credits
+      FROM metering WHERE {OWN}""", ticks=_TICKS,
+    s="""SELECT tick, 'all clusters' AS subject, sum(CASE WHEN date_trunc('month', start_time) = date_trunc('month', tick) THEN credits END) AS now,
+      sum(CASE WHEN date_trunc('month', start_time) = date_trunc('month', tick - INTERVAL 1 MONTH) THEN credits END) AS before
+      FROM ticks LEFT JOIN own ON start_time < tick GROUP BY ALL""",
+    h="SELECT *, coalesce(now > before * 0.5 AND before > 0, FALSE) AS holds FROM s")
+    .rstrip() + ",\n" + _CHANGES.format(name="cost_spike", severity="CRITICAL"))
+def _(t):
+    """The log set back by 15 days, so that it has two months; half the earlier one is already a spike."""
+    earlier = t.metering().withColumn("start_time", F.timestamp_add("DAY", F.lit(-15), "start_time").cast("timestamp_ntz"))
+    return in_two_runs(t, earlier, "cost", lambda metering: alerts.cost_spike(metering, factor=0.5))

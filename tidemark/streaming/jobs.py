@@ -93,6 +93,11 @@ def latest(spark: SparkSession, out: str, schema, keys: Sequence[str]) -> DataFr
     return last.select(*keys, *[F.col(f"_r.{c}").alias(c) for c in rest])
 
 
+def emitted(spark: SparkSession, out: str, schema) -> DataFrame:
+    """All rows of a stream's run."""
+    return _stored(spark, out, schema).drop("batch_id")
+
+
 def _stored(spark: SparkSession, out: str, schema) -> DataFrame:
     spark.createDataFrame([], schema).write.mode("overwrite").parquet(f"{out}/batch_id=-1")
     return spark.read.schema(schema).option("basePath", out).parquet(out)
