@@ -7,6 +7,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from tidemark.functions.measures import annualised, dbl, gain_loss_pct, ratio
+from tidemark.operators.asof import last_known
 
 # fixed values: vendor field name, silver name, silver type
 PRICE_FIELDS = [
@@ -88,6 +89,14 @@ def convert_currency(facts: DataFrame, rates: DataFrame, amount: str, horizon: C
             .withColumn(f"{amount}_base", dbl(amount) * dbl("rate")))
 
 
+def convert_currency_at(facts: DataFrame, rates: DataFrame, amount: str, at: str) -> DataFrame:
+    """``amount`` in base currency at the latest rate at or before the instant ``at`` of both sides; NULL before the first rate.
+
+    Rates may change at any moment; a hot currency is dealt out by day.
+    """
+    return last_known(facts, rates, ["currency"], at, ["rate"]).withColumn(f"{amount}_base", dbl(amount) * dbl("rate"))
+
+
 def validate(df: DataFrame, rules: Mapping[str, Column]) -> DataFrame:
     """Adds ``failed_rules`` (names of broken rules; unknown counts as broken) and ``dq_status``."""
     broken = F.array_compact(F.array(*[F.when(~F.coalesce(ok, F.lit(False)), name) for name, ok in rules.items()]))

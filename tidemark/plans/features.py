@@ -4,9 +4,11 @@ import datetime as dt
 
 from pyspark.sql import functions as F
 
-from tidemark.operators import features as f, nav as n, training as tr
+from tidemark.operators import features as f, nav as n, refresh, silver, training as tr
 from tidemark.plans.registry import plain, query
 from tidemark.plans.sqlbase import LAST60, NAV_W, r, single, using
+from tidemark.sources import versions
+from tidemark.sources.scratch import scratch_path
 
 W = "PARTITION BY security_id ORDER BY trade_date"
 
@@ -261,3 +263,42 @@ def _(t):
         ((F.col("volume") % 101) / 100.0).alias("confidence_score"))
     outcomes = tr.labels(prices).withColumnRenamed("forward_return_5d", "actual_return")
     return plain(tr.backtest(tr.realised(predictions, outcomes)), avg_actual_return=7)
+
+
+LATE_FROM = "2001-03-01"
+REFRESHED = ["security_id", "trade_date", "close_price", "daily_return", *[f"sma_{k}" for k in SPANS], "volatility_20d", "volatility_60d"]
+
+
+@query("refresh_price_features", using("brand_prices", **RET) + f"SELECT {KEY}, daily_return, " + ", ".join(
+    single(f"avg(close_price) OVER {rows(k)}", f"sma_{k}") for k in SPANS) + ", " + ", ".join(
+    r(f"stddev_samp(daily_return) OVER {rows(k)}", 3, f"volatility_{k}d") for k in (20, 60)) + " FROM ret")
+def _(t):
+    """Features of the trades without the late ones, then renewed where late trades of the last months change them."""
+    late = (F.col("order_id") % 97 == 0) & (F.col("trade_date") >= LATE_FROM)
+    trades, keys = t.brand_trades(), ["security_id", "trade_date"]
+    year = F.date_format("trade_date", "yyyy")
+    bars_at, features_at = scratch_path(t.spark, "refresh-bars"), scratch_path(t.spark, "refresh-features")
+
+    def bars(of):
+        return silver.daily_prices(of, tie=["order_id", "line_no", "portfolio_id"]).withColumn("year", year)
+
+    def features(of):
+        return f.volatility(f.sma(f.returns(of))).select(*REFRESHED, "year", *[c for c in (refresh.STALE,) if c in of.columns])
+
+    def stored(path, like):
+        return versions.current(t.spark, path, like.schema).drop("part")
+    first = bars(trades.where(~late))
+    versions.publish(first, bars_at, "year")
+    versions.publish(features(stored(bars_at, first)), features_at, "year")
+    # the late trades: their days' bars, then what depends on them
+    changed = trades.where(late).select(*keys).distinct()
+    days = bars(trades.join(changed, keys, "left_semi"))
+    years = changed.select(year.alias("part")).distinct()
+    old = versions.current(t.spark, bars_at, first.schema).join(years, "part", "left_semi").drop("part")
+    versions.publish(refresh.merged(old, days, changed, keys), bars_at, "year", years)
+    table = features(first)
+    new = refresh.renewed(stored(bars_at, first), changed, features, "security_id", "trade_date", max(SPANS))
+    years = new.select(F.col("year").alias("part")).union(years).distinct()
+    old = versions.current(t.spark, features_at, table.schema).join(years, "part", "left_semi").drop("part")
+    versions.publish(refresh.merged(old, new, changed, keys), features_at, "year", years)
+    return plain(stored(features_at, table).drop("year"), volatility_20d=3, volatility_60d=3, **{f"sma_{k}": None for k in SPANS})

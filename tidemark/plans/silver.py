@@ -196,3 +196,19 @@ def _(t):
     FROM nav_history""")
 def _(t):
     return plain(t.nav_history().select("portfolio_id", "as_of_date", "beta", "alpha"), beta=3, alpha=3)
+
+
+@query("silver_currency_convert_intraday", """WITH fact AS (SELECT event_id, 'C' || CAST(user_id % 7 AS VARCHAR) AS currency, ts, CAST(value AS DECIMAL(12,2)) AS amount
+      FROM events WHERE event_type <> 'view'),
+    rates AS (SELECT 'C' || CAST(event_id % 7 AS VARCHAR) AS currency, ts, CAST(max(50 + user_id % 100) AS DECIMAL(10,2)) / 100 AS rate
+      FROM events WHERE event_type = 'view' GROUP BY 1, 2)
+    SELECT event_id, fact.currency, fact.ts, CAST(rate AS DOUBLE) AS rate, CAST(amount AS DOUBLE) * CAST(rate AS DOUBLE) AS amount_base
+    FROM fact ASOF LEFT JOIN rates ON fact.currency = rates.currency AND fact.ts >= rates.ts""")
+def _(t):
+    """Rates that change within the day: every view of the log quotes one, all other events are converted."""
+    events = t.raw("events")
+    viewed = F.col("event_type") == "view"
+    code = lambda column: F.concat(F.lit("C"), (F.col(column) % 7).cast("string")).alias("currency")
+    facts = events.where(~viewed).select("event_id", code("user_id"), "ts", F.col("value").cast("decimal(12,2)").alias("amount"))
+    rates = events.where(viewed).select(code("event_id"), "ts", ((50 + F.col("user_id") % 100).cast("decimal(10,2)") / 100).cast("decimal(10,2)").alias("rate"))
+    return plain(s.convert_currency_at(facts, rates, "amount", "ts").drop("amount"))

@@ -112,11 +112,13 @@ class Tables:
     def prices(self) -> DataFrame:
         return silver.daily_prices(self.trades(), tie=["order_id", "line_no", "portfolio_id"])
 
-    def brand_prices(self) -> DataFrame:
+    def brand_trades(self) -> DataFrame:
         brand = self.raw("part").select(F.col("p_partkey").alias("security_id"), F.col("p_brand").alias("brand"))
-        trades = (self.trades().join(brand, "security_id").drop("security_id")
-                  .withColumnRenamed("brand", "security_id"))
-        return silver.daily_prices(trades, tie=["order_id", "line_no", "portfolio_id"])
+        return (self.trades().join(brand, "security_id").drop("security_id")
+                .withColumnRenamed("brand", "security_id"))
+
+    def brand_prices(self) -> DataFrame:
+        return silver.daily_prices(self.brand_trades(), tie=["order_id", "line_no", "portfolio_id"])
 
     def nav(self) -> DataFrame:
         return nav_ops.nav_from_trades(self.trades())
