@@ -1,6 +1,7 @@
 """Hand-made edge cases for prices, holdings, rankings, history and features."""
 
 import datetime as dt
+import random
 import math
 import statistics
 
@@ -240,3 +241,21 @@ def test_drawdown(spark):
     assert got == pytest.approx([0.0, -0.2, -0.2, -0.5, -0.5])
     short = [r.max_drawdown_2d for r in features.max_drawdown(nav, 2).orderBy("as_of_date").collect()]
     assert short == pytest.approx([0.0, -0.2, 0.0, -0.5, 0.0])
+
+
+@pytest.mark.parametrize("n", [1, 2, 7, 60])
+def test_drawdown_by_blocks_equals_every_pair(spark, n):
+    rng = random.Random(n)
+    rows = [(p, D(2024, 1, 1) + dt.timedelta(days=i), rng.choice([None, *[float(rng.randint(1, 50))] * 9])) for p in (1, 2, 3) for i in range(1 if p == 3 else 150)]
+    rng.shuffle(rows)
+    nav = spark.createDataFrame(rows, "portfolio_id bigint, as_of_date date, nav_per_share double")
+    found = features.max_drawdown(nav, n)
+    assert "collect_list" not in found._jdf.queryExecution().toString()
+    for p in (1, 2, 3):
+        values = [v for _, v in sorted((d, v) for q, d, v in rows if q == p)]
+        expected = []
+        for i in range(len(values)):
+            own = [v for v in values[max(0, i - n + 1):i + 1] if v is not None]
+            expected.append(min([own[k] / max(own[:k + 1]) - 1.0 for k in range(len(own))], default=0.0))
+        got = [r[f"max_drawdown_{n}d"] for r in found.where(f"portfolio_id = {p}").orderBy("as_of_date").collect()]
+        assert got == expected

@@ -2,7 +2,9 @@
 
 import datetime as dt
 import os
+from decimal import Decimal
 
+import pytest
 from pyspark.sql import functions as F
 
 from tidemark.sources import files
@@ -148,3 +150,36 @@ def test_rows_beyond_the_watermark_are_counted(spark, tmp_path):
     drop_file(spark, src, "d", [(77, day(1), '{"px": 5}'), (78, None, '{"px": 5}')])
     assert dated.run_dated(silver_job(spark, src), out, state, F.to_date("at"), SINKS) >= 1
     assert 77 not in {r.id for r in dated.stored(spark, out, "certified", job.schema).collect()}
+
+
+def test_panes_merge_to_sliding_windows(spark, tmp_path):
+    """Panes that are renewed by late samples give the load of every 24 hours; a sample is one state row, not 48."""
+    src, out, state = (str(tmp_path / n) for n in ("src", "out", "state"))
+    schema = "warehouse_name string, start_time timestamp_ntz, avg_running decimal(18,4), avg_queued_load decimal(18,4), avg_blocked decimal(18,4)"
+    value = lambda x: None if x is None else Decimal(x)
+    rows = [(w, minutes(20 * i), value(i), value(i % 5), value(None if i % 3 else 1)) for i in range(150) for w in ("INV_A", "INV_B", "OTHER") if i % 7 or w == "INV_B"]
+    parts = [rows[:100] + rows[110:120], rows[100:110] + rows[120:300], rows[300:]]
+    states = []
+    for i, part in enumerate(parts):
+        drop_file(spark, src, f"f{i}", part, schema)
+        job = jobs.queue_panes(stream(spark, src, schema))
+        query = (job.writeStream.outputMode("update").option("checkpointLocation", state).trigger(availableNow=True)
+                 .foreachBatch(lambda b, n: b.write.mode("overwrite").parquet(f"{out}/batch_id={n}")).start())
+        query.awaitTermination()
+        states.append(max(p["stateOperators"][0]["numRowsTotal"] for p in query.recentProgress))
+    found = jobs.queue_windows(jobs.latest(spark, out, job.schema, ["pane", "warehouse_name"]))
+    expected = {}
+    for w, at, running, queued, blocked in rows:
+        if w != "OTHER":
+            pane = at.replace(minute=at.minute // 30 * 30)
+            for k in range(48):
+                expected.setdefault((pane - dt.timedelta(minutes=30 * k), w), []).append((running, queued, blocked))
+    got = {(r["window_start"], r["warehouse_name"]): r for r in found.collect()}
+    assert set(got) == set(expected)
+    for key, own in expected.items():
+        mean = lambda i: next(iter([float(sum(v)) / len(v) for v in [[x[i] for x in own if x[i] is not None]] if v]), None)  # noqa: E731, B023
+        r = got[key]
+        assert r["sample_count"] == len(own) and r["window_end"] - r["window_start"] == dt.timedelta(days=1)
+        assert [r["avg_queries_running"], r["avg_queries_queued"]] == pytest.approx([mean(0), mean(1)], abs=0.00501)
+        assert r["peak_queries_queued"] == max(x[1] for x in own)
+    assert max(states) <= 2 * (8 + 70)  # panes of both clusters within the lag and of one batch

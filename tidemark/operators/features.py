@@ -132,16 +132,27 @@ def portfolio_risk(nav: DataFrame) -> DataFrame:
 
 
 def max_drawdown(nav: DataFrame, n: int = 60) -> DataFrame:
-    """Worst fall from a peak inside the last ``n`` rows (zero or negative)."""
-    start = F.struct(F.lit(None).cast("double").alias("peak"), F.lit(0.0).alias("worst"))
+    """Worst fall from a peak inside the last ``n`` rows (zero or negative); rows without a value count as rows only.
 
-    def step(acc: Column, v: Column) -> Column:
-        peak = F.greatest(acc["peak"], v)
-        return F.struct(peak.alias("peak"), F.least(acc["worst"], v / peak - 1.0).alias("worst"))
-
-    values = F.collect_list("nav_per_share").over(_portfolio(n))
-    return nav.withColumn("_values", values).withColumn(
-        f"max_drawdown_{n}d", F.aggregate("_values", start, step, lambda acc: acc["worst"])).drop("_values")
+    Peak, trough and worst fall of a run follow from those of its two halves, so rows are cut in blocks of ``n`` and both the run
+    from a block's start to a row and that from a row to the block's end are kept up as rows pass. The last ``n`` rows are the end of one
+    block and the start of the next: three values merged, whatever ``n``. All sorts share one shuffle.
+    """
+    series, v = by_date("portfolio_id", "as_of_date"), F.col("nav_per_share")
+    fall = lambda low, high: F.try_divide(low, high) - 1.0
+    cut = nav.withColumn("_row", F.row_number().over(series) - 1).withColumn("_block", F.floor(F.col("_row") / n))
+    block = Window.partitionBy("portfolio_id", "_block")
+    on = block.orderBy("as_of_date").rowsBetween(Window.unboundedPreceding, 0)
+    back = block.orderBy(F.col("as_of_date").desc()).rowsBetween(Window.unboundedPreceding, 0)
+    runs = (cut.withColumns({"_high": F.max(v).over(on), "_low": F.min(v).over(on)})
+            .withColumn("_worst", F.min(fall(v, F.col("_high"))).over(on))
+            .withColumns({"_high_after": F.max(v).over(back), "_low_after": F.min(v).over(back)})
+            .withColumn("_worst_after", F.min(fall(F.col("_low_after"), v)).over(back)))
+    both = runs.withColumn("_end", F.lag(F.struct("_worst_after", "_high_after"), n - 1).over(series))
+    whole = F.col("_row") % n == n - 1
+    merged = F.when(whole | (F.col("_block") == 0), F.col("_worst")).otherwise(
+        F.least("_worst", "_end._worst_after", fall(F.col("_low"), F.col("_end._high_after"))))
+    return both.withColumn(f"max_drawdown_{n}d", F.coalesce(merged, F.lit(0.0))).select(*nav.columns, f"max_drawdown_{n}d")
 
 
 def portfolio_features(nav: DataFrame, holdings: DataFrame, sectors: DataFrame) -> DataFrame:

@@ -85,7 +85,8 @@ def _(t):
     FROM w GROUP BY 1, 2, 3""")
 def _(t):
     load = as_stream(t, t.warehouse_load(), "load")
-    return plain(jobs.run_once(t.spark, jobs.queue_load(load), "queue", ["window_start", "window_end", "warehouse_name"]))
+    panes = jobs.run_once(t.spark, jobs.queue_panes(load), "queue", ["pane", "warehouse_name"])
+    return plain(jobs.queue_windows(panes))
 
 
 @query("stream_daily_credits", using("metering") + f"""SELECT date_trunc('day', start_time) AS usage_date, warehouse_name,

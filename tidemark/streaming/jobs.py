@@ -12,10 +12,12 @@ from collections.abc import Callable, Mapping, Sequence
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from tidemark.functions.clock import instant, wall
+from tidemark.functions.measures import rounded_ratio
 from tidemark.operators import monitoring, silver
 from tidemark.sources.scratch import scratch_path
 
-QUERY_LAG, WAREHOUSE_LAG = "45 minutes", "3 hours"
+QUERY_LAG, WAREHOUSE_LAG, PANE = "45 minutes", "3 hours", "30 minutes"
+LOAD = ["avg_running", "avg_queued_load", "avg_blocked"]
 
 
 def read_files(spark: SparkSession, folder: str, schema: str, pattern: str | None = None, files_per_batch: int | None = None) -> DataFrame:
@@ -56,12 +58,25 @@ def long_running(queries: DataFrame, limit_ms: int = 300_000) -> DataFrame:
         "query_id", "user_name", "role_name", "warehouse_name", "start_time", "total_elapsed_time")
 
 
-def queue_load(load: DataFrame, window: str = "24 hours", every: str = "30 minutes", lag: str = WAREHOUSE_LAG) -> DataFrame:
-    """Load of the last 24 hours per cluster, as it stood every 30 minutes."""
+def queue_panes(load: DataFrame, every: str = PANE, lag: str = WAREHOUSE_LAG) -> DataFrame:
+    """Sums, counts and peak of each half hour and cluster: a sample enters one state row, and only panes within ``lag`` stay in the state."""
     own = load.where(F.col("warehouse_name").like("INV_%")).withColumn("_at", instant("start_time")).withWatermark("_at", lag)
-    return (own.groupBy(F.window("_at", window, every), "warehouse_name").agg(*monitoring.load_measures())
-            .select(wall("window.start").alias("window_start"), wall("window.end").alias("window_end"), "warehouse_name",
-                    "sample_count", "avg_queries_running", "avg_queries_queued", "avg_queries_blocked", "peak_queries_queued"))
+    return own.groupBy(F.window("_at", every), "warehouse_name").agg(
+        F.count("*").alias("n"), *(f(c).alias(f"{name}_{c}") for c in LOAD for name, f in (("sum", F.sum), ("known", F.count))),
+        F.max("avg_queued_load").alias("peak")).select(wall("window.start").alias("pane"), "warehouse_name", "n",
+                                                       *(f"{name}_{c}" for c in LOAD for name in ("sum", "known")), "peak")
+
+
+def queue_windows(panes: DataFrame, merged: int = 48) -> DataFrame:
+    """Load of the last 24 hours per cluster, as it stood every 30 minutes: ``merged`` panes a window, summed before the shuffle."""
+    half_hours = lambda k: F.timestamp_add("MINUTE", F.lit(30) * k, "pane").cast("timestamp_ntz")
+    placed = panes.withColumn("_k", F.explode(F.sequence(F.lit(1 - merged), F.lit(0)))).withColumn("window_start", half_hours(F.col("_k")))
+    mean = lambda c: rounded_ratio(F.sum(f"sum_{c}") * 10000, F.sum(f"known_{c}") * 10000, 2)
+    return (placed.groupBy("window_start", "warehouse_name").agg(
+        F.sum("n").alias("sample_count"), mean("avg_running").alias("avg_queries_running"), mean("avg_queued_load").alias("avg_queries_queued"),
+        mean("avg_blocked").alias("avg_queries_blocked"), F.round(F.max("peak"), 2).alias("peak_queries_queued"))
+        .withColumn("window_end", F.timestamp_add("MINUTE", F.lit(30 * merged), "window_start").cast("timestamp_ntz"))
+        .select("window_start", "window_end", "warehouse_name", "sample_count", "avg_queries_running", "avg_queries_queued", "avg_queries_blocked", "peak_queries_queued"))
 
 
 def daily_credits(metering: DataFrame, lag: str = WAREHOUSE_LAG) -> DataFrame:
