@@ -212,14 +212,13 @@ def _(t):
     return tr.sma_cross(averages).select("security_id", "trade_date", "sma_5", "sma_20", "sma_cross")
 
 
-# features are published once a week, on Fridays; labels exist for every day
+# a day's features are known on the next; labels exist for every day
 FEATURES = ["return_1d", "volume_ratio", "volatility_20d"]
-WEEKLY = dict(fe=f"""SELECT security_id, trade_date AS feature_date, daily_return AS return_1d, volume / avg(volume) OVER {rows(20)} AS volume_ratio,
-    stddev_samp(daily_return) OVER {rows(20)} AS volatility_20d FROM ret""",
-    fri="SELECT * FROM fe WHERE dayofweek(feature_date) = 5")
+KNOWN = dict(fe=f"""SELECT security_id, trade_date + 1 AS feature_date, daily_return AS return_1d, volume / avg(volume) OVER {rows(20)} AS volume_ratio,
+    stddev_samp(daily_return) OVER {rows(20)} AS volatility_20d FROM ret""")
 TRAIN = f"""SELECT lab.security_id, trade_date, forward_return_5d, forward_return_20d, {DIRECTION}, feature_date, return_1d,
-    {r('volume_ratio', 7, 'volume_ratio')}, {r('volatility_20d', 3, 'volatility_20d')} FROM lab ASOF JOIN fri
-    ON lab.security_id = fri.security_id AND lab.trade_date >= fri.feature_date WHERE forward_return_5d IS NOT NULL
+    {r('volume_ratio', 7, 'volume_ratio')}, {r('volatility_20d', 3, 'volatility_20d')} FROM lab ASOF JOIN fe
+    ON lab.security_id = fe.security_id AND lab.trade_date >= fe.feature_date WHERE forward_return_5d IS NOT NULL
     AND forward_return_20d IS NOT NULL AND return_1d IS NOT NULL AND volume_ratio IS NOT NULL AND volatility_20d IS NOT NULL"""
 
 
@@ -227,17 +226,17 @@ def training_set(t):
     prices = t.brand_prices()
     labelled = tr.labels(prices).select("security_id", "trade_date", "forward_return_5d", "forward_return_20d", "direction_5d")
     daily = f.volume(f.volatility(f.returns(prices), (20,)))
-    weekly = daily.where(F.dayofweek("trade_date") == 6).select(
-        "security_id", "trade_date", F.col("daily_return").alias("return_1d"), "volume_ratio", "volatility_20d")
-    return plain(tr.dataset(labelled, weekly, FEATURES), volume_ratio=7, volatility_20d=3)
+    known = daily.select(
+        "security_id", F.date_add("trade_date", 1).alias("trade_date"), F.col("daily_return").alias("return_1d"), "volume_ratio", "volatility_20d")
+    return plain(tr.dataset(labelled, known, FEATURES), volume_ratio=7, volatility_20d=3)
 
 
-@query("train_dataset", using("brand_prices", **RET, **LABELS, **WEEKLY) + TRAIN)
+@query("train_dataset", using("brand_prices", **RET, **LABELS, **KNOWN) + TRAIN)
 def _(t):
     return training_set(t)
 
 
-@query("train_split", using("brand_prices", **RET, **LABELS, **WEEKLY, ds=TRAIN) + """SELECT split, count(*) AS rows, min(trade_date) AS first_day,
+@query("train_split", using("brand_prices", **RET, **LABELS, **KNOWN, ds=TRAIN) + """SELECT split, count(*) AS rows, min(trade_date) AS first_day,
     max(trade_date) AS last_day, CAST(sum(direction_5d) AS BIGINT) AS ups FROM (SELECT *, CASE WHEN trade_date <= DATE '1999-12-31' THEN 'train'
     WHEN trade_date <= DATE '2000-12-31' THEN 'validation' ELSE 'test' END AS split FROM ds) GROUP BY split""")
 def _(t):

@@ -83,7 +83,7 @@ def _(t):
 
 def _orphan_sql(dim: str, key: str) -> str:
     return using("lots", dim) + f"""SELECT count(*) AS orphan_holdings, CASE WHEN count(*) = 0 THEN 'PASS' ELSE 'FAIL' END
-        AS validation_result FROM lots h LEFT JOIN (SELECT * FROM {dim} WHERE {key} % 10 <> 0) s USING ({key})
+        AS validation_result FROM lots h LEFT JOIN {dim} s USING ({key})
         WHERE s.{key} IS NULL"""
 
 
@@ -93,12 +93,12 @@ def _lots(t):
 
 @query("dq_orphan_securities", _orphan_sql("dim_security", "security_id"))
 def _(t):
-    return q.orphans(_lots(t), t.dim_security().where("is_current AND security_id % 10 <> 0"), "security_id")
+    return q.orphans(_lots(t), t.dim_security().where("is_current"), "security_id")
 
 
 @query("dq_orphan_portfolios", _orphan_sql("dim_portfolio", "portfolio_id"))
 def _(t):
-    return q.orphans(_lots(t), t.dim_portfolio().where("portfolio_id % 10 <> 0"), "portfolio_id")
+    return q.orphans(_lots(t), t.dim_portfolio(), "portfolio_id")
 
 
 @query("dq_date_range", using("lots") + f"""SELECT min(trade_date) AS earliest_date, max(trade_date) AS latest_date,

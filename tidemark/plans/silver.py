@@ -91,14 +91,14 @@ def _(t):
 @query("silver_currency_convert", using("trades", fact="""SELECT order_id, line_no, security_id, trade_date, net,
       'C' || CAST(portfolio_id % 25 AS VARCHAR) AS currency FROM trades""",
     rates="""SELECT 'C' || CAST(o_custkey % 25 AS VARCHAR) AS currency, CAST(o_orderdate AS DATE) AS rate_date,
-      CAST(0.5 + (max(o_orderkey) % 100) * 0.01 AS DECIMAL(10,2)) AS rate FROM orders WHERE o_orderkey % 5 = 0 GROUP BY 1, 2""")
+      CAST(0.5 + (max(o_orderkey) % 100) * 0.01 AS DECIMAL(10,2)) AS rate FROM orders GROUP BY 1, 2""")
     + f"""SELECT order_id, line_no, security_id, trade_date, fact.currency, {d('rate')},
     CAST(net AS DOUBLE) * CAST(rate AS DOUBLE) AS net_base FROM fact ASOF LEFT JOIN rates
     ON fact.currency = rates.currency AND fact.trade_date >= rates.rate_date""")
 def _(t):
     facts = t.trades().select("order_id", "line_no", "security_id", "trade_date", "net",
                               F.concat(F.lit("C"), (F.col("portfolio_id") % 25).cast("string")).alias("currency"))
-    rates = t.raw("orders").where("o_orderkey % 5 = 0").groupBy(
+    rates = t.raw("orders").groupBy(
         F.concat(F.lit("C"), (F.col("o_custkey") % 25).cast("string")).alias("currency"),
         F.col("o_orderdate").cast("date").alias("rate_date")).agg(
         (F.lit(0.5).cast("decimal(2,1)") + (F.max("o_orderkey") % 100).cast("decimal(4,0)") / 100).cast("decimal(10,2)").alias("rate"))
