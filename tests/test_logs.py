@@ -197,3 +197,16 @@ def test_orphans_and_counts(spark):
     counts = quality.table_counts({"A": spark.range(8000), "B": spark.range(0)})
     assert quality.total_records(counts).first().validation_result == "WARNING"
     assert {r.table_name: r.target_check for r in quality.count_targets(counts, {"A": 8000, "B": 1}).collect()} == {"A": "TARGET MET", "B": "BELOW TARGET"}
+
+
+def test_reports_while_a_table_is_written(spark, tmp_path):
+    rows = [(1.0, 2.0, 1.0, 3.0), (None, 2.0, None, None), (4.0, -1.0, -5.0, 1.0), (1.0, 2.0, 9.0, 0.0)]
+    df = spark.createDataFrame(rows, "cost_basis double, market_value double, unrealized_pnl double, gain_loss_pct double")
+    reports = dict(nulls=quality.holdings_null_measures(), gains=quality.gain_loss_measures(), values=quality.value_measures())
+    seen = quality.measured_on_load(df, str(tmp_path / "t"), reports)
+    assert spark.read.parquet(str(tmp_path / "t")).count() == 4
+    assert seen["gains"] == {"total_records": 3, "calculation_errors": 1, "validation_result": "WARNING"}
+    for name, one in (("nulls", quality.holdings_nulls(df)), ("gains", quality.gain_loss_check(df)), ("values", quality.value_summary(df))):
+        assert seen[name] == one.first().asDict()
+    again = quality.together(df, reports).first()
+    assert {name: again[name].asDict() for name in reports} == seen

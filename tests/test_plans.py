@@ -56,3 +56,9 @@ def test_no_python_outside_the_recursive_averages(spark, folder):
         if name.startswith(("gold_", "silver_", "mon_", "audit_", "dq_", "mask_", "row_")):
             text = plan(fn(spark, folder))
             assert "Python" not in text and "Pandas" not in text, name
+
+
+def test_reports_of_a_table_share_one_scan(spark, folder):
+    together = plan(QUERIES["dq_holdings_all"](spark, folder))
+    assert together.count("FileScan") == plan(QUERIES["dq_value_summary"](spark, folder)).count("FileScan")
+    assert "lineitem.parquet" in together and together.count("lineitem.parquet") == 1

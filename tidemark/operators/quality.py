@@ -5,7 +5,7 @@ from __future__ import annotations
 import datetime as dt
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Observation, functions as F
 
 from tidemark.functions.clock import day
 from tidemark.functions.measures import ordered_case
@@ -27,20 +27,27 @@ def share_by(df: DataFrame, column: str) -> DataFrame:
     return (counts.withColumn("percentage", F.round(F.col("count") * 100.0 / total.scalar(), 2)))
 
 
-def holdings_nulls(holdings: DataFrame) -> DataFrame:
+def holdings_null_measures() -> list[Column]:
     c, m = F.col("cost_basis"), F.col("market_value")
-    return holdings.agg(
-        F.count("*").alias("total_holdings"), _n(c.isNull()).alias("null_cost_basis"),
-        _n(m.isNull()).alias("null_market_value"), _n(c <= 0).alias("invalid_cost_basis"),
-        _n(m <= 0).alias("invalid_market_value"),
-        _verdict(_n(c.isNull() | m.isNull()) == 0, "PASS", "FAIL").alias("quality_check"))
+    return [F.count("*").alias("total_holdings"), _n(c.isNull()).alias("null_cost_basis"),
+            _n(m.isNull()).alias("null_market_value"), _n(c <= 0).alias("invalid_cost_basis"),
+            _n(m <= 0).alias("invalid_market_value"),
+            _verdict(_n(c.isNull() | m.isNull()) == 0, "PASS", "FAIL").alias("quality_check")]
+
+
+def holdings_nulls(holdings: DataFrame) -> DataFrame:
+    return holdings.agg(*holdings_null_measures())
+
+
+def gain_loss_measures() -> list[Column]:
+    known = F.col("cost_basis").isNotNull() & F.col("market_value").isNotNull()
+    off = known & (F.abs(F.col("unrealized_pnl") - (F.col("market_value") - F.col("cost_basis"))) > 0.01)
+    return [_n(known).alias("total_records"), _n(off).alias("calculation_errors"),
+            _verdict(_n(off) == 0, "PASS", "WARNING").alias("validation_result")]
 
 
 def gain_loss_check(holdings: DataFrame) -> DataFrame:
-    off = F.abs(F.col("unrealized_pnl") - (F.col("market_value") - F.col("cost_basis"))) > 0.01
-    return holdings.where("cost_basis IS NOT NULL AND market_value IS NOT NULL").agg(
-        F.count("*").alias("total_records"), _n(off).alias("calculation_errors"),
-        _verdict(_n(off) == 0, "PASS", "WARNING").alias("validation_result"))
+    return holdings.agg(*gain_loss_measures())
 
 
 def orphans(facts: DataFrame, dim: DataFrame, key: str) -> DataFrame:
@@ -49,19 +56,26 @@ def orphans(facts: DataFrame, dim: DataFrame, key: str) -> DataFrame:
                     _verdict(F.count("*") == 0, "PASS", "FAIL").alias("validation_result"))
 
 
+def date_range_measures(as_of: dt.date) -> list[Column]:
+    return [F.min("as_of_date").alias("earliest_date"), F.max("as_of_date").alias("latest_date"),
+            F.count_distinct("as_of_date").alias("unique_dates"),
+            _verdict(F.max("as_of_date") <= day(as_of), "PASS", "FAIL").alias("date_check")]
+
+
 def date_range(facts: DataFrame, as_of: dt.date) -> DataFrame:
-    return facts.agg(F.min("as_of_date").alias("earliest_date"), F.max("as_of_date").alias("latest_date"),
-                     F.count_distinct("as_of_date").alias("unique_dates"),
-                     _verdict(F.max("as_of_date") <= day(as_of), "PASS", "FAIL").alias("date_check"))
+    return facts.agg(*date_range_measures(as_of))
 
 
-def value_summary(holdings: DataFrame) -> DataFrame:
+def value_measures() -> list[Column]:
     pnl = F.col("unrealized_pnl")
-    return holdings.agg(
-        F.count("*").alias("total_positions"), F.round(F.sum("cost_basis"), 2).alias("total_cost_basis"),
-        F.round(F.sum("market_value"), 2).alias("total_market_value"),
-        F.round(F.sum(pnl), 2).alias("total_unrealized_pnl"), F.round(F.avg("gain_loss_pct"), 4).alias("avg_return_pct"),
-        _n(pnl > 0).alias("profitable_positions"), _n(pnl < 0).alias("losing_positions"))
+    return [F.count("*").alias("total_positions"), F.round(F.sum("cost_basis"), 2).alias("total_cost_basis"),
+            F.round(F.sum("market_value"), 2).alias("total_market_value"),
+            F.round(F.sum(pnl), 2).alias("total_unrealized_pnl"), F.round(F.avg("gain_loss_pct"), 4).alias("avg_return_pct"),
+            _n(pnl > 0).alias("profitable_positions"), _n(pnl < 0).alias("losing_positions")]
+
+
+def value_summary(holdings: DataFrame) -> DataFrame:
+    return holdings.agg(*value_measures())
 
 
 def nav_quality(nav: DataFrame) -> DataFrame:
@@ -107,10 +121,29 @@ def portfolio_distribution(portfolios: DataFrame) -> DataFrame:
         F.avg("expense_ratio").alias("avg_expense"))
 
 
+def completeness_measures(columns: Mapping[str, str]) -> list[Column]:
+    return [F.count("*").alias("total_holdings"), *[
+        F.round(F.count(src) * 100.0 / F.nullif(F.count("*"), F.lit(0)), 2).alias(out) for out, src in columns.items()]]
+
+
 def completeness(df: DataFrame, columns: Mapping[str, str]) -> DataFrame:
     """Percent of non-NULL values; ``columns`` maps output name to input column."""
-    return df.agg(F.count("*").alias("total_holdings"), *[
-        F.round(F.count(src) * 100.0 / F.nullif(F.count("*"), F.lit(0)), 2).alias(out) for out, src in columns.items()])
+    return df.agg(*completeness_measures(columns))
+
+
+def together(df: DataFrame, reports: Mapping[str, Sequence[Column]]) -> DataFrame:
+    """Any number of one-row reports of a table in one pass over it: one row, a struct for each report."""
+    return df.agg(*(F.struct(*measures).alias(name) for name, measures in reports.items()))
+
+
+def measured_on_load(df: DataFrame, path: str, reports: Mapping[str, Sequence[Column]]) -> dict[str, dict]:
+    """Writes the table and gives the reports of what was written, counted while it passed, without reading it again.
+
+    Distinct counts can't be kept that way; ask for those by :func:`together`. The table is written anew.
+    """
+    seen = Observation()
+    df.observe(seen, *(F.struct(*measures).alias(name) for name, measures in reports.items())).write.mode("overwrite").parquet(path)
+    return {name: row.asDict() for name, row in seen.get.items()}
 
 
 def summary_profile(summary: DataFrame) -> DataFrame:

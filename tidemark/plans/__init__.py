@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-AREAS = ["landing", "silver", "dims", "gold", "features", "governance", "monitoring", "audit", "quality", "streams"]
+AREAS = ["landing", "silver", "dims", "gold", "features", "governance", "monitoring", "audit", "quality", "sampling", "streams"]
 
 
 def _load():

@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from tidemark.operators import quality as q, silver
 from tidemark.plans.gold import SUMMARY, SUMMARY_INPUTS, held, summary
-from tidemark.plans.registry import plain, query
+from tidemark.plans.registry import ORACLES, plain, query
 from tidemark.plans.sqlbase import d, r, using
 from tidemark.sources.bindings import AS_OF_LOG, AS_OF_MARKET, Tables
 
@@ -152,6 +152,28 @@ def _(t):
     return plain(q.completeness(metrics(t), COMPLETE))
 
 
+def flat(reports):
+    """One column for each measure, named after its report."""
+    return reports.select(*(F.col(f"{f.name}.{m.name}").alias(f"{f.name}_{m.name}") for f in reports.schema.fields for m in f.dataType.fields))
+
+
+ALL_HOLDINGS = dict(nulls="dq_holdings_nulls", gains="dq_gain_loss_check", dates="dq_date_range", values="dq_value_summary", complete="dq_completeness")
+
+
+def _all_sql() -> str:
+    """The five reports side by side, each by its own SQL."""
+    parts = {name: f"(SELECT COLUMNS('(.*)') AS '{name}_\\1' FROM ({ORACLES[key]}))" for name, key in ALL_HOLDINGS.items()}
+    return "SELECT * FROM " + " CROSS JOIN ".join(parts.values())
+
+
+@query("dq_holdings_all", _all_sql())
+def _(t):
+    """Five reports of the holdings by one scan."""
+    rows = metrics(t)
+    return plain(flat(q.together(rows, dict(nulls=q.holdings_null_measures(), gains=q.gain_loss_measures(), dates=q.date_range_measures(AS_OF_MARKET),
+                                            values=q.value_measures(), complete=q.completeness_measures(COMPLETE)))))
+
+
 @query("dq_completeness_clients", using("clients") + """SELECT count(*) AS total_holdings,
     CAST(ROUND(count(client_tier) * 100.0 / count(*), 2) AS DOUBLE) AS pct_tier,
     CAST(ROUND(count(dq_status) * 100.0 / count(*), 2) AS DOUBLE) AS pct_dq FROM clients""")
