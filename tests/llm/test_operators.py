@@ -36,7 +36,6 @@ def odd_docs(spark):
 def encode():
     from tokenizers import Tokenizer
     tokenizer = Tokenizer.from_file(tokenizer_path())
-    tokenizer.encode_special_tokens = True
     return lambda text: tokenizer.encode(text or "", add_special_tokens=False).ids + [0]
 
 
@@ -239,7 +238,9 @@ def test_mixing(spark, odd_docs):
 
 
 def test_token_files(spark, odd_docs, encode, tmp_path):
-    for name, docs in (("all", odd_docs), ("none", odd_docs.limit(0))):
+    marked = odd_docs.unionByName(spark.createDataFrame([(7, "a <|endoftext|> b"), (None, "<|endoftext|>"), (9, "x<|endoftext|>\n <|endoftext|")],
+                                                        "doc_id bigint, text string"), allowMissingColumns=True)
+    for name, docs in (("all", marked), ("none", odd_docs.limit(0))):
         path = str(tmp_path / name)
         token_files.write_token_files(docs, tokenizer_path(), path)
         files = token_files.read_token_files(spark, path)
@@ -250,7 +251,39 @@ def test_token_files(spark, odd_docs, encode, tmp_path):
         assert ids == sorted(ids, key=lambda d: (d is not None, d or 0))
         assert [r["start"] for r in got] == [sum(r["n_tokens"] for r in got[:i]) for i in range(len(got))]
         assert sorted((r["n_tokens"], r["ids_crc32"]) for r in got) == sorted((len(i), zlib.crc32(np.array(i, "<u4").tobytes())) for _, i in texts)
-    assert files.where("doc_id = 4").count() == 0
+        again = sorted(token_files.token_digests(token_files.read_token_files(spark, path)).collect(), key=lambda r: r["start"])
+        assert again == got
+
+
+def test_marked_text_has_the_ids_of_the_plain_call(encode):
+    assert 50256 in encode("a <|endoftext|> b")
+
+
+def test_order_of_token_files_is_by_number_and_place(spark):
+    """Files past the five digits of Spark's names, in an order unlike that of their rows."""
+    rows = [(f * 10 + p, [7] * (p + 1), f, p) for f in (100_001, 99_999, 3, 100_000, 20_000) for p in (2, 0, 1)]
+    got = sorted(token_files.token_digests(spark.createDataFrame(rows, token_files.IDS).repartition(3)).collect(), key=lambda r: r["start"])
+    assert [r["doc_id"] for r in got] == sorted(d for d, *_ in rows) and [r["start"] for r in got] == [6 * (i // 3) + (0, 1, 3)[i % 3] for i in range(15)]
+
+
+def rows_scanned(df):
+    """Rows that the scan of a collected plan gave."""
+    df.collect()
+    leaves = df._jdf.queryExecution().executedPlan().collectLeaves()
+    return sum(leaves.apply(i).metrics().apply("numOutputRows").value() for i in range(leaves.size()))
+
+
+def test_token_files_skip_rows_by_index_and_bloom_filter(spark, tmp_path):
+    from pyarrow import orc
+    docs = spark.range(4000).select((F.col("id") * 2).alias("doc_id"), F.concat(F.lit("text "), F.col("id").cast("string")).alias("text"))
+    path = str(tmp_path / "files")
+    token_files.write_token_files(docs, tokenizer_path(), path, stride=1000)
+    (name,) = [str(p) for p in (tmp_path / "files").glob("part-*.orc")]
+    assert orc.ORCFile(name).row_index_stride == 1000
+    files = token_files.read_token_files(spark, path)
+    assert rows_scanned(files.where("doc_id >= 0").select("doc_id")) == 4000
+    assert rows_scanned(files.where("doc_id = 4242").select("doc_id")) == 1000  # one row group of four
+    assert rows_scanned(files.where("doc_id = 4243").select("doc_id")) == 0  # within a group's range, but not in its filter
 
 
 def _vectors(seed):

@@ -6,17 +6,17 @@ import zlib
 
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
-#: ids are unsigned 32-bit; vocabularies stay below 2^31, so ORC's 32-bit integer holds them
-IDS = "doc_id long, ids array<int>"
+#: ids are unsigned 32-bit; vocabularies stay below 2^31, so ORC's 32-bit integer holds them; file and place are the order
+IDS = "doc_id long, ids array<int>, file int, place long"
 #: documents a file is meant for; each is written by one task
 FILE_ROWS = 8192
 
 
 def write_token_files(docs: DataFrame, tokenizer: str, path: str, end_id: int = 0, stride: int = 1000) -> None:
-    """Writes (doc_id, ids) of all ``docs`` in ascending doc_id order, null ids first, equal ids in any order.
+    """Writes (doc_id, ids, file, place) of all ``docs`` in ascending doc_id order, null ids first, equal ids by a hash of the text.
 
-    Texts, not ids, are dealt by id range and sorted; each task then encodes its range in order and writes one file, so
-    file names ascend as ids do. ORC encodes the integers by runs and deltas, keeps a row index entry each ``stride``
+    Texts, not ids, are dealt by id range and sorted; each task then encodes its range in order and writes one file. Each row
+    has the number of its range and its place there, so the order doesn't rest on names of files. ORC encodes the integers by runs and deltas, keeps a row index entry each ``stride``
     rows, and a Bloom filter of the ids in it, so a reader of some ids skips stripes and row groups; stripes can be read
     in parallel. Null and empty texts give the end id alone. Other columns are not used. An empty table gives one empty
     file or none.
@@ -24,9 +24,11 @@ def write_token_files(docs: DataFrame, tokenizer: str, path: str, end_id: int =
     def encode(batches):
         import numpy as np
         import pyarrow as pa
+        from pyspark import TaskContext
         from tidemark.llm.tokens import encoder
         coder = encoder(tokenizer)
         end = end_id.to_bytes(4, "little")
+        number, place = TaskContext.get().partitionId(), 0
         for batch in batches:
             at = 0
             texts = batch.column(1).to_pylist()
@@ -34,13 +36,16 @@ def write_token_files(docs: DataFrame, tokenizer: str, path: str, end_id: int =
                 encoded = [ids + end for ids in coder.batch(texts[at:at + size])]
                 ends = np.cumsum([0, *(len(x) // 4 for x in encoded)], dtype=np.int32)
                 ids = pa.array(np.frombuffer(b"".join(encoded), "<i4"), pa.int32())
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, size), pa.ListArray.from_arrays(pa.array(ends), ids)],
-                                                 ["doc_id", "ids"])
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, size), pa.ListArray.from_arrays(pa.array(ends), ids),
+                                                  pa.array(np.full(size, number, np.int32)), pa.array(np.arange(place, place + size))],
+                                                 ["doc_id", "ids", "file", "place"])
                 at += size
+                place += size
 
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     ranges = max(1, -(-docs.count() // FILE_ROWS))
-    (docs.repartitionByRange(ranges, "doc_id").sortWithinPartitions("doc_id").mapInArrow(encode, IDS)
+    order = [F.col("doc_id").asc_nulls_first(), F.xxhash64("text")]  # rows without an id are dealt out as well
+    (docs.repartitionByRange(ranges, *order).sortWithinPartitions(*order).mapInArrow(encode, IDS)
      .write.option("compression", "zstd").option("orc.bloom.filter.columns", "doc_id").option("orc.row.index.stride", str(stride))
      .option("orc.create.index", "true").orc(path))
 
@@ -57,15 +62,15 @@ def _portions(texts: list, most: int = 8 << 20) -> list[int]:
 
 
 def read_token_files(spark: SparkSession, path: str) -> DataFrame:
-    """The (doc_id, ids) rows of the files; a filter on doc_id skips stripes and row groups."""
+    """The (doc_id, ids, file, place) rows of the files; a filter on doc_id skips stripes and row groups."""
     return spark.read.schema(IDS).orc(path)
 
 
 def token_digests(files: DataFrame) -> DataFrame:
     """doc_id, start, n_tokens, ids_crc32 per document of read files.
 
-    Documents are summed within their file, files in the order of their names, so nothing but one row per file is ever
-    in one place. Equal ids follow each other in any order, which is the same for all columns.
+    Documents are summed within their file by their places, files by their numbers, so nothing but one row per file is ever
+    in one place.
     """
     def digest(batches):
         import numpy as np
@@ -75,14 +80,13 @@ def token_digests(files: DataFrame) -> DataFrame:
             ends = lists.offsets.to_numpy()
             raw = lists.values.to_numpy(zero_copy_only=False).astype("<i4", copy=False)
             crc = [zlib.crc32(raw[a:b]) for a, b in zip(ends[:-1], ends[1:])]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(np.diff(ends).astype(np.int64)),
-                                              pa.array(crc, pa.int64())], ["doc_id", "file", "n_tokens", "ids_crc32"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), batch.column(3), pa.array(np.diff(ends).astype(np.int64)),
+                                              pa.array(crc, pa.int64())], ["doc_id", "file", "place", "n_tokens", "ids_crc32"])
 
-    rows = (files.select("doc_id", "ids", F.col("_metadata.file_name").alias("file"))
-            .mapInArrow(digest, "doc_id long, file string, n_tokens long, ids_crc32 long"))
+    rows = files.select("doc_id", "ids", "file", "place").mapInArrow(digest, "doc_id long, file int, place long, n_tokens long, ids_crc32 long")
     sums = rows.groupBy("file").agg(F.sum("n_tokens").alias("_all"))
     ahead = sums.select("file", F.coalesce(F.sum("_all").over(Window.orderBy("file").rowsBetween(
         Window.unboundedPreceding, -1)), F.lit(0)).alias("_ahead"))
-    inside = Window.partitionBy("file").orderBy(F.col("doc_id").asc_nulls_first(), "n_tokens", "ids_crc32").rowsBetween(Window.unboundedPreceding, -1)
+    inside = Window.partitionBy("file").orderBy("place").rowsBetween(Window.unboundedPreceding, -1)
     return (rows.withColumn("_inside", F.coalesce(F.sum("n_tokens").over(inside), F.lit(0))).join(ahead, "file")
             .select("doc_id", (F.col("_ahead") + F.col("_inside")).alias("start"), "n_tokens", "ids_crc32"))

@@ -20,15 +20,16 @@ class Encoder:
 
     The byte-level pattern always starts a new piece at a space that a non-space follows, so the ids of a text are the
     ids of its chunks between such places. Words repeat, and a remembered one is not encoded again. When ``most`` chunks
-    are remembered the older half is forgotten; chunks over ``longest`` characters never outlive their block. Special
-    tokens' strings in a text are ordinary text.
+    are remembered the older half is forgotten; chunks over ``longest`` characters never outlive their block. Texts that hold
+    the string of an added token, which may span chunks, are encoded whole.
     """
 
     def __init__(self, path: str, most: int = 1_200_000, longest: int = 48):
         import numpy as np
         from tokenizers import Tokenizer
         self._tokenizer = Tokenizer.from_file(path)
-        self._tokenizer.encode_special_tokens = True
+        added = [t.content for t in self._tokenizer.get_added_tokens_decoder().values()]
+        self._added = re.compile("|".join(map(re.escape, added))).search if added else lambda text: None
         self._known: dict[str, bytes] = {}
         self._most, self._longest = most, longest
         space = self._tokenizer.encode(" ", add_special_tokens=False).tokens[0]
@@ -63,8 +64,11 @@ class Encoder:
         known = self._known
         if len(known) > self._most:
             known = self._known = dict(islice(known.items(), len(known) // 2, None))
-        firsts, parts, missing = [], [], set()
+        firsts, parts, missing, whole = [], [], set(), {}
         for text in texts:
+            if self._added(text):
+                whole[len(firsts)] = self._encode([text])[0].tobytes()
+                text = ""
             first, *rest = text.split(" ") if _HELD_SPACE.search(text) is None else _CUT.split(text)
             firsts.append(first)
             parts.append(rest)
@@ -77,8 +81,8 @@ class Encoder:
         other = [k for k in wanted if k not in known]
         known.update((k, x.tobytes()) for k, x in zip(other, self._encode([k[1:] if k[0] == "\n" else " " + k for k in other])))
         known.update([(c, b"".join([known[k] for k in p])) for c, p in cut.items()])
-        for first, rest in zip(self._encode(firsts), parts):
-            yield first.tobytes() + b"".join(map(known.__getitem__, rest))
+        for i, (first, rest) in enumerate(zip(self._encode(firsts), parts)):
+            yield whole[i] if i in whole else first.tobytes() + b"".join(map(known.__getitem__, rest))
         for k in [k for k in missing.union(other) if len(k) > self._longest]:
             del known[k]
 
