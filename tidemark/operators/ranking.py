@@ -14,18 +14,17 @@ def value_slice(value: Column, per_octave: int = 4) -> Column:
 
 
 def sliced_row_number(df: DataFrame, group: Sequence[str], by: str, tie: Sequence[str], name: str, *,
-                      large: int = 1_000_000, most: int = 1_000) -> DataFrame:
+                      large: int = 1_000_000) -> DataFrame:
     """``row_number() over (partition by group order by by desc, tie)`` with large groups cut in slices.
 
     A group of more than ``large`` rows is partitioned by (group, slice of the value), numbered per slice,
-    and each slice is shifted by the size of the higher ones. Other groups are one slice. The ``most``
-    largest groups are cut, which keeps their list small enough to broadcast; any further group is
-    numbered in one piece, so the numbers are right whatever the limits. NULL values come last.
+    and each slice is shifted by the size of the higher ones. Other groups are one slice. There is at most
+    one large group for each ``large`` rows, so their list is short beside the table. NULL values come last.
     One narrow pass counts rows per slice; the rows themselves are shuffled once.
     """
     counts = df.withColumn("_slice", value_slice(F.col(by))).groupBy(*group, "_slice").agg(F.count("*").alias("_rows"))
     hot = (counts.groupBy(*group).agg(F.sum("_rows").alias("_all")).where(F.col("_all") > large)
-           .orderBy(F.col("_all").desc(), *group).limit(most).select(*group, F.lit(True).alias("_hot")))
+           .select(*group, F.lit(True).alias("_hot")))
     higher = Window.partitionBy(*group).orderBy(F.col("_slice").desc()).rowsBetween(Window.unboundedPreceding, -1)
     shifts = (counts.join(hot, list(group)).withColumn("_before", F.sum("_rows").over(higher))
               .select(*group, "_slice", "_before"))

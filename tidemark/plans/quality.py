@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from tidemark.operators import quality as q, silver
-from tidemark.plans.gold import SUMMARY, SUMMARY_INPUTS, held, summary
+from tidemark.plans.gold import SUMMARY, SUMMARY_INPUTS, summary
 from tidemark.plans.registry import ORACLES, plain, query
 from tidemark.plans.sqlbase import d, r, using
 from tidemark.sources.bindings import AS_OF_LOG, AS_OF_MARKET, Tables

@@ -7,6 +7,7 @@ Money is kept in exact decimals until the last step, so sums do not depend on ro
 from __future__ import annotations
 
 import datetime as dt
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
@@ -14,6 +15,7 @@ from tidemark.functions.clock import trunc
 from tidemark.functions.measures import pick
 from tidemark.operators import nav as nav_ops
 from tidemark.operators import silver
+from tidemark.sources.scratch import scratch_path
 
 AS_OF_MARKET = dt.date(2001, 11, 5)
 AS_OF_LOG = dt.datetime(2024, 1, 31)
@@ -86,10 +88,18 @@ class Tables:
 
     def __init__(self, spark: SparkSession, folder: str):
         self.spark, self.folder = spark, folder.rstrip("/")
+        self._written: dict[str, str] = {}
 
     def raw(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.folder}/{name}.parquet")
 
+    def written(self, name: str, make: Callable[[], DataFrame]) -> DataFrame:
+        """A table that several parts of one query read: made and written once, as silver tables are in use."""
+        if name not in self._written:
+            self._written[name] = scratch_path(self.spark, f"silver-{name}")
+            make().write.parquet(self._written[name])
+        return self.spark.read.parquet(self._written[name])
+
     # --- market -------------------------------------------------------------------------------
 
     def trades(self) -> DataFrame:
@@ -136,14 +146,27 @@ class Tables:
             F.sum("gross").alias("benchmark_value"))
         return self._with_cost(day_lots)
 
-    def holdings(self) -> DataFrame:
+    def dated_lots(self) -> DataFrame:
+        """One row per day, portfolio and security, with the holding period where its orders are known."""
         ordered = self.raw("orders").select(
             F.col("o_orderkey").alias("order_id"), F.col("o_orderdate").cast("date").alias("ordered"))
-        lots = self.trades().join(ordered, "order_id").groupBy("trade_date", "portfolio_id", "security_id").agg(
+        return self.trades().join(ordered, "order_id", "left").groupBy("trade_date", "portfolio_id", "security_id").agg(
             F.sum("quantity").alias("quantity"), F.sum("net").alias("market_value"),
             F.sum("gross").alias("benchmark_value"),
             (1 + F.max(F.abs(F.datediff("trade_date", "ordered")))).cast("bigint").alias("holding_period_days"))
-        return self._with_cost(lots)
+
+    def holdings(self, lots: DataFrame | None = None) -> DataFrame:
+        lots = self.dated_lots() if lots is None else lots
+        return self._with_cost(lots.where("holding_period_days IS NOT NULL"))
+
+    def lots(self) -> DataFrame:
+        """The lots of a query that needs them more than once."""
+        return self.written("lots", self.dated_lots)
+
+    def history_of_lots(self) -> DataFrame:
+        """NAV history from the written lots; sums of sums, so the same as from trades."""
+        nav = nav_ops.nav_from_trades(self.lots().withColumnRenamed("market_value", "net"))
+        return nav_ops.nav_history(nav_ops.with_benchmark(nav))
 
     def _with_cost(self, lots: DataFrame) -> DataFrame:
         # list price is a fact of the security, so it is applied after the sum
