@@ -64,13 +64,11 @@ def test_reports_of_a_table_share_one_scan(spark, folder):
     assert "lineitem.parquet" in together and together.count("lineitem.parquet") == 1
 
 
-def test_views_share_lots_written_once(spark, folder, monkeypatch):
-    """Trades are read for the lots and by nothing else."""
+def test_summary_reads_trades_once(spark, folder, monkeypatch):
+    """Trades are read for the lots, which positions, totals and NAV share, and by nothing else."""
     from tidemark.sources.bindings import Tables
     made = []
     written = Tables.written
     monkeypatch.setattr(Tables, "written", lambda self, name, make: written(self, name, lambda: made.append(plan(df := make())) or df))
-    for name in ("gold_investment_summary", "gold_portfolio_performance", "gold_top_holdings", "gold_sector_allocation"):
-        made.clear()
-        text = plan(QUERIES[name](spark, folder))
-        assert "lineitem.parquet" not in text and sum(p.count("lineitem.parquet") for p in made) == 1, name
+    text = plan(QUERIES["gold_investment_summary"](spark, folder))
+    assert "lineitem.parquet" not in text and sum(p.count("lineitem.parquet") for p in made) == 1
