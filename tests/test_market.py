@@ -173,7 +173,7 @@ def test_full_reload_keeps_other_partitions(spark, tmp_path):
     old = spark.createDataFrame([(1, 2023), (2, 2024)], "x int, y int")
     loads.full_reload(old, path, ["value", "year"], "year")
     loads.full_reload(spark.createDataFrame([(9, 2024)], "x int, y int"), path, ["value", "year"], "year")
-    assert rows(spark.read.parquet(path).select("value", "year"), "year") == [(1, 2023), (9, 2024)]
+    assert rows(loads.loaded(spark, path).select("value", "year"), "year") == [(1, 2023), (9, 2024)]
     with pytest.raises(ValueError):
         loads.positional(old, ["only_one"])
 

@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from tidemark.contracts import OPEN_END
 from tidemark.functions.clock import day, trunc
-from tidemark.sources.scratch import scratch_path
+from tidemark.sources.versions import current as published, publish
 
 
 def _versions(states: DataFrame, key: str, attributes: Sequence[str]) -> DataFrame:
@@ -56,28 +56,26 @@ def key_bucket(key: str, buckets: int):
     return F.pmod(F.xxhash64(key), F.lit(buckets)).cast("int")
 
 
-def write_dimension(versions: DataFrame, path: str, key: str, buckets: int) -> None:
-    (versions.withColumn("key_bucket", key_bucket(key, buckets)).hint("rebalance", F.col("key_bucket"))
-     .write.partitionBy("key_bucket").mode("overwrite").parquet(path))
+def write_dimension(rows: DataFrame, path: str, key: str, buckets: int) -> None:
+    """Replaces the whole dimension, cut in key buckets."""
+    every = rows.sparkSession.range(buckets).select(F.col("id").cast("string").alias("part"))
+    publish(rows, path, key_bucket(key, buckets), every)
+
+
+def read_dimension(spark: SparkSession, path: str) -> DataFrame:
+    return published(spark, path).drop("part")
 
 
 def merge_into_dimension(spark: SparkSession, path: str, changes: DataFrame, key: str, attributes: Sequence[str], at: str,
                          tie: str, buckets: int, grain: str = "day") -> None:
-    """Rewrites only the key buckets that have changes.
-
-    The merged buckets are staged in the shared folder first, because a table must not be overwritten
-    while the same job reads it; the copy into place then depends on nothing but the stage.
-    """
-    hit = changes.select(key_bucket(key, buckets).alias("key_bucket")).distinct()
-    table = spark.read.parquet(path).join(hit, "key_bucket", "left_semi").drop("key_bucket")
-    stage = scratch_path(spark, "scd2-stage")
-    write_dimension(scd2_merge(table, changes, key, attributes, at, tie, grain), stage, key, buckets)
-    (spark.read.parquet(stage).hint("rebalance", F.col("key_bucket")).write.partitionBy("key_bucket")
-     .option("partitionOverwriteMode", "dynamic").mode("overwrite").parquet(path))
+    """Replaces only the key buckets that have changes, all at once: a merge that breaks off between buckets is not seen."""
+    hit = changes.select(key_bucket(key, buckets).cast("string").alias("part")).distinct()
+    table = published(spark, path).join(hit, "part", "left_semi").drop("part")
+    publish(scd2_merge(table, changes, key, attributes, at, tie, grain), path, key_bucket(key, buckets), hit)
 
 
-def current(versions: DataFrame) -> DataFrame:
-    return versions.where("is_current")
+def current(dimension: DataFrame) -> DataFrame:
+    return dimension.where("is_current")
 
 
 def point_in_time(facts: DataFrame, versions: DataFrame, key: str, at: str, as_of: dt.date, grain: str = "month") -> DataFrame:

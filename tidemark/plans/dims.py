@@ -134,7 +134,7 @@ def _(t):
     early = F.col("changed_at") < F.lit(CUT).cast("timestamp_ntz")
     h.write_dimension(h.scd2_build(changes.where(early), *ARGS), path, "key", 8)
     h.merge_into_dimension(t.spark, path, changes.where(~early), *ARGS, buckets=8)
-    return t.spark.read.parquet(path).drop("key_bucket")
+    return h.read_dimension(t.spark, path)
 
 
 @query("scd2_current", using(**VERSIONS) + "SELECT key, attribute, effective_from FROM ver WHERE is_current")

@@ -117,7 +117,7 @@ def _(t):
                              "trade_date", F.col("open_price").alias("c"), F.col("volume").alias("d"))
     loads.full_reload(rows.withColumn("d", F.lit(-1).cast("bigint")), path, target, "trade_year")
     loads.full_reload(rows, path, target, "trade_year")
-    return t.spark.read.parquet(path)
+    return loads.loaded(t.spark, path)
 
 
 @query("schema_conform", using("nav_r") + """SELECT CAST(portfolio_id AS VARCHAR) AS portfolio_id, as_of_date,

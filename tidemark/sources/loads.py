@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from tidemark.contracts import Contract
 from tidemark.functions.clock import day
+from tidemark.sources import versions
 
 
 def conform(df: DataFrame, contract: Contract, business_key: Sequence[str] = ()) -> DataFrame:
@@ -46,16 +47,17 @@ def positional(df: DataFrame, target_columns: Sequence[str]) -> DataFrame:
 
 
 def full_reload(df: DataFrame, path: str, target_columns: Sequence[str], partition: str | None = None) -> None:
-    """Replaces the table, or with ``partition`` only the partitions that ``df`` holds.
+    """Replaces the table, or with ``partition`` only the partitions that ``df`` holds; readers see it before or after, nothing between.
 
     Rows are gathered per partition value before the write, but in several tasks when a value is large
     (REBALANCE splits by size), so a table does not break into one small file per task and day.
     """
-    shaped = positional(df, target_columns)
-    writer = (shaped.hint("rebalance", F.col(partition)) if partition else shaped).write
-    if partition:
-        writer = writer.partitionBy(partition).option("partitionOverwriteMode", "dynamic")
-    writer.mode("overwrite").parquet(path)
+    versions.publish(positional(df, target_columns), path, partition or F.lit("all"))
+
+
+def loaded(spark: SparkSession, path: str) -> DataFrame:
+    """What :func:`full_reload` wrote last."""
+    return versions.current(spark, path).drop("part")
 
 
 def write_snapshot(df: DataFrame, path: str, snapshot_date: str) -> None:
