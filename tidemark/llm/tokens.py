@@ -24,7 +24,7 @@ class Encoder:
     the string of an added token, which may span chunks, are encoded whole.
     """
 
-    def __init__(self, path: str, most: int = 1_200_000, longest: int = 48):
+    def __init__(self, path: str, most: int = 800_000, longest: int = 48):
         import numpy as np
         from tokenizers import Tokenizer
         self._tokenizer = Tokenizer.from_file(path)
