@@ -1,7 +1,9 @@
 """Documents to packed training sequences: toxicity, near duplicates, repeated passages, mixing, packing.
 
 Each stage is (name, function); a function takes (spark, docs, sf_dir) and gives what it kept, with its decisions in
-effect. Stages before the last give the columns of ``docs``. ``run`` writes each stage's result and reads it back.
+effect. Stages before the last give the columns of ``docs``, whatever their names. ``run`` writes each stage's result and reads it
+back. Rows with nulls, empty or wordless texts pass all stages but the mix, which takes no document without words; an
+empty table stays empty; rows with a null id are nobody's duplicates.
 """
 
 from __future__ import annotations
@@ -16,10 +18,19 @@ from tidemark.llm.storage import kept
 ORACLE_SQL = None
 
 
+def _aside(docs: DataFrame, added: list[str]):
+    """``docs`` with its columns named like those an operator adds under other names, and the function that undoes it."""
+    taken = {c.lower() for c in added}
+    names = {c: f"__aside_{i}" if c.lower() in taken else c for i, c in enumerate(docs.columns)}
+    return (docs.select(*(docs[f"`{c}`"].alias(n) for c, n in names.items())),
+            lambda out: out.select(*(out[f"`{n}`"].alias(c) for c, n in names.items())))
+
+
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that are not predicted toxic."""
+    """Documents that are not predicted toxic. Null, empty and wordless texts have no evidence; repeated rows share a score."""
+    docs, restore = _aside(docs, ["_held_out", "_score", "_predicted", "_fold"])
     scored = toxicity.score(docs, table(spark, sf_dir, "labels"))
-    return scored.where("_predicted = 0").select(docs.columns)
+    return restore(scored.where("_predicted = 0"))
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -29,13 +40,14 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 def drop_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without passages of 50 words that an earlier document has; texts that lose nothing stay as they are."""
+    docs, restore = _aside(docs, ["_n_words", "_n_removed", "_kept", "_spans"])
     cut = substrings.without_repeats(docs)
     changed = F.col("_n_removed") > 0
     cut = cut.withColumn("text", F.when(changed, F.col("_kept")).otherwise(F.col("text")))
     if "n_chars" in docs.columns:
         kind = docs.schema["n_chars"].dataType
         cut = cut.withColumn("n_chars", F.when(changed, F.length("text").cast(kind)).otherwise(F.col("n_chars")))
-    return cut.select(docs.columns)
+    return restore(cut)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
