@@ -3,6 +3,7 @@
 import base64
 import hashlib
 import math
+import os
 import random
 import zlib
 
@@ -97,7 +98,7 @@ def test_packing(spark, odd_docs, encode):
 
 @pytest.mark.parametrize("chunk", [4, 16, 1000])
 def test_warc_round_trip(spark, tmp_path, chunk):
-    rows = [(1, None, None), (2, "http://a/%\r\nx", ""), (3, "u", "a\r\n\r\nb\r"), (4, "u", "é" * 50), (5, "u", "é" * 50), (5, "u", "é" * 50),
+    rows = [(1, None, None), (2, "http://a/%\r\nx", ""), (12, "http://a.org/x%20y%0D", "z"), (3, "u", "a\r\n\r\nb\r"), (4, "u", "é" * 50), (5, "u", "é" * 50), (5, "u", "é" * 50),
             (None, "v", "é" * 50), (7, "u", "\r\n\r\n\r\n"), (8, None, "x" * 16), (9, None, "\n"), (10, "w", "WARC/1.1\r\n\r\n" * 40), (11, "w", "y" * 70_000)]
     pages = spark.createDataFrame(rows, "page_id long, url string, html string").withColumn("chunk", F.lit("mine")).withColumn("digest", F.lit(1))
     for least in (0, 20):
@@ -112,6 +113,20 @@ def test_warc_round_trip(spark, tmp_path, chunk):
     assert warc.archive(pages.limit(0), str(tmp_path / "none")).count() == 0
 
 
+def test_archives_name_urls_as_they_are_and_follow_bytes(spark, tmp_path):
+    """Any reader of the format sees the url of the page; the number of files follows the payload bytes."""
+    import gzip
+    pages = spark.createDataFrame([(i, f"http://a.org/{i}%20y", "p" * 1000 + str(i)) for i in range(40)], "page_id long, url string, html string")
+    chunks = warc.chunk_table(pages).cache()
+    for size, files in ((1 << 30, 1), (10_000, 5)):
+        path = str(tmp_path / str(size))
+        warc.write_archives(chunks, warc.record_types(chunks), path, file_bytes=size)
+        found = [p for p in os.listdir(path) if p.endswith(".gz")]
+        assert (len(found) == 1) if files == 1 else (files <= len(found) <= 7)
+        heads = b"".join(gzip.open(f"{path}/{p}").read() for p in found)
+        assert {line for line in heads.split(b"\r\n") if line.startswith(b"WARC-Target-URI")} == {f"WARC-Target-URI: http://a.org/{i}%20y".encode() for i in range(40)}
+
+
 def test_chunks_carry_the_digest(spark):
     rows = warc.chunk_table(spark.createDataFrame([(1, "u", "abcdefghij")], "page_id long, url string, html string"), 4).orderBy("chunk").collect()
     assert [(bytes(r["data"]), r["bytes"], r["last"]) for r in rows] == [(b"abcd", 4, False), (b"efgh", 8, False), (b"ij", 10, True)]
@@ -324,13 +339,31 @@ def test_embedding_dedup(spark):
 def test_exact_topk(spark, block, group):
     rnd = random.Random(block)
     rows = [(i, [rnd.randint(-300, 300) for _ in range(8)]) for i in range(150)] + [(200 + i, [5] * 8) for i in range(20)]
-    rows += [(400, None), (450, [1, 2]), (500, [3, 4]), (550, [7] * 3), (None, [1] * 8)]
+    rows += [(400, None), (450, [1, 2]), (500, [3, 4]), (550, [7] * 3), (None, [1] * 8), (600, []), (650, []), (700, [1 << 27] * 2), (750, [-(1 << 27), 1 << 27])]
     table = spark.createDataFrame(rows, "vec_id long, v array<long>").withColumn("b", F.lit("mine")).withColumn("score", F.lit(0))
     expected = []
     for q, v in rows:
         if q is not None and q % 50 == 0 and v is not None:
             scores = sorted((-sum(a * b for a, b in zip(v, w)), i) for i, w in rows if i not in (None, q) and w is not None and len(w) == len(v))
             expected += [(q, k + 1, i, -s) for k, (s, i) in enumerate(scores[:5])]
-    got = exact_topk.top_k(table, table.where("vec_id % 50 = 0"), 5, block_rows=block, query_rows=group)
+    got = exact_topk.top_k(table, table.where("vec_id % 50 = 0"), 5, block_rows=block, query_rows=group, step_rows=2 * block)
     assert collected(got, "query_id", "rank", "vec_id", "score") == sorted(expected, key=repr)
     assert exact_topk.top_k(table.limit(0), table.limit(0)).count() == 0
+    assert exact_topk.top_k(table, table.limit(0)).count() == 0 and exact_topk.top_k(table.limit(0), table).count() == 0
+
+
+def test_exact_topk_reads_few_exact_vectors(spark):
+    """What survives the approximation file holds the true best and is a small share of all rows."""
+    rnd = random.Random(8)
+    rows = [(i, i, 16, [int(rnd.gauss(0, 100)) for _ in range(16)]) for i in range(2000)]
+    exact = spark.createDataFrame(rows, "r long, vec_id long, d int, v array<long>")
+    wanted = exact.where("vec_id % 50 = 0").withColumnRenamed("r", "q")
+    cells = exact_topk.approximation_file(exact, block_rows=256, step_rows=512).cache()
+    assert cells.selectExpr("sum(length(cells))").first()[0] == 2000 * 16
+    found = {}
+    for r in exact_topk.survivors(cells, wanted, 5).collect():
+        found.setdefault(r["q"], set()).add(r["r"])
+    for q in range(0, 2000, 50):
+        scores = sorted(((-sum(a * b for a, b in zip(rows[q][3], v)), i) for i, _, _, v in rows if i != q))
+        assert {i for _, i in scores[:5]} <= found[q]
+    assert sum(map(len, found.values())) < 40 * 2000 / 20

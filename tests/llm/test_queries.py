@@ -3,6 +3,7 @@
 import brute
 import oracle
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from tidemark.llm import queries
@@ -39,3 +40,32 @@ def test_pipeline(spark, folder, tmp_path):
         elif name == "packing":
             assert ids == sorted({d for d, _ in before})
         docs = kept
+
+
+CLASHING = ["_held_out", "_Score", "_predicted", "_fold", "_n_words", "_n_removed", "_kept", "_spans", "_size", "_taken", "_copy", "d", "set_id", "a.b"]
+
+
+@pytest.fixture(scope="module")
+def odd(spark, folder):
+    """Nulls in every column, empty, wordless and very long texts, repeated rows, and columns of the operators' own names."""
+    rows = [(1, "a b c", "en", "s1", 5), (1, "a b c", "en", "s1", 5), (2, None, None, "s1", None), (3, "", "en", None, 0), (None, "x y", "en", "s2", 3),
+            (4, "word " * 30_000, "de", "s2", 150_000), (5, " \n\t ", "fr", None, 4), (6, "ä ß 字 🙂", None, "s10", 7), (None, None, None, None, None)]
+    docs = spark.createDataFrame(rows, queries.table(spark, folder, "documents").schema.simpleString()[7:-1].replace(":", " "))
+    return docs.select("*", *(F.lit("mine").alias(c) for c in CLASHING))
+
+
+@pytest.mark.parametrize("number", range(4))
+def test_stages_on_odd_rows(spark, folder, odd, number):
+    name, stage = corpus_pipeline.STAGES[number]
+    out = stage(spark, odd, folder)
+    assert out.columns == odd.columns
+    rows = out.collect()
+    assert all(r[c] == "mine" for r in rows for c in CLASHING)
+    ids = sorted((r["doc_id"] for r in rows), key=repr)
+    if name == "mixing":
+        assert set(ids) <= {1, 4, 6, None} and 4 in ids
+    else:
+        assert ids == sorted([1, 1, 2, 3, None, 4, 5, 6, None], key=repr)
+    texts = {r["doc_id"]: r["text"] for r in odd.where("doc_id is not null").collect()}
+    assert all(r["text"] == texts[r["doc_id"]] for r in rows if r["doc_id"] is not None)
+    assert stage(spark, odd.limit(0), folder).count() == 0

@@ -10,6 +10,8 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from tidemark.llm.storage import kept
 
 CHUNK_BYTES = 64 << 10
+#: payload bytes of a file before compression, about
+FILE_BYTES = 64 << 20
 #: fixed values: record terminator and version of the format; the date is a parameter of the archive
 END, VERSION, DATE = "\r\n\r\n", "WARC/1.1", "2024-01-01T00:00:00Z"
 CHUNKS = "record_id string, page_id long, url string, chunk int, last boolean, bytes long, digest string, data binary"
@@ -68,21 +70,26 @@ def record_types(chunks: DataFrame, at_least: int = 0) -> DataFrame:
 
 
 def _header(name: str, value: Column) -> Column:
-    """A header line, or nothing for null; line breaks and percent signs in the value are percent-encoded."""
-    safe = value.cast("string")
-    for raw, coded in (("%", "%25"), ("\r", "%0D"), ("\n", "%0A")):
-        safe = F.replace(safe, F.lit(raw), F.lit(coded))
-    return F.coalesce(F.concat(F.lit(f"{name}: "), safe, F.lit("\r\n")), F.lit(""))
+    """A header line, or nothing for null; line breaks in the value, which a header can't hold, are percent-encoded."""
+    return F.coalesce(F.concat(F.lit(f"{name}: "), _coded(value.cast("string"), "\r", "\n"), F.lit("\r\n")), F.lit(""))
 
 
-def write_archives(chunks: DataFrame, types: DataFrame, path: str, chunk_bytes: int = CHUNK_BYTES, date: str = DATE) -> None:
+def _coded(value: Column, *signs: str) -> Column:
+    for sign in signs:
+        value = F.replace(value, F.lit(sign), F.lit(f"%{ord(sign):02X}"))
+    return value
+
+
+def write_archives(chunks: DataFrame, types: DataFrame, path: str, date: str = DATE, file_bytes: int = FILE_BYTES) -> None:
     """Writes WARC files: a response per record, in segments of one chunk if it has several, or a revisit without payload.
 
     The first segment is the response, later ones are continuations that name it and their number; the last has the
     total length. Every row is a complete WARC record of at most a chunk, written as it passes. Records are dealt by
     record_id and their chunks sorted, so the segments of a record follow each other in one file. Page id, payload
-    length and the page a revisit refers to are in extension headers. Files are compressed as a whole.
+    length and the page a revisit refers to are in extension headers, and so is the original of a url with line breaks.
+    Files are as many as ``file_bytes`` of payload and headers make, and are compressed as a whole.
     """
+    size = chunks.agg(F.coalesce(F.sum(F.when(F.col("last"), F.col("bytes") + 512)), F.lit(0))).first()[0]
     rows = chunks.join(types, "record_id").where("refers_to is null or chunk = 0")
     revisit, several = F.col("refers_to").isNotNull(), ~(F.col("last") & (F.col("chunk") == 0))
     data = F.when(revisit, F.lit("").cast("binary")).otherwise(F.col("data"))
@@ -92,6 +99,7 @@ def write_archives(chunks: DataFrame, types: DataFrame, path: str, chunk_bytes:
         F.lit(f"{VERSION}\r\n"), _header("WARC-Type", kind),
         F.concat(F.lit("WARC-Record-ID: <urn:record:"), F.col("record_id"), F.lit(":"), F.col("chunk").cast("string"), F.lit(">\r\n")),
         F.lit(f"WARC-Date: {date}\r\n"), _header("WARC-Target-URI", F.col("url")),
+        _header("X-Target-URI-Coded", F.when(F.col("url").rlike("[\r\n]"), _coded(F.col("url"), "%", "\r", "\n"))),
         _header("WARC-Payload-Digest", F.concat(F.lit("sha1:"), F.col("payload_digest"))),
         _header("WARC-Segment-Number", F.when(several & ~revisit, F.col("chunk") + 1)),
         _header("WARC-Segment-Origin-ID", F.when(F.col("chunk") > 0, first_id)),
@@ -100,7 +108,7 @@ def write_archives(chunks: DataFrame, types: DataFrame, path: str, chunk_bytes:
         _header("X-Page-ID", F.col("page_id")), _header("X-Payload-Length", F.col("total")), _header("X-Refers-To-Page", F.col("refers_to")),
         _header("Content-Length", F.length(data)), F.lit("\r\n"))
     record = F.concat(head.cast("binary"), data).cast("string")
-    (rows.repartition("record_id").sortWithinPartitions("record_id", "chunk").select(record.alias("value"))
+    (rows.repartition(max(1, -(-size // file_bytes)), "record_id").sortWithinPartitions("record_id", "chunk").select(record.alias("value"))
      .write.option("lineSep", END).option("compression", "gzip").text(path))
 
 
@@ -131,9 +139,9 @@ def _parsed(batches) -> Iterator:
     def finish(head, size, digest):
         if number(head.get("X-Payload-Length")) != size or head["WARC-Payload-Digest"] != f"sha1:{digest}":
             raise ValueError(f"payload of {head['WARC-Record-ID']} differs from its digest")
-        url = head.get("WARC-Target-URI")
+        coded = head.get("X-Target-URI-Coded")
         kind = "revisit" if head["WARC-Type"] == "revisit" else "response"
-        out.append((number(head.get("X-Page-ID")), None if url is None else urllib.parse.unquote(url) if "%" in url else url,
+        out.append((number(head.get("X-Page-ID")), head.get("WARC-Target-URI") if coded is None else urllib.parse.unquote(coded),
                     size, digest, kind, number(head.get("X-Refers-To-Page"))))
 
     for batch in batches:
@@ -175,5 +183,5 @@ def archive(pages: DataFrame, path: str, at_least: int = 0, chunk_bytes: int = C
     table gives no rows.
     """
     chunks = kept(chunk_table(pages, chunk_bytes), "warc-chunks")
-    write_archives(chunks, record_types(chunks, at_least), path, chunk_bytes)
+    write_archives(chunks, record_types(chunks, at_least), path)
     return read_archives(pages.sparkSession, path)
