@@ -90,7 +90,8 @@ def write_archives(chunks: DataFrame, types: DataFrame, path: str, date: str = D
     Files are as many as ``file_bytes`` of payload and headers make, and are compressed as a whole.
     """
     size = chunks.agg(F.coalesce(F.sum(F.when(F.col("last"), F.col("bytes") + 512)), F.lit(0))).first()[0]
-    rows = chunks.join(types, "record_id").where("refers_to is null or chunk = 0")
+    files = max(1, -(-size // file_bytes))
+    rows = chunks.repartition(files, "record_id").join(types.repartition(files, "record_id"), "record_id").where("refers_to is null or chunk = 0")
     revisit, several = F.col("refers_to").isNotNull(), ~(F.col("last") & (F.col("chunk") == 0))
     data = F.when(revisit, F.lit("").cast("binary")).otherwise(F.col("data"))
     kind = F.when(revisit, "revisit").when(F.col("chunk") == 0, "response").otherwise("continuation")
@@ -108,7 +109,7 @@ def write_archives(chunks: DataFrame, types: DataFrame, path: str, date: str = D
         _header("X-Page-ID", F.col("page_id")), _header("X-Payload-Length", F.col("total")), _header("X-Refers-To-Page", F.col("refers_to")),
         _header("Content-Length", F.length(data)), F.lit("\r\n"))
     record = F.concat(head.cast("binary"), data).cast("string")
-    (rows.repartition(max(1, -(-size // file_bytes)), "record_id").sortWithinPartitions("record_id", "chunk").select(record.alias("value"))
+    (rows.sortWithinPartitions("record_id", "chunk").select(record.alias("value"))
      .write.option("lineSep", END).option("compression", "gzip").text(path))
 
 
