@@ -339,6 +339,7 @@ def test_embedding_dedup(spark):
 def test_exact_topk(spark, block, group):
     rnd = random.Random(block)
     rows = [(i, [rnd.randint(-300, 300) for _ in range(8)]) for i in range(150)] + [(200 + i, [5] * 8) for i in range(20)]
+    rows += [(901, [9] * 8)] * 9 + [(902 + i % 9, [9] * 8) for i in range(30)]
     rows += [(400, None), (450, [1, 2]), (500, [3, 4]), (550, [7] * 3), (None, [1] * 8), (600, []), (650, []), (700, [1 << 27] * 2), (750, [-(1 << 27), 1 << 27])]
     table = spark.createDataFrame(rows, "vec_id long, v array<long>").withColumn("b", F.lit("mine")).withColumn("score", F.lit(0))
     expected = []

@@ -27,6 +27,22 @@ def _cells(exact, bits: int):
     return np.minimum((exact - low) / width, (1 << bits) - 1).astype(np.uint8), low, width
 
 
+def _candidates(rows: DataFrame, k: int) -> DataFrame:
+    """``rows`` (r, vec_id, d, v) without copies of a vector that can be among no query's best.
+
+    Scores of copies are equal and go by vec_id, and a query leaves out one id: the k + 1 smallest ids of a vector, k
+    rows of each, are enough for any. Vectors with more rows are found by two 64-bit hashes; map tasks cut their rows.
+    """
+    same = ["h", "i"]
+    marked = rows.select("r", "vec_id", F.xxhash64("d", "v").alias("h"), F.xxhash64("v", F.lit(1)).alias("i"))
+    crowded = marked.groupBy(*same).count().where(F.col("count") > k + 1).select(*same)
+    inside = kept(marked.join(crowded, same), "topk-copies")
+    repeats, ids = Window.partitionBy(*same, "vec_id").orderBy("r"), Window.partitionBy(*same).orderBy("vec_id")
+    few = (inside.withColumn("n", F.row_number().over(repeats)).where(F.col("n") <= k)
+           .withColumn("m", F.dense_rank().over(ids)).where(F.col("m") <= k + 1))
+    return rows.join(inside.join(few, "r", "left_anti").select("r"), "r", "left_anti")
+
+
 def approximation_file(exact: DataFrame, bits: int = CELL_BITS, block_rows: int = BLOCK_ROWS, step_rows: int = STEP_ROWS) -> DataFrame:
     """(b, d, rows, ids, cells, low, width): a row per block of ``exact`` (r, vec_id, d, v), a byte per component; b is its step."""
     def quantised(batches):
@@ -114,7 +130,7 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 5, bits: int = CELL_B
     Both tables have vec_id and an array of whole numbers ``v`` (components below 2^28 in size, so that a score of
     thousands of them is exact in 64 bits); rows whose v is null or holds a null take no part, other columns are not used.
     The approximation file is written first: every component is one of 2^bits cells between the ends of its block of
-    rows. Groups of queries scan it, and it alone, in steps of bounded memory: the cells' centres give each score up to
+    rows; copies of a vector beyond those that can be among a query's best are left out of it. Groups of queries scan it, and it alone, in steps of bounded memory: the cells' centres give each score up to
     half a cell, rows whose upper bound stays below the kth lower bound go, first within the step, then over the whole
     file. Exact vectors are read for what survives, in the order of the bounds: first FIRST * k of a query, then those whose
     bound reaches the kth score found, which settles the result. Ties go to the smaller vec_id; a query is not its own
@@ -127,7 +143,9 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 5, bits: int = CELL_B
             F.col("vec_id").cast("long").alias("vec_id"), F.size("v").alias("d"), F.col("v").cast("array<long>").alias("v"))
 
     number = F.monotonically_increasing_id()
-    exact = kept(taking_part(vectors).select(number.alias("r"), "vec_id", "d", "v"), "topk-exact")
+    rows = kept(taking_part(vectors).select(number.alias("r"), "vec_id", "d", "v"), "topk-rows")
+    exact = kept(_candidates(rows, k), "topk-exact")
+    dropped(rows)
     wanted = kept(taking_part(queries).distinct().select(number.alias("q"), "vec_id", "d", "v"), "topk-queries")
     cells = kept(approximation_file(exact, bits, block_rows, step_rows), "topk-cells")
     order = Window.partitionBy("q").orderBy(F.col("upper").desc(), "r")
