@@ -335,6 +335,21 @@ def test_embedding_dedup(spark):
     assert embedding_dedup.links_and_components(table.limit(0)).count() == 0
 
 
+def test_embedding_links_at_the_registered_recall(spark):
+    """Planted pairs just above the threshold are found as often as stated, and pairs just below it never."""
+    rnd, rows = np.random.default_rng(4), []
+    for i in range(300):
+        a, b = rnd.normal(size=(2, 48))
+        a /= np.sqrt(a @ a)
+        b -= (a @ b) * a
+        c = 0.9505 if i < 200 else 0.9495
+        rows += [(2 * i, a.tolist()), (2 * i + 1, (c * a + np.sqrt(1 - c * c) * b / np.sqrt(b @ b)).tolist())]
+    got = embedding_dedup.links_and_components(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), threshold=0.95).collect()
+    links = {r["vec_id"]: r["n_links"] for r in got}
+    assert sum(links[2 * i] for i in range(200)) >= 190
+    assert not any(links[i] for i in range(400, 600))
+
+
 @pytest.mark.parametrize("block, group", [(2048, 1024), (16, 3)])
 def test_exact_topk(spark, block, group):
     rnd = random.Random(block)

@@ -156,14 +156,39 @@ def op8(spark, folder):
     return exact_topk.top_k(rows, rows.where("vec_id % 50 = 0"), k=5)
 
 
-@query("op10_embedding_near_dedup")
+#: all links; the query finds a pair with a chance of 0.98 at least
+OP10_SQL = r"""
+WITH RECURSIVE e AS (
+  SELECT vec_id, list_transform(embedding, lambda x: x::DOUBLE) AS v FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+n AS (SELECT *, sqrt(list_sum(list_transform(v, lambda x: x * x))) AS size FROM e),
+l AS (
+  SELECT a.vec_id AS a, b.vec_id AS b FROM n a JOIN n b ON a.vec_id <> b.vec_id AND len(a.v) = len(b.v) AND a.size > 0 AND b.size > 0
+  WHERE list_sum(list_transform(list_zip(a.v, b.v), lambda p: p[1] * p[2])) / a.size / b.size >= 0.95),
+r(vec_id, node) AS (SELECT vec_id, vec_id FROM embeddings UNION SELECT r.vec_id, l.b FROM r JOIN l ON l.a = r.node),
+c AS (SELECT vec_id, min(node) AS component_id FROM r GROUP BY vec_id)
+SELECT vec_id, (SELECT count(*) FROM l WHERE l.a = c.vec_id)::BIGINT AS n_links, component_id, vec_id = component_id AS kept FROM c
+"""
+
+
+@query("op10_embedding_near_dedup", OP10_SQL)
 def op10(spark, folder):
     return embedding_dedup.links_and_components(table(spark, folder, "embeddings"), threshold=0.95)
 
 
-@query("op2_warc")
+OP2_SQL = r"""
+WITH p AS (SELECT page_id, coalesce(html, '') AS payload, sha1(coalesce(html, '')) AS hex FROM pages),
+t AS (SELECT *, min(page_id) OVER (PARTITION BY payload) AS low FROM p)
+SELECT page_id, strlen(payload)::BIGINT AS payload_bytes,
+  array_to_string(list_transform(range(32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+    ((('0x' || substr(hex, 10 * (i // 8) + 1, 10))::BIGINT >> (35 - 5 * (i % 8))) & 31) + 1, 1)), '') AS payload_digest,
+  CASE WHEN page_id = low THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id <> low THEN low END AS refers_to
+FROM t
+"""
+
+
+@query("op2_warc", OP2_SQL)
 def op2(spark, folder):
-    """SHA-1 in base32 is not an SQL function there; tested against hashlib."""
     return warc.archive(table(spark, folder, "pages"), scratch_path(spark, "warc")).drop("url")
 
 
@@ -174,14 +199,43 @@ def op4(spark, folder):
     return scored.select("doc_id", F.col("_held_out").alias("held_out"), F.col("_score").alias("score"), F.col("_predicted").alias("predicted"))
 
 
-@query("op3_substring_dedup")
+OP3_SQL = r"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+windows AS (SELECT r, doc_id, i, md5(array_to_string(w[i:i + 49], ' ')) AS k FROM d, unnest(range(1, len(w) - 48)) u(i)),
+firsts AS (SELECT k, min(doc_id) AS low FROM windows GROUP BY k),
+gone AS (SELECT DISTINCT r, p FROM windows JOIN firsts USING (k), unnest(range(i, i + 50)) u(p) WHERE low < doc_id),
+places AS (SELECT r, p, w[p] AS word FROM d, unnest(range(1, len(w) + 1)) u(p)),
+left_over AS (SELECT r, count(*) AS n, string_agg(word, ' ' ORDER BY p) AS kept FROM places ANTI JOIN gone USING (r, p) GROUP BY r)
+SELECT doc_id, len(w)::BIGINT AS n_words, (len(w) - coalesce(n, 0))::BIGINT AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256
+FROM d LEFT JOIN left_over USING (r)
+"""
+
+
+@query("op3_substring_dedup", OP3_SQL)
 def op3(spark, folder):
     docs = table(spark, folder, "documents").select("doc_id", "text")
     return substrings.without_repeats(docs).select(
         "doc_id", F.col("_n_words").alias("n_words"), F.col("_n_removed").alias("n_removed"), F.sha2("_kept", 256).alias("kept_sha256"))
 
 
-@query("op5_ngram_jaccard_join")
+OP5_SQL = r"""
+WITH RECURSIVE d AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+s AS (
+  SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')]
+    ELSE list_distinct(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' '))) END AS s FROM d),
+x AS (SELECT doc_id, len(s) AS n, md5(unnest(s)) AS k FROM s),
+h AS (
+  SELECT a.doc_id AS a, b.doc_id AS b FROM x a JOIN x b ON a.k = b.k AND a.doc_id < b.doc_id GROUP BY ALL
+  HAVING 100 * count(*) >= 75 * (any_value(a.n) + any_value(b.n) - count(*))),
+l AS (SELECT a, b FROM h UNION ALL SELECT b, a FROM h),
+r(doc_id, node) AS (SELECT doc_id, doc_id FROM documents UNION SELECT r.doc_id, l.b FROM r JOIN l ON l.a = r.node),
+c AS (SELECT doc_id, min(node) AS component_id FROM r GROUP BY doc_id)
+SELECT doc_id, len(s)::BIGINT AS n_shingles, component_id FROM s JOIN c USING (doc_id)
+"""
+
+
+@query("op5_ngram_jaccard_join", OP5_SQL)
 def op5(spark, folder):
     return ngram_join.similar_groups(table(spark, folder, "documents")).select("doc_id", "n_shingles", "component_id")
 
