@@ -32,20 +32,20 @@ def _forest(edges: DataFrame) -> DataFrame:
     return edges.mapInArrow(shrink, "a long, b long")
 
 
-def components(edges: DataFrame, label: str = "components", most_rounds: int = 60) -> DataFrame:
+def components(edges: DataFrame, label: str = "components") -> DataFrame:
     """(node, component) for every node of ``edges`` (two columns of longs): the smallest node reachable.
 
     Alternating large-star and small-star steps: each node's larger, then smaller, neighbours are linked to the smallest
     one it knows, until the table is stars. Every step is an aggregate and a join on nodes, whose tables are written to
     the shared folder and read back, so a node with very many links is cut up by the skew join and nothing is
-    recomputed. Links to itself and null ends are left out; an empty table gives no rows. Stops with an error if it has
-    not ended after ``most_rounds``.
+    recomputed. Links to itself and null ends are left out; an empty table gives no rows. Rounds go on until one changes
+    nothing, some logarithm of the table's size; there is no limit to their number.
     """
     a, b = edges.columns[:2]
     edges = edges.select(F.greatest(a, b).alias("a"), F.least(a, b).alias("b")).where(f"`{a}` is not null and `{b}` is not null and a <> b")
     edges = kept(_forest(edges).distinct(), label)
     before = None
-    for _ in range(most_rounds):
+    while True:
         both = edges.union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = kept(both.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("m")), label)
         large = kept(both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct(), label)
@@ -59,8 +59,6 @@ def components(edges: DataFrame, label: str = "components", most_rounds: int = 6
         if now == before or not now[0]:
             break
         before = now
-    else:
-        raise RuntimeError(f"components did not settle in {most_rounds} rounds")
     roots = edges.select(F.col("b").alias("node")).distinct()
     return (edges.select(F.col("a").alias("node"), F.col("b").alias("component"))
             .union(roots.select("node", F.col("node").alias("component"))))

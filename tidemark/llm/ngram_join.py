@@ -10,6 +10,8 @@ the same way.
 
 from __future__ import annotations
 
+import itertools
+
 from pyspark.sql import DataFrame, functions as F
 
 from tidemark.llm.components import components
@@ -23,9 +25,6 @@ SMALL_REGION = 32
 PIVOTS = 128
 #: entries (shingle, document) meant for one bucket
 BUCKET_ENTRIES = 1_000_000
-#: ids of sets that a broadcast may hold when texts are looked up; more are joined by a shuffle
-MOST_BROADCAST_SETS = 1_000_000
-MOST_ROUNDS = 1000
 #: pairs whose sets are in a task's memory together
 COMPARED_AT_ONCE = 500
 _UPPER = bytes(range(256)).translate(bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123))))
@@ -213,8 +212,6 @@ def _texts_of(docs: DataFrame, sets: DataFrame, wanted: DataFrame) -> DataFrame:
     one = (sets.where("set_id is not null and doc_id is not null").groupBy("set_id").agg(F.min(F.struct("doc_id", "text_key")).alias("d"))
            .join(wanted, "set_id").select("set_id", "d.doc_id", "d.text_key"))
     one = kept(one, "wanted-sets")
-    if one.count() <= MOST_BROADCAST_SETS:
-        one = F.broadcast(one)
     texts = docs.select("doc_id", "text_key", "text").join(one, ["doc_id", "text_key"]).select("set_id", "text")
     return kept(texts.dropDuplicates(["set_id"]), "wanted-texts")
 
@@ -274,13 +271,14 @@ def _large_regions(cells: DataFrame, lookup, rule: Threshold) -> DataFrame:
     Links found so far connect members with their cell's pivot or not. Two connected ones need no comparison, so a cell
     ends when all are, pivots are taken from the others, and of the connected ones only those stay whose distance to the
     pivot is at least the least of the others' less the limit, as the triangle inequality asks of partners. Regions of
-    one pivot are one cell, from whatever cells they come.
+    one pivot are one cell, from whatever cells they come. Every round is done with about PIVOTS
+    members of the largest cell, so it ends, after however many rounds.
     """
     limit = 1 - rule.share / 100 + 1e-9
     spark = cells.sparkSession
     compared = kept(spark.createDataFrame([], "x long, y long, common long, x_size long, y_size long"), "compared")
     cells = cells.withColumn("inner", F.lit(False))
-    for turn in range(MOST_ROUNDS):
+    for turn in itertools.count():
         cells = kept(cells, "cells")
         sizes = kept(cells.groupBy("cell").agg(F.count(F.lit(1)).alias("size"), F.sum((~F.col("inner")).cast("long")).alias("outer"))
                      .where("size > 1 and outer > 0"), "cell-sizes")
@@ -310,7 +308,6 @@ def _large_regions(cells: DataFrame, lookup, rule: Threshold) -> DataFrame:
         waiting = large.select("cell", "x", "inner").join(pivots.select("cell").distinct(), "cell", "left_anti")
         cells = (dealt.join(others, "cell").where(~F.col("inner") | (F.col("d") >= F.col("least") - limit))
                  .select("cell", "x", "inner").union(waiting))
-    raise RuntimeError(f"large regions are not joined after {MOST_ROUNDS} rounds")
 
 
 def _rarest_first(texts: DataFrame, rule: Threshold, width: int) -> DataFrame:

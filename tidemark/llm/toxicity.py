@@ -13,8 +13,6 @@ DISCOUNT = 0.75
 CHUNK, ENTRIES_A_RANGE = 12 << 20, 400_000
 #: labelled rows the score's calibration is fitted on at most
 MOST_CALIBRATION = 20_000
-#: labels a broadcast may hold; more are joined by a shuffle
-MOST_BROADCAST_LABELS = 2_000_000
 WINDOWS = (1, 5)
 #: values of a word: after the word before it, alone, and alone as far as SURE distinct words come before it (else its beginning's)
 ORDERS, SURE = 3, 3
@@ -75,8 +73,6 @@ def chunks(docs: DataFrame, labels: DataFrame) -> DataFrame:
     an id count as the highest. Texts without words are left out.
     """
     marks = labels.where("toxic is not null and doc_id is not null").groupBy("doc_id").agg(F.max(F.col("toxic").cast("int")).alias("toxic"))
-    if labels.count() <= MOST_BROADCAST_LABELS:
-        marks = F.broadcast(marks)
     kind = F.when(F.col("toxic").isNull() | (F.col("_fold") == 2), -1).otherwise((F.col("toxic") > 0).cast("int") + 2 * F.least("_fold", F.lit(2)).cast("int"))
     rows = with_folds(docs.select("doc_id", "text")).join(marks, "doc_id", "left").select("text", kind.alias("kind"), digest().alias("d"))
 
@@ -374,8 +370,9 @@ def score(docs: DataFrame, labels: DataFrame, threshold: float = 0.3) -> DataFra
     Counts cover all of those rows. Each learning row is also scored by models without its fold; on at most
     MOST_CALIBRATION of these a logistic regression turns the log-likelihood differences into a score; the models that
     score ``docs`` use all learning rows. Scores meet their rows again by a digest of the text. Null, empty and wordless texts have no
-    evidence and get the score of zero differences. Without labels of both classes every difference is 0. Repeated rows
-    get equal scores.
+    evidence and get the score of zero differences. Without labels of both classes every difference is 0. Where a class has
+    fewer than FEW_ROWS learning rows nothing can be fitted, and DEFAULT_WEIGHTS take the calibration's place. Repeated rows
+    get equal scores, very long texts are scored whole, and an empty table gives no rows.
     """
     import numpy as np
     docs, restore = set_aside(docs, ["doc_id", "text"], ["_held_out", "_score", "_predicted"])
