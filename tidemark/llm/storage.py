@@ -7,11 +7,24 @@ from pyspark.sql import DataFrame
 from tidemark.sources.scratch import scratch_path
 
 
+#: has Spark delete what an execution shuffled when it ends
+FORGET_SHUFFLES = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def kept(df: DataFrame, label: str) -> DataFrame:
-    """``df`` written to the shared scratch folder and read back, so that what it holds is fixed and its lineage ends."""
-    path = scratch_path(df.sparkSession, label)
-    df.write.parquet(path)
-    table = df.sparkSession.read.schema(df.schema).parquet(path)
+    """``df`` written to the shared scratch folder and read back, so that what it holds is fixed and its lineage ends.
+
+    What was shuffled for it goes as soon as it is written.
+    """
+    spark = df.sparkSession
+    path = scratch_path(spark, label)
+    before = spark.conf.get(FORGET_SHUFFLES)
+    spark.conf.set(FORGET_SHUFFLES, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(FORGET_SHUFFLES, before)
+    table = spark.read.schema(df.schema).parquet(path)
     table._kept_at = path
     return table
 

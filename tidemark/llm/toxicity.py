@@ -2,15 +2,21 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, functions as F
 
-from tidemark.llm.storage import each, kept, set_aside
+from tidemark.llm.storage import dropped, each, kept, set_aside
 
 #: letters of a word's beginning, the order that words back off to
 BEGINNING = 4
 DISCOUNT = 0.75
-#: characters of the texts that are scored together, and entries looked up in one task's range, about
+#: characters of the texts that are scored together, and keys that chunks send to one range, about
 CHUNK, ENTRIES_A_RANGE = 12 << 20, 400_000
+#: bits of a key beyond those that number the words of all texts: whatever the input, two entries share a key with a chance of 2 ** -24
+SPARE_BITS = 24
+#: parts that pairs are counted in and texts are examined in, one after the other, so that only a part is shuffled at a time
+PARTS = 4
 #: labelled rows the score's calibration is fitted on at most
 MOST_CALIBRATION = 20_000
 WINDOWS = (1, 5)
@@ -23,9 +29,12 @@ FEW_ROWS, DEFAULT_WEIGHTS = 5, (-6.0, 0.0, 0.0, 0.0, 0.0, 0.0, 0.0, 0.0, 1.0, 0.
 FOLDS = (0, 1, 3)
 #: counts of an entry in ordinary and toxic texts: of all learning rows, and without each fold
 COUNTS = ["n0", "n1", *(f"f{fold}_{c}" for fold in FOLDS for c in (0, 1))]
-#: kinds of entries: words, beginnings, the words' counts summed by beginning; pairs, and how often and before how many
-#: distinct words a word comes
-WORD, BEGIN, INSIDE, PAIR, AFTER, KINDS_AFTER = range(6)
+#: kinds of entries: pairs of words, words, beginnings
+PAIR, WORD, BEGIN = range(3)
+#: columns of a word's or beginning's entry, a block of COUNTS each. Of a word: before how many distinct words it is met, how often and
+#: before how many distinct words another follows it. Of a beginning: how many distinct words have it, and the sum of their first block
+BLOCKS = 3
+ENTRY = [f"{block}{c}" for block in "tak" for c in COUNTS]
 
 
 def words(text: str | None) -> list[str]:
@@ -54,58 +63,92 @@ def with_folds(docs: DataFrame) -> DataFrame:
 
 
 def _pack(array) -> bytes:
-    """The bytes of an array, compressed after their number."""
+    """The first bytes of all numbers of an array, then the second ones and so on, compressed after the size of all."""
+    import numpy as np
     import pyarrow as pa
-    raw = array.tobytes()
+    array = np.ascontiguousarray(array).reshape(-1)
+    raw = array.view(np.uint8).reshape(array.size, array.itemsize).T.tobytes()
     return len(raw).to_bytes(8, "little") + pa.compress(raw, codec="zstd", asbytes=True)
 
 
 def _unpack(packed: bytes, kind):
     import numpy as np
     import pyarrow as pa
-    return np.frombuffer(pa.decompress(packed[8:], int.from_bytes(packed[:8], "little"), codec="zstd", asbytes=True), kind)
+    size, width = int.from_bytes(packed[:8], "little"), np.dtype(kind).itemsize
+    raw = np.frombuffer(pa.decompress(packed[8:], size, codec="zstd", asbytes=True), np.uint8)
+    return np.ascontiguousarray(raw.reshape(width, size // width).T).view(kind).reshape(-1)
+
+
+def _pack_keys(keys) -> bytes:
+    """Ascending keys, as the steps between them."""
+    import numpy as np
+    return _pack(np.diff(keys, prepend=np.uint64(0)))
+
+
+def _unpack_keys(packed: bytes):
+    import numpy as np
+    return np.cumsum(_unpack(packed, np.uint64), dtype=np.uint64)
 
 
 def chunks(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The texts as numbers of words, about CHUNK characters a row: words' keys, word numbers, and length, kind and digest by text.
 
-    A text's kind is -1 if nothing is learned from it (no label, or fold 2), else toxic + 2 * (the fold's place in FOLDS). Repeated labels of
-    an id count as the highest. Texts without words are left out.
+    A text's kind is -1 if nothing is learned from it (no label, or fold 2), else toxic + 2 * (the fold's place in FOLDS); learning texts
+    have chunks of their own. Repeated labels of an id count as the highest. Texts without words are left out.
     """
-    marks = labels.where("toxic is not null and doc_id is not null").groupBy("doc_id").agg(F.max(F.col("toxic").cast("int")).alias("toxic"))
+    marks = kept(labels.where("toxic is not null and doc_id is not null").groupBy("doc_id").agg(F.max(F.col("toxic").cast("int")).alias("toxic")), "toxic-marks")
     kind = F.when(F.col("toxic").isNull() | (F.col("_fold") == 2), -1).otherwise((F.col("toxic") > 0).cast("int") + 2 * F.least("_fold", F.lit(2)).cast("int"))
     rows = with_folds(docs.select("doc_id", "text")).join(marks, "doc_id", "left").select("text", kind.alias("kind"), digest().alias("d"))
 
     def encoded(batches):
-        import numpy as np
-        import pyarrow as pa
         from pyspark import TaskContext
         part, made = TaskContext.get().partitionId(), 0
-
-        def row():
-            heads = np.array([_key(w) for w in number], np.int64)
-            return pa.RecordBatch.from_pydict({
-                "chunk": [part << 32 | made], "heads": [heads.tobytes()], "seq": [_pack(np.concatenate(runs))],
-                "lengths": [_pack(np.array([len(r) for r in runs], np.int64))], "kinds": [_pack(np.array(kinds, np.int8))], "digests": [b"".join(digests)]},
-                pa.schema([("chunk", pa.int64()), *((k, pa.binary()) for k in ("heads", "seq", "lengths", "kinds", "digests"))]))
-
-        number, runs, kinds, digests, size = {}, [], [], [], 0
+        gathered = {False: _Texts(), True: _Texts()}
         for batch in batches:
             for text, kind, d in zip(*(each(c) for c in batch.columns)):
-                own = [number.setdefault(w, len(number)) for w in words(text)]
-                if own:
-                    runs.append(np.array(own, np.uint32))
-                    kinds.append(kind)
-                    digests.append(d)
-                    size += len(text)
-                if size >= CHUNK:
-                    yield row()
+                own = gathered[kind >= 0]
+                own.add(text, kind, d)
+                if own.size >= CHUNK:
+                    yield own.row(part << 32 | made, kind >= 0)
                     made += 1
-                    number, runs, kinds, digests, size = {}, [], [], [], 0
-        if runs:
-            yield row()
+                    gathered[kind >= 0] = _Texts()
+        for learns, own in gathered.items():
+            if own.runs:
+                yield own.row(part << 32 | made, learns)
+                made += 1
+
+    texts = kept(rows.mapInArrow(encoded, "chunk long, learns boolean, places long, names long, begins binary, begin binary, rest binary, seq binary, lengths binary, "
+                                          "kinds binary, digests binary"), "toxic-chunks")
+    dropped(marks)
+    return texts
+
+
+class _Texts:
+    """Texts that become one row of ``chunks``."""
 
-    return kept(rows.mapInArrow(encoded, "chunk long, heads binary, seq binary, lengths binary, kinds binary, digests binary"), "toxic-chunks")
+    def __init__(self):
+        self.number, self.runs, self.kinds, self.digests, self.size = {}, [], [], [], 0
+
+    def add(self, text, kind: int, d: bytes) -> None:
+        import numpy as np
+        number = self.number
+        own = [number.setdefault(w, len(number)) for w in words(text)]
+        if own:
+            self.runs.append(np.array(own, np.uint32))
+            self.kinds.append(kind)
+            self.digests.append(d)
+            self.size += len(text)
+
+    def row(self, chunk: int, learns: bool):
+        import numpy as np
+        import pyarrow as pa
+        heads, lengths = np.array([_key(w) for w in self.number], np.int64), np.array([len(r) for r in self.runs], np.int64)
+        begins, begin = np.unique((heads >> 32).astype(np.int32), return_inverse=True)
+        packed = {"begins": _pack(begins), "begin": _pack(begin.astype(np.uint32)), "rest": heads.astype(np.uint32).tobytes(), "seq": _pack(np.concatenate(self.runs)), "lengths": _pack(lengths),
+                  "kinds": _pack(np.array(self.kinds, np.int8)), "digests": b"".join(self.digests)}
+        return pa.RecordBatch.from_pydict(
+            {"chunk": [chunk], "learns": [learns], "places": [int(lengths.sum())], "names": [len(heads)], **{k: [v] for k, v in packed.items()}},
+            pa.schema([("chunk", pa.int64()), ("learns", pa.bool_()), ("places", pa.int64()), ("names", pa.int64()), *((k, pa.binary()) for k in packed)]))
 
 
 def digest():
@@ -113,57 +156,147 @@ def digest():
 
 
 class Chunk:
-    """One row of ``chunks``: its distinct pairs (previous word, word), and which of them each place holds."""
+    """One row of ``chunks``, whose places hold pairs (previous word, word). Names are its words' keys, then 0 for the start of a text."""
 
     def __init__(self, row: dict):
         import numpy as np
-        self.heads = np.frombuffer(row["heads"], np.int64)
+        begins, begin, rest = _unpack(row["begins"], np.int32), _unpack(row["begin"], np.uint32), np.frombuffer(row["rest"], np.uint32)
+        self.names = np.append(begins[begin].astype(np.int64) << 32 | rest, 0)
         self.lengths, self.kinds = _unpack(row["lengths"], np.int64), _unpack(row["kinds"], np.int8)
         self.digests = [row["digests"][i:i + 16] for i in range(0, len(row["digests"]), 16)]
         current = _unpack(row["seq"], np.uint32).astype(np.int64)
-        previous = np.concatenate([[-1], current[:-1]])
-        previous[np.cumsum(self.lengths)[:-1]] = -1
-        self.code = (previous + 1) * len(self.heads) + current
+        previous = np.concatenate([[len(self.names) - 1], current[:-1]])
+        previous[np.cumsum(self.lengths)[:-1]] = len(self.names) - 1
+        self.code = previous * len(self.names) + current
 
-    def split(self, code):
-        """Numbers of the previous word (-1 at the start of a text) and of the word."""
-        return code // len(self.heads) - 1, code % len(self.heads)
+    def pairs(self, width: int):
+        """Ascending distinct keys of its pairs, the slot among them of each place, and numbers of the previous word and the word by key."""
+        import numpy as np
+        code, places = np.unique(self.code, return_inverse=True)
+        previous, current = np.divmod(code, len(self.names))
+        keys, first, slots = np.unique(_mixed(PAIR, width, self.names[current], self.names[previous]), return_index=True, return_inverse=True)
+        return keys, slots[places], previous[first], current[first]
 
-    def history(self, previous):
+    def entries(self, width: int):
+        """Ascending distinct keys of its names and their beginnings, and the slots among them of both, by name."""
         import numpy as np
-        return np.where(previous < 0, 0, self.heads[previous])
+        keys, slots = np.unique(np.concatenate([_mixed(WORD, width, self.names), _mixed(BEGIN, width, self.names >> 32)]), return_inverse=True)
+        return keys, *np.split(slots, 2)
+
+    def tallies(self, slots, n: int):
+        """How often each key occurs, by kind of text."""
+        import numpy as np
+        kinds = np.repeat(self.kinds, self.lengths)
+        return np.stack([np.bincount(slots[kinds == kind], minlength=n) for kind in range(2 * len(FOLDS))])
+
+
+def _by_range(keys, width: int, bits: int):
+    """(range, slice) of ascending keys of ``width`` bits; the range is their first ``bits``."""
+    import numpy as np
+    ranges, starts = np.unique(keys >> np.uint64(width - bits), return_index=True)
+    return [(int(b), slice(start, end)) for b, start, end in zip(ranges, starts.tolist(), [*starts[1:].tolist(), len(keys)])]
+
+
+REQUEST = "b int, chunk long, learns boolean, keys binary, counts binary"
+ANSWER = "b int, chunk long, learns boolean, marks binary, counts binary"
+
+
+def _requests(b: list, chunk: int, learns: bool, keys: list, counts: list):
+    import pyarrow as pa
+    return pa.RecordBatch.from_arrays([pa.array(b, pa.int32()), pa.array([chunk] * len(b), pa.int64()), pa.array([learns] * len(b), pa.bool_()),
+                                       pa.array(keys, pa.binary()), pa.array(counts, pa.binary())], ["b", "chunk", "learns", "keys", "counts"])
+
+
+def _answers(requests, marks: list, counts: list):
+    """What goes back to the chunks: of each key asked for, in order, a mark, and the counts of the marked ones."""
+    import pyarrow as pa
+    return pa.table({**{c: requests[c] for c in ("b", "chunk", "learns")}, "marks": pa.array([_pack(m) for m in marks], pa.binary()),
+                     "counts": pa.array([_pack(c) for c in counts], pa.binary())})
+
+
+def _answered(answers, columns: int):
+    """(marks, counts) of a chunk's keys in ascending order, from the answers of all their ranges; counts of unmarked keys are 0."""
+    import numpy as np
+    rows = sorted(zip(answers["b"].to_pylist(), answers["marks"], answers["counts"]), key=lambda r: r[0])
+    marks = np.concatenate([np.empty(0, np.uint8), *(_unpack(m.as_py(), np.uint8) for _, m, _ in rows)])
+    counts = np.zeros((len(marks), columns), np.int64)
+    counts[marks > 0] = np.concatenate([np.empty((0, columns), np.int64), *(_unpack(c.as_py(), np.int64).reshape(columns, -1).T for _, _, c in rows)])
+    return marks, counts
+
+
+def _with_folds_left_out(tallies):
+    """COUNTS from the counts by kind of text, the first two of them where only all learning rows are counted."""
+    import numpy as np
+    if tallies.shape[1] == 2:
+        return tallies
+    by = tallies.reshape(len(tallies), len(FOLDS), 2)
+    total = by.sum(axis=1)
+    return np.concatenate([total, *(total - by[:, f] for f in range(len(FOLDS)))], axis=1)
 
 
-def pair_counts(texts: DataFrame) -> DataFrame:
-    """(w, v, counts): how often word w follows v in ordinary and in toxic texts, over all learning rows and without each fold.
+def pair_answers(texts: DataFrame, width: int, bits: int, part: int) -> DataFrame:
+    """To each chunk, how often its pairs occur in learning texts; a mark of 2 says that the chunk is the first that has the pair.
 
-    Map tasks count within a chunk, and the key is the pair, so no frequent word is gathered in one task.
+    Learning chunks get counts by kind of text, others by class. Only the ranges of one of PARTS parts are asked. Pairs are dealt by ranges of their keys, not by words, and a chunk sends each of its pairs once, so no frequent pair or word is
+    gathered in one task. A chunk sends at most one row a range, and no more rows than it has pairs.
     """
-    def counted(batches):
+    def asked(batches):
         import numpy as np
-        import pyarrow as pa
         for batch in batches:
             for row in batch.to_pylist():
                 chunk = Chunk(row)
-                kinds = np.repeat(chunk.kinds, chunk.lengths)
-                for kind in range(2 * len(FOLDS)):
-                    code, n = np.unique(chunk.code[kinds == kind], return_counts=True)
-                    previous, current = chunk.split(code)
-                    yield pa.RecordBatch.from_arrays([pa.array(chunk.heads[current]), pa.array(chunk.history(previous)),
-                                                      pa.array(np.full(len(code), kind, np.int32)), pa.array(n.astype(np.int64))], ["w", "v", "kind", "n"])
-
-    rows = texts.mapInArrow(counted, "w long, v long, kind int, n long")
-    return rows.groupBy("w", "v").agg(*(F.sum(F.when(F.col("kind").isin(kinds), F.col("n")).otherwise(0)).alias(name)
-                                        for name, kinds in zip(COUNTS, ([c + 2 * f for f in range(len(FOLDS)) if f != out] for out in (-1, *range(len(FOLDS))) for c in (0, 1)))))
-
-
-def _types(df: DataFrame, key, name: str) -> DataFrame:
-    """How many rows of ``df`` have each count, by key."""
-    return df.groupBy(key.alias(name)).agg(*(F.sum((F.col(c) > 0).cast("long")).alias(c) for c in COUNTS))
+                keys, slots, *_ = chunk.pairs(width)
+                dealt = [(b, own) for b, own in _by_range(keys, width, bits) if b % PARTS == part]
+                tallies = chunk.tallies(slots, len(keys)).astype(np.int64) if row["learns"] else None
+                yield _requests([b for b, _ in dealt], row["chunk"], row["learns"], [_pack_keys(keys[own]) for _, own in dealt],
+                                [_pack(tallies[:, own]) if row["learns"] else None for _, own in dealt])
 
-
-def _mixed(kind: int, w, v=0):
-    """64-bit keys of entries: splitmix64 of the kind of entry, a word or beginning, and the word before it."""
+    def tallied(requests):
+        import numpy as np
+        requests = requests.sort_by([("learns", "descending"), ("chunk", "ascending")])
+        asked_for = [_unpack_keys(k.as_py()) for k in requests["keys"]]
+        keys, first, slots = np.unique(np.concatenate(asked_for), return_index=True, return_inverse=True)
+        is_first = np.zeros(len(slots), bool)
+        is_first[first] = True
+        ends = np.cumsum([len(k) for k in asked_for])[:-1]
+        total = np.zeros((2 * len(FOLDS), len(keys)), np.int64)
+        for own, counts in zip(np.split(slots, ends), requests["counts"].to_pylist()):
+            if counts is not None:
+                total[:, own] += _unpack(counts, np.int64).reshape(len(total), -1)
+        met = total.any(axis=0)
+        marks = np.split(met[slots] * (1 + is_first).astype(np.uint8), ends)
+        by_class = total.reshape(len(FOLDS), 2, -1).sum(axis=0)
+        return _answers(requests, marks, [(total if learns else by_class)[:, own[met[own]]]
+                                          for own, learns in zip(np.split(slots, ends), requests["learns"].to_pylist())])
+
+    return texts.mapInArrow(asked, REQUEST).groupBy("b").applyInArrow(tallied, ANSWER)
+
+
+def word_counts(texts: DataFrame, answers: DataFrame, width: int) -> DataFrame:
+    """(w, ENTRY): the entries of words; 0 is the start of a text. Each distinct pair is counted by the first chunk that has it."""
+    def gained(rows, answers):
+        import numpy as np
+        import pyarrow as pa
+        out = [(np.empty(0, np.int64), np.empty((0, len(ENTRY)), np.int64))]
+        for row in rows.to_pylist():
+            chunk = Chunk(row)
+            _, _, previous, current = chunk.pairs(width)
+            marks, counts = _answered(answers, 2 * len(FOLDS))
+            own = marks == 2
+            previous, current, counts = previous[own], current[own], _with_folds_left_out(counts[own])
+            blocks = [(current, counts > 0), (previous, counts), (previous, counts > 0)]
+            entry = np.stack([np.bincount(at, weights=c, minlength=len(chunk.names)) for at, block in blocks for c in block.T], axis=1).astype(np.int64)
+            met = entry.any(axis=1)
+            out.append((chunk.names[met], entry[met]))
+        names, entry = (np.concatenate(x) for x in zip(*out))
+        return pa.table([pa.array(names), *(pa.array(np.ascontiguousarray(c)) for c in entry.T)], ["w", *ENTRY])
+
+    rows = texts.where("learns").groupBy("chunk").cogroup(answers.where("learns").groupBy("chunk")).applyInArrow(gained, "w long, " + ", ".join(f"{c} long" for c in ENTRY))
+    return rows.groupBy("w").agg(*(F.sum(c).alias(c) for c in ENTRY))
+
+
+def _mixed(kind: int, width: int, w, v=0):
+    """Keys of ``width`` bits of entries: splitmix64 of the kind of entry, a word or beginning, and the word before it."""
     import numpy as np
 
     def mix(x):
@@ -173,7 +306,7 @@ def _mixed(kind: int, w, v=0):
 
     w, v = (np.atleast_1d(np.asarray(x, np.int64)).view(np.uint64) for x in (w, v))
     with np.errstate(over="ignore"):
-        return mix(mix(v + np.uint64(0x9E3779B97F4A7C15) * np.uint64(kind + 1)) ^ w)
+        return mix(mix(v + np.uint64(0x9E3779B97F4A7C15) * np.uint64(kind + 1)) ^ w) >> np.uint64(64 - width)
 
 
 class Model:
@@ -188,7 +321,7 @@ class Model:
         self.known = all(self.m)
 
     def values(self, word, beginning, inside, pair, after, kinds_after):
-        """Log ratios toxic / ordinary, of words given the word before and of words alone. Arguments are counts by entry, one row each.
+        """Log ratios toxic / ordinary, of words given the word before and of words alone. Arguments are this model's counts, one row each.
 
         Orders are discounted per class; what is taken off goes to the next order: a word after another, by how often
         they occur so, backs off to the word (after how many distinct words of the class it comes), that to its beginning
@@ -198,11 +331,10 @@ class Model:
         import numpy as np
         if not self.known:
             return [np.zeros(len(word))] * ORDERS
-        m, b, inside = word[:, self.at], beginning[:, self.at], inside[:, self.at].sum(axis=1)
+        m, b, inside, n = word, beginning, inside.sum(axis=1), pair
         met = m.sum(axis=1)
         share = np.where(met > 0, met / np.maximum(inside, 1), 1.0)
         top = (b.sum(axis=1) + 0.5) / (sum(self.b) + 0.5 * self.all)
-        n, after, kinds_after = pair[:, self.at], after[:, self.at], kinds_after[:, self.at]
         p, alone, begins = [], [], []
         for c in (0, 1):
             begin = np.maximum(b[:, c] - DISCOUNT, 0) / self.b[c] + DISCOUNT * self.bk[c] / self.b[c] * top
@@ -214,134 +346,128 @@ class Model:
         return [np.log(p[1] / p[0]), single, np.where(met >= SURE, single, np.log(begins[1] / begins[0]))]
 
 
-def learned(pairs: DataFrame):
-    """(tables, models): the (w, v, counts) of each kind of entry, and the totals of the models of all rows and without each fold."""
-    words_ = kept(_types(pairs, F.col("w"), "w"), "toxic-words")
-    begin = F.shiftright("w", 32)
-    beginnings = kept(_types(words_, begin, "w"), "toxic-beginnings")
-    inside = words_.groupBy(begin.alias("w")).agg(*(F.sum(c).alias(c) for c in COUNTS))
-    totals = [F.sum(c).alias(f"s{c}") for c in COUNTS] + [F.sum((F.col(c) > 0).cast("long")).alias(f"k{c}") for c in COUNTS]
-    met = [F.sum((F.col(a) + F.col(b) > 0).cast("long")).alias("all" + a) for a, b in zip(COUNTS[::2], COUNTS[1::2])]
-    sums, tops = (df.agg(*totals, *met).first().asDict() for df in (words_, beginnings))
-    after = pairs.groupBy(F.col("v").alias("w"))
-    tables = {WORD: words_, BEGIN: beginnings, INSIDE: inside, PAIR: pairs, AFTER: after.agg(*(F.sum(c).alias(c) for c in COUNTS)),
-              KINDS_AFTER: _types(pairs, F.col("v"), "w")}
-    return tables, [Model(at, sums, tops) for at in range(0, len(COUNTS), 2)]
-
-
-def _wanted(chunk: Chunk, code):
-    """Keys of the entries that the distinct pairs need, by kind."""
-    previous, current = chunk.split(code)
-    v, w = chunk.history(previous), chunk.heads[current]
-    return {WORD: _mixed(WORD, w), BEGIN: _mixed(BEGIN, w >> 32), INSIDE: _mixed(INSIDE, w >> 32),
-            PAIR: _mixed(PAIR, w, v), AFTER: _mixed(AFTER, v), KINDS_AFTER: _mixed(KINDS_AFTER, v)}
-
-
-def _entries(tables: dict, bits: int) -> DataFrame:
-    """(b, key, counts) of all entries; b is the range of the key, one of 2 ** bits."""
-    rows = None
-    for kind, table in tables.items():
-        own = table.select(F.lit(kind).alias("kind"), "w", (F.col("v") if "v" in table.columns else F.lit(0).cast("long")).alias("v"), *COUNTS)
-        rows = own if rows is None else rows.unionByName(own)
+def _block(name: str) -> list[str]:
+    return [c for c in ENTRY if c[0] == name]
+
+
+def learned(words_: DataFrame):
+    """(beginnings, models): (w, ENTRY) of beginnings, and the totals of the models of all rows and without each fold."""
+    met, summed = ([agg(c).alias(to + c[1:]) for c in _block("t")] for to, agg in (("t", lambda c: F.sum((F.col(c) > 0).cast("long"))), ("a", F.sum)))
+    beginnings = kept(words_.groupBy(F.shiftright("w", 32).alias("w")).agg(*met, *summed, *(F.lit(0).cast("long").alias(c) for c in _block("k"))), "toxic-beginnings")
+    totals = [agg for c in COUNTS for agg in (F.sum(f"t{c}").alias(f"s{c}"), F.sum((F.col(f"t{c}") > 0).cast("long")).alias(f"k{c}"))]
+    either = [F.sum((F.col(f"t{a}") + F.col(f"t{b}") > 0).cast("long")).alias("all" + a) for a, b in zip(COUNTS[::2], COUNTS[1::2])]
+    sums, tops = (df.agg(*totals, *either).first().asDict() for df in (words_, beginnings))
+    return beginnings, [Model(at, sums, tops) for at in range(0, len(COUNTS), 2)]
 
+
+def entry_answers(texts: DataFrame, words_: DataFrame, beginnings: DataFrame, width: int, bits: int) -> DataFrame:
+    """To each chunk, the entries of its words and their beginnings; of chunks that learn nothing, their columns of all learning rows."""
     def keyed(batches):
         import numpy as np
         import pyarrow as pa
         for batch in batches:
-            kind, w, v = (c.to_numpy(zero_copy_only=False) for c in batch.columns[:3])
-            key = np.empty(len(w), np.uint64)
-            for k in np.unique(kind).tolist():
-                own = kind == k
-                key[own] = _mixed(k, w[own], v[own])
-            yield pa.RecordBatch.from_arrays([pa.array(_range(key, bits)), pa.array(key.view(np.int64)), *batch.columns[3:]], ["b", "key", *COUNTS])
-
-    return rows.mapInArrow(keyed, "b int, key long, " + ", ".join(f"{c} long" for c in COUNTS))
-
-
-def _range(key, bits: int):
-    import numpy as np
-    return (key >> np.uint64(64 - bits)).astype(np.int32)
-
-
-def features(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """(d, kind, x, t): features of each text with words under the models of all learning rows, and of labelled ones under those without their fold.
-
-    Every entry is kept at any size: entries are dealt by ranges of their keys, each chunk sends the distinct keys it
-    needs to those ranges, and what is found there comes back to the chunk. Nothing is broadcast but totals.
-    """
-    texts = chunks(docs, labels)
-    pairs = kept(pair_counts(texts), "toxic-pairs")
-    tables, models = learned(pairs)
-    bits = max(4, (sum(t.count() for t in tables.values()) // ENTRIES_A_RANGE).bit_length())
+            kind, w = (c.to_numpy(zero_copy_only=False) for c in batch.columns[:2])
+            key = np.where(kind == WORD, _mixed(WORD, width, w), _mixed(BEGIN, width, w))
+            b = (key >> np.uint64(width - bits)).astype(np.int32)
+            yield pa.RecordBatch.from_arrays([pa.array(b), pa.array(key.view(np.int64)), *batch.columns[2:]], ["b", "key", *ENTRY])
 
     def asked(batches):
-        import numpy as np
-        import pyarrow as pa
         for batch in batches:
             for row in batch.to_pylist():
-                chunk = Chunk(row)
-                keys = np.unique(np.concatenate(list(_wanted(chunk, np.unique(chunk.code)).values())))
-                ranges, starts = np.unique(_range(keys, bits), return_index=True)
-                own = [_pack(k) for k in np.split(keys, starts[1:])]
-                yield pa.RecordBatch.from_arrays([pa.array(ranges), pa.array([row["chunk"]] * len(ranges), pa.int64()), pa.array(own, pa.binary())], ["b", "chunk", "keys"])
+                keys, *_ = Chunk(row).entries(width)
+                dealt = _by_range(keys, width, bits)
+                yield _requests([b for b, _ in dealt], row["chunk"], row["learns"], [_pack_keys(keys[own]) for _, own in dealt], [None] * len(dealt))
 
     def found(entries, requests):
         import numpy as np
-        import pyarrow as pa
         keys = entries["key"].to_numpy().view(np.uint64)
         order = np.argsort(keys)
-        keys = keys[order]
-        counts = np.stack([entries[c].to_numpy() for c in COUNTS], axis=1)[order]
-        out = {"chunk": [], "keys": [], "counts": []}
-        for chunk, wanted in zip(requests["chunk"].to_pylist(), requests["keys"]) if len(keys) else ():
-            wanted = _unpack(wanted.as_py(), np.uint64)
-            at = np.minimum(np.searchsorted(keys, wanted), len(keys) - 1)
-            hit = keys[at] == wanted
-            for name, value in (("chunk", chunk), ("keys", _pack(wanted[hit])), ("counts", _pack(counts[at[hit]]))):
-                out[name].append(value)
-        return pa.table(out, pa.schema([("chunk", pa.int64()), ("keys", pa.binary()), ("counts", pa.binary())]))
+        keys = np.append(keys[order], ~np.uint64(0))
+        columns = [np.append(entries[c].to_numpy()[order], 0) for c in ENTRY]
+        marks, counts = [], []
+        for wanted, learns in zip(requests["keys"], requests["learns"].to_pylist()):
+            wanted = _unpack_keys(wanted.as_py())
+            at = np.searchsorted(keys, wanted)
+            hit = (keys[at] == wanted) & (at < len(keys) - 1)
+            marks.append(hit.astype(np.uint8))
+            counts.append(np.stack([c[at[hit]] for i, c in enumerate(columns) if learns or i % len(COUNTS) < 2]))
+        return _answers(requests, marks, counts)
+
+    rows = words_.select(F.lit(WORD).alias("kind"), "w", *ENTRY).unionByName(beginnings.select(F.lit(BEGIN).alias("kind"), "w", *ENTRY))
+    rows = rows.mapInArrow(keyed, "b int, key long, " + ", ".join(f"{c} long" for c in ENTRY))
+    return rows.groupBy("b").cogroup(texts.mapInArrow(asked, REQUEST).groupBy("b")).applyInArrow(found, ANSWER)
+
+
+def features(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """(d, kind, x, t): features of each text with words under the models of all learning rows, and of labelled ones under those without their fold.
+
+    Every entry is kept at any size. Chunks of texts send the distinct keys of their pairs to ranges of keys, which count
+    them and send back what the learning texts have; the same then goes on with words and beginnings, whose counts come
+    from the pairs. Keys are as long as their number needs and SPARE_BITS more. Nothing is broadcast but totals.
+    """
+    texts = chunks(docs, labels)
+    size = texts.agg(F.sum("places").alias("places"), F.sum("names").alias("names")).first()
+    places, names = size["places"] or 0, 2 * (size["names"] or 0)
+    width = min(64, places.bit_length() + SPARE_BITS)
+    bits, entry_bits = (max(4, (n // ENTRIES_A_RANGE).bit_length()) for n in (places, names))
+    pair_parts = [kept(pair_answers(texts, width, bits, part), "toxic-pairs") for part in range(PARTS)]
+    of_pairs = reduce(DataFrame.unionByName, pair_parts)
+    words_ = kept(word_counts(texts, of_pairs, width), "toxic-words")
+    beginnings, models = learned(words_)
+    of_entries = kept(entry_answers(texts, words_, beginnings, width, entry_bits), "toxic-entries")
+    dropped(words_, beginnings)
 
     def examined(rows, answers):
-        import numpy as np
         import pyarrow as pa
+        import pyarrow.compute as pc
         out = {"d": [], "kind": [], "x": [], "t": []}
-        keys = np.concatenate([np.empty(0, np.uint64), *(_unpack(k.as_py(), np.uint64) for k in answers["keys"])])
-        counts = np.concatenate([np.empty((0, len(COUNTS)), np.int64), *(_unpack(c.as_py(), np.int64).reshape(-1, len(COUNTS)) for c in answers["counts"])])
-        order = np.argsort(keys)
-        keys, counts = np.append(keys[order], np.uint64(0)), np.vstack([counts[order], np.zeros((1, len(COUNTS)), np.int64)])
         for row in rows.to_pylist():
             chunk = Chunk(row)
-            code, places = np.unique(chunk.code, return_inverse=True)
-            got = []
-            for wanted in _wanted(chunk, code).values():
-                at = np.searchsorted(keys[:-1], wanted)
-                got.append(counts[np.where(keys[at] == wanted, at, len(keys) - 1)])
-            x, *without = (_summary([v[places] for v in m.values(*got)], chunk.lengths) for m in models)
-            t = [without[kind // 2][i] if kind >= 0 else [] for i, kind in enumerate(chunk.kinds.tolist())]
+            _, slots, previous, current = chunk.pairs(width)
+            _, by_word, by_beginning = chunk.entries(width)
+            kinds, counts = (2 * len(FOLDS), len(COUNTS)) if row["learns"] else (2, 2)
+            _, tallies = _answered(answers.filter(answers["of_pairs"]), kinds)
+            _, entries = _answered(answers.filter(pc.invert(answers["of_pairs"])), BLOCKS * counts)
+            tallies = _with_folds_left_out(tallies)
+            words_, begins = entries[by_word].reshape(-1, BLOCKS, counts), entries[by_beginning].reshape(-1, BLOCKS, counts)
+
+            def summary(model):
+                values = model.values(words_[current, 0, model.at], begins[current, 0, model.at], begins[current, 1, model.at],
+                                      tallies[:, model.at], words_[previous, 1, model.at], words_[previous, 2, model.at])
+                return _summary([v[slots] for v in values], chunk.lengths)
+
+            without = [summary(m) for m in models[1:]] if row["learns"] else []
             out["d"] += chunk.digests
             out["kind"] += chunk.kinds.tolist()
-            out["x"] += x
-            out["t"] += t
+            out["x"] += summary(models[0])
+            out["t"] += [without[kind // 2][i] if kind >= 0 else [] for i, kind in enumerate(chunk.kinds.tolist())]
         return pa.table(out, pa.schema([("d", pa.binary()), ("kind", pa.int32()), ("x", pa.list_(pa.float64())), ("t", pa.list_(pa.float64()))]))
 
-    requests = texts.mapInArrow(asked, "b int, chunk long, keys binary")
-    answers = _entries(tables, bits).groupBy("b").cogroup(requests.groupBy("b")).applyInArrow(found, "chunk long, keys binary, counts binary")
-    rows = texts.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(examined, "d binary, kind int, x array<double>, t array<double>")
-    return kept(rows, "toxic-features")
+    answers = of_pairs.withColumn("of_pairs", F.lit(True)).unionByName(of_entries.withColumn("of_pairs", F.lit(False)))
+    parts = []
+    for part in range(PARTS):
+        own, theirs = (df.where(F.pmod(F.xxhash64("chunk"), F.lit(PARTS)) == part).groupBy("chunk") for df in (texts, answers))
+        parts.append(kept(own.cogroup(theirs).applyInArrow(examined, "d binary, kind int, x array<double>, t array<double>"), "toxic-features"))
+    dropped(texts, *pair_parts, of_entries)
+    return reduce(DataFrame.unionByName, parts)
 
 
 def _summary(orders, lengths) -> list[list[float]]:
     """By text: mean, the highest mean over 1 and over 5 words in a row, by order; and the log of the word count."""
     import numpy as np
-    out, start = [], 0
-    for n in lengths.tolist():
-        own = []
-        for values in orders:
-            sums = np.concatenate([[0.0], np.cumsum(values[start:start + n])])
-            own += [float(sums[-1]) / n, *(float((sums[k:] - sums[:-k]).max()) / k for k in (min(w, n) for w in WINDOWS))]
-        out.append([*own, float(np.log1p(n))])
-        start += n
-    return out
+    ends = np.cumsum(lengths)
+    starts, left = ends - lengths, np.repeat(ends, lengths) - np.arange(ends[-1])
+    out = []
+    for values in orders:
+        means = np.add.reduceat(values, starts) / lengths
+        out.append(means)
+        for w in WINDOWS:
+            sums = values.copy()
+            for i in range(1, w):
+                sums[:-i] += values[i:]
+            sums[left < w] = -np.inf
+            out.append(np.where(lengths < w, means, np.maximum.reduceat(sums, starts) / w))
+    return np.stack([*out, np.log1p(lengths)], axis=1).tolist()
 
 
 def _fit_logistic(features, marks, ridge: float = 1e-2, steps: int = 50):
