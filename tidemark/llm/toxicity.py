@@ -15,8 +15,8 @@ DISCOUNT = 0.75
 CHUNK, ENTRIES_A_RANGE = 12 << 20, 400_000
 #: bits of a key beyond those that number the words of all texts: whatever the input, two entries share a key with a chance of 2 ** -24
 SPARE_BITS = 24
-#: parts that pairs are counted in and texts are examined in, one after the other, so that only a part is shuffled at a time
-PARTS = 4
+#: parts that texts meet labels and are examined in, and that pairs are counted in, one after the other, so that only a part is shuffled at a time
+PARTS, PAIR_PARTS = 4, 2
 #: labelled rows the score's calibration is fitted on at most
 MOST_CALIBRATION = 20_000
 WINDOWS = (1, 5)
@@ -90,37 +90,41 @@ def _unpack_keys(packed: bytes):
     return np.cumsum(_unpack(packed, np.uint64), dtype=np.uint64)
 
 
-def chunks(docs: DataFrame, labels: DataFrame) -> DataFrame:
+def chunks(docs: DataFrame, labels: DataFrame) -> list[DataFrame]:
     """The texts as numbers of words, about CHUNK characters a row: words' keys, word numbers, and length, kind and digest by text.
 
     A text's kind is -1 if nothing is learned from it (no label, or fold 2), else toxic + 2 * (the fold's place in FOLDS); learning texts
-    have chunks of their own. Repeated labels of an id count as the highest. Texts without words are left out.
+    have chunks of their own. Repeated labels of an id count as the highest. Texts without words are left out. One table a part of
+    the documents, by their ids.
     """
     marks = kept(labels.where("toxic is not null and doc_id is not null").groupBy("doc_id").agg(F.max(F.col("toxic").cast("int")).alias("toxic")), "toxic-marks")
     kind = F.when(F.col("toxic").isNull() | (F.col("_fold") == 2), -1).otherwise((F.col("toxic") > 0).cast("int") + 2 * F.least("_fold", F.lit(2)).cast("int"))
-    rows = with_folds(docs.select("doc_id", "text")).join(marks, "doc_id", "left").select("text", kind.alias("kind"), digest().alias("d"))
+    rows = with_folds(docs.select("doc_id", "text"))
 
     def encoded(batches):
         from pyspark import TaskContext
-        part, made = TaskContext.get().partitionId(), 0
+        task, made = TaskContext.get().partitionId(), 0
         gathered = {False: _Texts(), True: _Texts()}
         for batch in batches:
             for text, kind, d in zip(*(each(c) for c in batch.columns)):
                 own = gathered[kind >= 0]
                 own.add(text, kind, d)
                 if own.size >= CHUNK:
-                    yield own.row(part << 32 | made, kind >= 0)
+                    yield own.row((task * PARTS + part) << 32 | made, kind >= 0)
                     made += 1
                     gathered[kind >= 0] = _Texts()
         for learns, own in gathered.items():
             if own.runs:
-                yield own.row(part << 32 | made, learns)
+                yield own.row((task * PARTS + part) << 32 | made, learns)
                 made += 1
 
-    texts = kept(rows.mapInArrow(encoded, "chunk long, learns boolean, places long, names long, begins binary, begin binary, rest binary, seq binary, lengths binary, "
-                                          "kinds binary, digests binary"), "toxic-chunks")
+    parts = []
+    for part in range(PARTS):
+        own = rows.where(F.pmod(F.xxhash64("doc_id"), F.lit(PARTS)) == part).join(marks, "doc_id", "left").select("text", kind.alias("kind"), digest().alias("d"))
+        parts.append(kept(own.mapInArrow(encoded, "chunk long, learns boolean, places long, names long, begins binary, begin binary, rest binary, "
+                                                  "seq binary, lengths binary, kinds binary, digests binary"), "toxic-chunks"))
     dropped(marks)
-    return texts
+    return parts
 
 
 class _Texts:
@@ -177,6 +181,12 @@ class Chunk:
         keys, first, slots = np.unique(_mixed(PAIR, width, self.names[current], self.names[previous]), return_index=True, return_inverse=True)
         return keys, slots[places], previous[first], current[first]
 
+    def pair_keys(self, width: int):
+        """The first of ``pairs`` alone, without the sorts that slots take."""
+        import numpy as np
+        previous, current = np.divmod(np.unique(self.code), len(self.names))
+        return np.unique(_mixed(PAIR, width, self.names[current], self.names[previous]))
+
     def entries(self, width: int):
         """Ascending distinct keys of its names and their beginnings, and the slots among them of both, by name."""
         import numpy as np
@@ -237,7 +247,7 @@ def _with_folds_left_out(tallies):
 def pair_answers(texts: DataFrame, width: int, bits: int, part: int) -> DataFrame:
     """To each chunk, how often its pairs occur in learning texts; a mark of 2 says that the chunk is the first that has the pair.
 
-    Learning chunks get counts by kind of text, others by class. Only the ranges of one of PARTS parts are asked. Pairs are dealt by ranges of their keys, not by words, and a chunk sends each of its pairs once, so no frequent pair or word is
+    Learning chunks get counts by kind of text, others by class. Only the ranges of one of PAIR_PARTS parts are asked. Pairs are dealt by ranges of their keys, not by words, and a chunk sends each of its pairs once, so no frequent pair or word is
     gathered in one task. A chunk sends at most one row a range, and no more rows than it has pairs.
     """
     def asked(batches):
@@ -245,8 +255,8 @@ def pair_answers(texts: DataFrame, width: int, bits: int, part: int) -> DataFram
         for batch in batches:
             for row in batch.to_pylist():
                 chunk = Chunk(row)
-                keys, slots, *_ = chunk.pairs(width)
-                dealt = [(b, own) for b, own in _by_range(keys, width, bits) if b % PARTS == part]
+                keys, slots, *_ = chunk.pairs(width) if row["learns"] else (chunk.pair_keys(width), None)
+                dealt = [(b, own) for b, own in _by_range(keys, width, bits) if b % PAIR_PARTS == part]
                 tallies = chunk.tallies(slots, len(keys)).astype(np.int64) if row["learns"] else None
                 yield _requests([b for b, _ in dealt], row["chunk"], row["learns"], [_pack_keys(keys[own]) for _, own in dealt],
                                 [_pack(tallies[:, own]) if row["learns"] else None for _, own in dealt])
@@ -405,12 +415,13 @@ def features(docs: DataFrame, labels: DataFrame) -> DataFrame:
     them and send back what the learning texts have; the same then goes on with words and beginnings, whose counts come
     from the pairs. Keys are as long as their number needs and SPARE_BITS more. Nothing is broadcast but totals.
     """
-    texts = chunks(docs, labels)
+    text_parts = chunks(docs, labels)
+    texts = reduce(DataFrame.unionByName, text_parts)
     size = texts.agg(F.sum("places").alias("places"), F.sum("names").alias("names")).first()
     places, names = size["places"] or 0, 2 * (size["names"] or 0)
     width = min(64, places.bit_length() + SPARE_BITS)
     bits, entry_bits = (max(4, (n // ENTRIES_A_RANGE).bit_length()) for n in (places, names))
-    pair_parts = [kept(pair_answers(texts, width, bits, part), "toxic-pairs") for part in range(PARTS)]
+    pair_parts = [kept(pair_answers(texts, width, bits, part), "toxic-pairs") for part in range(PAIR_PARTS)]
     of_pairs = reduce(DataFrame.unionByName, pair_parts)
     words_ = kept(word_counts(texts, of_pairs, width), "toxic-words")
     beginnings, models = learned(words_)
@@ -448,7 +459,7 @@ def features(docs: DataFrame, labels: DataFrame) -> DataFrame:
     for part in range(PARTS):
         own, theirs = (df.where(F.pmod(F.xxhash64("chunk"), F.lit(PARTS)) == part).groupBy("chunk") for df in (texts, answers))
         parts.append(kept(own.cogroup(theirs).applyInArrow(examined, "d binary, kind int, x array<double>, t array<double>"), "toxic-features"))
-    dropped(texts, *pair_parts, of_entries)
+    dropped(*text_parts, *pair_parts, of_entries)
     return reduce(DataFrame.unionByName, parts)
 
 
