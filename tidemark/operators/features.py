@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window, WindowSpec, functions as F
 
 from tidemark.functions.clock import day_number
 from tidemark.functions.measures import TRADING_DAYS, dbl, ratio, simple_return
+from tidemark.operators import rolling
 from tidemark.operators.ranking import top_k
 
 
@@ -112,10 +113,6 @@ def composition(holdings: DataFrame, sectors: DataFrame) -> DataFrame:
         ratio("_squares", dbl("_all") * dbl("_all")).alias("sector_hhi"))
 
 
-def _portfolio(n: int) -> WindowSpec:
-    return last_n(n, entity="portfolio_id", date="as_of_date")
-
-
 def portfolio_returns(nav: DataFrame, spans: tuple[int, ...] = (1, 5, 20, 60)) -> DataFrame:
     w = by_date("portfolio_id", "as_of_date")
     return nav.withColumns({f"return_{n}d": simple_return("nav_per_share", F.lag("nav_per_share", n).over(w)) for n in spans})
@@ -123,12 +120,16 @@ def portfolio_returns(nav: DataFrame, spans: tuple[int, ...] = (1, 5, 20, 60)) -
 
 def portfolio_risk(nav: DataFrame) -> DataFrame:
     """Volatility, Sharpe ratio and beta over trailing rows; needs daily_return and benchmark_return."""
-    r, b, w = F.col("daily_return"), F.col("benchmark_return"), _portfolio(60)
-    vol = F.stddev_samp(r).over(w)
-    return nav.withColumns({
-        "volatility_20d": F.stddev_samp(r).over(_portfolio(20)), "volatility_60d": vol,
-        "sharpe_60d": ratio(F.avg(r).over(w) * float(TRADING_DAYS), vol * float(TRADING_DAYS) ** 0.5),
-        "beta_to_benchmark": ratio(F.covar_samp(r, b).over(w), F.var_samp(b).over(w))})
+    by = ("portfolio_id", "as_of_date")
+    # in two steps, so that what is carried of one does not widen the sorts of the other
+    short = rolling.trailing(nav, *by, 20, "daily_return", None, "_20").withColumn(
+        "volatility_20d", F.sqrt(rolling.variance("_20", "x"))).drop("_20")
+    last = rolling.trailing(short, *by, 60, "daily_return", "benchmark_return", "_60")
+    vol = F.sqrt(rolling.variance("_60", "x"))
+    return last.withColumns({
+        "volatility_60d": vol,
+        "sharpe_60d": ratio(rolling.mean("_60", "x") * float(TRADING_DAYS), vol * float(TRADING_DAYS) ** 0.5),
+        "beta_to_benchmark": ratio(rolling.covariance("_60"), rolling.variance("_60", "y"))}).drop("_60")
 
 
 def max_drawdown(nav: DataFrame, n: int = 60) -> DataFrame:
