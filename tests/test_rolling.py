@@ -66,7 +66,7 @@ def test_market_from_trades_equals_market_from_nav(spark):
     assert rows(navs.with_benchmark(nav, trades)) == rows(navs.with_benchmark(nav))
 
 
-@pytest.mark.parametrize("name", ["feat_max_drawdown", "silver_nav_alpha_beta_60"])
+@pytest.mark.parametrize("name", ["feat_max_drawdown", "silver_nav_alpha_beta_60", "gold_sector_allocation", "gold_sector_totals"])
 def test_parts_follow_the_size_of_the_trades(spark, folder, monkeypatch, name):
     monkeypatch.setattr(bindings, "PART", 4096)
     parts = [int(n) for n in re.findall(r"(\d+)\), REPARTITION_BY_NUM", plan(QUERIES[name](spark, folder)))]
