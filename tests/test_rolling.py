@@ -71,3 +71,16 @@ def test_parts_follow_the_size_of_the_trades(spark, folder, monkeypatch, name):
     monkeypatch.setattr(bindings, "PART", 4096)
     parts = [int(n) for n in re.findall(r"(\d+)\), REPARTITION_BY_NUM", plan(QUERIES[name](spark, folder)))]
     assert parts and min(parts) > 16
+
+
+def test_summary_takes_positions_to_their_day_once(spark, folder):
+    """Weight and NAV are joined in the same place, and what follows from other columns, or is text, does not travel there."""
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        text = plan(QUERIES["gold_investment_summary"](spark, folder))
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    joins = [line for line in text.splitlines() if re.search(r"SortMergeJoin \[portfolio_id#\w+, as_of_date#\w+\]", line)]
+    depths = sorted(len(line) - len(line.lstrip(" :+-")) for line in joins)
+    assert len(joins) == 2 and depths[1] - depths[0] <= 6, text
