@@ -48,6 +48,15 @@ def test_encoder_gives_the_ids_of_the_whole_text(encode):
     assert [np.frombuffer(b, "<u4").tolist() for b in encoder.batch(texts, 1000)] == [encode(t)[:-1] for t in texts]
 
 
+def test_encoder_remembers_pieces_only(encode):
+    texts = [None, "", "<|endoftext|>", "Ha word, word. words,\nHa *** word.", "Ha ñandú. ñandú, word ² word.. ×. "]
+    encoder = tokens.Encoder(tokenizer_path())
+    for _ in range(2):
+        assert [np.frombuffer(b, "<u4").tolist() for b in encoder.batch(texts)] == [encode(t)[:-1] for t in texts]
+    assert {"word", "words", "ñandú"} <= set(encoder._known)
+    assert not {"word,", "word.", "words,\nHa", "ñandú.", "ñandú,"} & set(encoder._known)
+
+
 @pytest.mark.parametrize("seed", range(6))
 def test_plan_equals_one_piece_at_a_time(seed):
     rnd = random.Random(seed)

@@ -6,6 +6,8 @@ import zlib
 
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
+from tidemark.llm.storage import kept
+
 #: ids are unsigned 32-bit; vocabularies stay below 2^31, so ORC's 32-bit integer holds them; file and place are the order
 IDS = "doc_id long, ids array<int>, file int, place long"
 #: documents a file is meant for; each is written by one task
@@ -70,7 +72,7 @@ def token_digests(files: DataFrame) -> DataFrame:
     """doc_id, start, n_tokens, ids_crc32 per document of read files.
 
     Documents are summed within their file by their places, files by their numbers, so nothing but one row per file is ever
-    in one place.
+    in one place. The files are read once.
     """
     def digest(batches):
         import numpy as np
@@ -83,7 +85,7 @@ def token_digests(files: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), batch.column(3), pa.array(np.diff(ends).astype(np.int64)),
                                               pa.array(crc, pa.int64())], ["doc_id", "file", "place", "n_tokens", "ids_crc32"])
 
-    rows = files.select("doc_id", "ids", "file", "place").mapInArrow(digest, "doc_id long, file int, place long, n_tokens long, ids_crc32 long")
+    rows = kept(files.select("doc_id", "ids", "file", "place").mapInArrow(digest, "doc_id long, file int, place long, n_tokens long, ids_crc32 long"), "token-digests")
     sums = rows.groupBy("file").agg(F.sum("n_tokens").alias("_all"))
     ahead = sums.select("file", F.coalesce(F.sum("_all").over(Window.orderBy("file").rowsBetween(
         Window.unboundedPreceding, -1)), F.lit(0)).alias("_ahead"))
