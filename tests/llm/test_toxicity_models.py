@@ -6,6 +6,7 @@ import random
 import zlib
 from collections import Counter
 
+import numpy as np
 import pytest
 
 from tidemark.llm import toxicity
@@ -112,3 +113,29 @@ def test_order_of_common_words_counts(spark):
     labels = spark.createDataFrame([(i, i % 2) for i, _ in rows], "doc_id long, toxic int")
     held = [r for r in toxicity.score(docs, labels, 0.5).collect() if r["_held_out"]]
     assert held and all(r["_predicted"] == r["doc_id"] % 2 for r in held)
+
+
+@pytest.mark.parametrize("learns", [True, False])
+def test_parts_of_pairs_sort_each_place_once(learns, monkeypatch):
+    texts = ["a b a b c", "b a b a", "c", "a b " * 50]
+    own = toxicity._Texts()
+    for i, text in enumerate(texts):
+        own.add(text, i if learns else -1, bytes(16))
+    chunk = toxicity.Chunk(next(toxicity._rows(own.row(7, learns))))
+    keys, slots, previous, current = chunk.pairs(40)
+    words, count = "abc", Counter()
+    for i, text in enumerate(texts):
+        row = text.split()
+        count.update((i, a, b) for a, b in zip([None, *row], row))
+    met = [(words[p] if p < 3 else None, words[c]) for p, c in zip(previous.tolist(), current.tolist())]
+    assert len(met) == len(keys) and set(met) == {(a, b) for _, a, b in count} and len(slots) == sum(count.values())
+    sizes, unique = [], np.unique
+    monkeypatch.setattr(np, "unique", lambda x, **more: sizes.append(len(x)) or unique(x, **more))
+    parts = [chunk.part_pairs(40, 4, part) for part in range(toxicity.PAIR_PARTS)]
+    assert sum(sizes) == len(slots)
+    assert sorted(np.concatenate([k for k, _ in parts]).tolist()) == keys.tolist()
+    if learns:
+        found = {k: t for ks, ts in parts for k, t in zip(ks.tolist(), ts.T.tolist())}
+        assert [found[k] for k in keys.tolist()] == [[count[i, a, b] for i in range(6)] for a, b in met]
+    else:
+        assert all(t is None for _, t in parts)

@@ -131,14 +131,15 @@ class _Texts:
     """Texts that become one row of ``chunks``."""
 
     def __init__(self):
-        self.number, self.runs, self.kinds, self.digests, self.size = {}, [], [], [], 0
+        from collections import defaultdict
+        from itertools import count
+        self.number, self.runs, self.kinds, self.digests, self.size = defaultdict(count().__next__), [], [], [], 0
 
     def add(self, text, kind: int, d: bytes) -> None:
         import numpy as np
-        number = self.number
-        own = [number.setdefault(w, len(number)) for w in words(text)]
+        own = words(text)
         if own:
-            self.runs.append(np.array(own, np.uint32))
+            self.runs.append(np.fromiter(map(self.number.__getitem__, own), np.uint32, len(own)))
             self.kinds.append(kind)
             self.digests.append(d)
             self.size += len(text)
@@ -159,6 +160,12 @@ def digest():
     return F.unhex(F.md5(F.col("text").cast("binary")))
 
 
+def _rows(batch):
+    """The rows of an Arrow batch one by one."""
+    for i in range(batch.num_rows):
+        yield batch.slice(i, 1).to_pylist()[0]
+
+
 class Chunk:
     """One row of ``chunks``, whose places hold pairs (previous word, word). Names are its words' keys, then 0 for the start of a text."""
 
@@ -168,24 +175,34 @@ class Chunk:
         self.names = np.append(begins[begin].astype(np.int64) << 32 | rest, 0)
         self.lengths, self.kinds = _unpack(row["lengths"], np.int64), _unpack(row["kinds"], np.int8)
         self.digests = [row["digests"][i:i + 16] for i in range(0, len(row["digests"]), 16)]
-        current = _unpack(row["seq"], np.uint32).astype(np.int64)
-        previous = np.concatenate([[len(self.names) - 1], current[:-1]])
-        previous[np.cumsum(self.lengths)[:-1]] = len(self.names) - 1
-        self.code = previous * len(self.names) + current
+        self.current = _unpack(row["seq"], np.uint32)
+        self.previous = np.concatenate([self.current[:1], self.current[:-1]])
+        self.previous[np.cumsum(self.lengths) - self.lengths] = len(self.names) - 1
+
+    def _place_keys(self, width: int):
+        """The key of the pair at each place; what depends on the previous word alone is mixed once a name."""
+        return _joined(width, self.names[self.current], _seeded(PAIR, self.names)[self.previous])
 
     def pairs(self, width: int):
         """Ascending distinct keys of its pairs, the slot among them of each place, and numbers of the previous word and the word by key."""
         import numpy as np
-        code, places = np.unique(self.code, return_inverse=True)
-        previous, current = np.divmod(code, len(self.names))
-        keys, first, slots = np.unique(_mixed(PAIR, width, self.names[current], self.names[previous]), return_index=True, return_inverse=True)
-        return keys, slots[places], previous[first], current[first]
+        keys, slots = np.unique(self._place_keys(width), return_inverse=True)
+        one = np.empty(len(keys), np.int64)
+        one[slots[::-1]] = np.arange(len(slots) - 1, -1, -1)
+        return keys, slots, self.previous[one], self.current[one]
+
+    def part_pairs(self, width: int, bits: int, part: int):
+        """Ascending distinct keys of its pairs in the ranges of one of PAIR_PARTS parts; of learning texts also how often each occurs, by kind of text.
 
-    def pair_keys(self, width: int):
-        """The first of ``pairs`` alone, without the sorts that slots take."""
+        Places are chosen before anything is sorted, so all parts together sort each place once."""
         import numpy as np
-        previous, current = np.divmod(np.unique(self.code), len(self.names))
-        return np.unique(_mixed(PAIR, width, self.names[current], self.names[previous]))
+        keys = self._place_keys(width)
+        own = (keys >> np.uint64(width - bits)) % np.uint64(PAIR_PARTS) == part
+        if (self.kinds < 0).any():
+            return np.unique(keys[own]), None
+        keys, slots = np.unique(keys[own], return_inverse=True)
+        kinds = np.repeat(self.kinds, self.lengths)[own]
+        return keys, np.stack([np.bincount(slots[kinds == kind], minlength=len(keys)) for kind in range(2 * len(FOLDS))])
 
     def entries(self, width: int):
         """Ascending distinct keys of its names and their beginnings, and the slots among them of both, by name."""
@@ -193,12 +210,6 @@ class Chunk:
         keys, slots = np.unique(np.concatenate([_mixed(WORD, width, self.names), _mixed(BEGIN, width, self.names >> 32)]), return_inverse=True)
         return keys, *np.split(slots, 2)
 
-    def tallies(self, slots, n: int):
-        """How often each key occurs, by kind of text."""
-        import numpy as np
-        kinds = np.repeat(self.kinds, self.lengths)
-        return np.stack([np.bincount(slots[kinds == kind], minlength=n) for kind in range(2 * len(FOLDS))])
-
 
 def _by_range(keys, width: int, bits: int):
     """(range, slice) of ascending keys of ``width`` bits; the range is their first ``bits``."""
@@ -251,13 +262,11 @@ def pair_answers(texts: DataFrame, width: int, bits: int, part: int) -> DataFram
     gathered in one task. A chunk sends at most one row a range, and no more rows than it has pairs.
     """
     def asked(batches):
-        import numpy as np
         for batch in batches:
-            for row in batch.to_pylist():
+            for row in _rows(batch):
                 chunk = Chunk(row)
-                keys, slots, *_ = chunk.pairs(width) if row["learns"] else (chunk.pair_keys(width), None)
-                dealt = [(b, own) for b, own in _by_range(keys, width, bits) if b % PAIR_PARTS == part]
-                tallies = chunk.tallies(slots, len(keys)).astype(np.int64) if row["learns"] else None
+                keys, tallies = chunk.part_pairs(width, bits, part)
+                dealt = _by_range(keys, width, bits)
                 yield _requests([b for b, _ in dealt], row["chunk"], row["learns"], [_pack_keys(keys[own]) for _, own in dealt],
                                 [_pack(tallies[:, own]) if row["learns"] else None for _, own in dealt])
 
@@ -305,18 +314,29 @@ def word_counts(texts: DataFrame, answers: DataFrame, width: int) -> DataFrame:
     return rows.groupBy("w").agg(*(F.sum(c).alias(c) for c in ENTRY))
 
 
-def _mixed(kind: int, width: int, w, v=0):
-    """Keys of ``width`` bits of entries: splitmix64 of the kind of entry, a word or beginning, and the word before it."""
+def _mix(x):
     import numpy as np
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
 
-    def mix(x):
-        x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-        x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-        return x ^ (x >> np.uint64(31))
 
-    w, v = (np.atleast_1d(np.asarray(x, np.int64)).view(np.uint64) for x in (w, v))
+def _seeded(kind: int, v):
+    """What the kind of entry and the word before add to a key."""
+    import numpy as np
     with np.errstate(over="ignore"):
-        return mix(mix(v + np.uint64(0x9E3779B97F4A7C15) * np.uint64(kind + 1)) ^ w) >> np.uint64(64 - width)
+        return _mix(np.atleast_1d(np.asarray(v, np.int64)).view(np.uint64) + np.uint64(0x9E3779B97F4A7C15) * np.uint64(kind + 1))
+
+
+def _joined(width: int, w, seed):
+    import numpy as np
+    with np.errstate(over="ignore"):
+        return _mix(seed ^ np.atleast_1d(np.asarray(w, np.int64)).view(np.uint64)) >> np.uint64(64 - width)
+
+
+def _mixed(kind: int, width: int, w):
+    """Keys of ``width`` bits of entries: splitmix64 of the kind of entry and a word or beginning."""
+    return _joined(width, w, _seeded(kind, 0))
 
 
 class Model:
@@ -383,7 +403,7 @@ def entry_answers(texts: DataFrame, words_: DataFrame, beginnings: DataFrame, wi
 
     def asked(batches):
         for batch in batches:
-            for row in batch.to_pylist():
+            for row in _rows(batch):
                 keys, *_ = Chunk(row).entries(width)
                 dealt = _by_range(keys, width, bits)
                 yield _requests([b for b, _ in dealt], row["chunk"], row["learns"], [_pack_keys(keys[own]) for _, own in dealt], [None] * len(dealt))
