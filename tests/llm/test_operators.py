@@ -186,6 +186,21 @@ def test_similar_groups(spark):
     assert ngram_join.similar_groups(docs.limit(0)).count() == 0
 
 
+def test_similar_groups_compares_few_pairs_of_near_copies(spark, monkeypatch):
+    rnd = random.Random(8)
+    base, asked, common = [f"w{i}" for i in range(120)], [], ngram_join._common
+
+    def counted(pairs, *rest):
+        asked.append(pairs.count())
+        return common(pairs, *rest)
+
+    monkeypatch.setattr(ngram_join, "_common", counted)
+    rows = [(i, " ".join(base[:(k := rnd.randrange(120))] + [f"x{i}"] + base[k + 1:])) for i in range(150)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert {r[0] for r in ngram_join.similar_groups(docs).select("component_id").collect()} == {0}
+    assert sum(asked) < 10 * len(rows)
+
+
 def test_components(spark):
     rnd = random.Random(2)
     edges = [(i, i + 1) for i in range(100, 160)] + [(500, x) for x in range(501, 560)] + [(rnd.randrange(60), rnd.randrange(60)) for _ in range(40)]

@@ -262,10 +262,36 @@ def _pivots(members: DataFrame, most: int, turn: int) -> DataFrame:
     return members.where(~F.col("inner") & (mark.cast("double") * most < float(PIVOTS) * (1 << 62))).select("cell", F.col("x").alias("p"))
 
 
+def _stars(cells: DataFrame, lookup, compared: DataFrame, rule: Threshold) -> tuple[DataFrame, DataFrame]:
+    """(cells, compared): (cell, x, inner), where all inner members of a cell are connected by links found here.
+
+    Members are compared with one member of their cell, the least by a hash of the round, which is the same one in most
+    of the cells that near copies share; so a round takes a row per membership and few pairs a set. The members of a cell's
+    largest component are its inner ones. Rounds go on among the others as long as each halves their memberships.
+    """
+    before, cells = None, cells.withColumn("inner", F.lit(False))
+    for turn in itertools.count():
+        cells = kept(cells, "cells")
+        others = cells.where(~F.col("inner"))
+        left = others.count()
+        if not left or before is not None and 2 * left > before:
+            return cells, compared
+        before = left
+        pivots = others.groupBy("cell").agg(F.min(F.struct(F.xxhash64(F.lit(turn), "x").alias("h"), "x")).alias("m")).select("cell", F.col("m.x").alias("p"))
+        star = others.join(pivots, "cell").where("x <> p").select(*_ordered(F.col("x"), F.col("p"))).distinct()
+        asked = kept(star.join(compared.select("x", "y"), ["x", "y"], "left_anti"), "asked")
+        compared = kept(compared.union(lookup(asked)), "compared")
+        known = components(_links(compared, rule), "connected").withColumnRenamed("node", "x")
+        named = kept(cells.join(known, "x", "left").select("cell", "x", F.coalesce("component", "x").alias("c")), "named")
+        largest = (named.groupBy("cell", "c").agg(F.count(F.lit(1)).alias("n")).groupBy("cell").agg(F.max(F.struct("n", "c")).alias("m"))
+                   .select("cell", F.col("m.c").alias("top")))
+        cells = named.join(largest, "cell").select("cell", "x", (F.col("c") == F.col("top")).alias("inner"))
+
+
 def _large_regions(cells: DataFrame, lookup, rule: Threshold) -> DataFrame:
     """Links that connect whatever links connect within large regions (cell, x), found by pivots.
 
-    Round by round: a cell of at most SMALL_REGION members is joined as it is. In others all members are compared with
+    First ``_stars`` connects near copies. Then, round by round: a cell of at most SMALL_REGION members is joined as it is. In others all members are compared with
     some members as pivots, which are then done. The pivots' Voronoi regions are the next cells: a member goes to its
     nearest pivot's and to those of pivots at most twice the distance limit further, as a partner's nearest pivot can be.
     Links found so far connect members with their cell's pivot or not. Two connected ones need no comparison, so a cell
@@ -277,7 +303,7 @@ def _large_regions(cells: DataFrame, lookup, rule: Threshold) -> DataFrame:
     limit = 1 - rule.share / 100 + 1e-9
     spark = cells.sparkSession
     compared = kept(spark.createDataFrame([], "x long, y long, common long, x_size long, y_size long"), "compared")
-    cells = cells.withColumn("inner", F.lit(False))
+    cells, compared = _stars(cells, lookup, compared, rule)
     for turn in itertools.count():
         cells = kept(cells, "cells")
         sizes = kept(cells.groupBy("cell").agg(F.count(F.lit(1)).alias("size"), F.sum((~F.col("inner")).cast("long")).alias("outer"))
