@@ -255,6 +255,25 @@ def test_url_rules_and_reputation(spark):
     assert url_filters.judge(pages.limit(0), outcomes.limit(0), RULES).count() == 0
 
 
+def test_mixing_sorts_the_ranges_of_cuts_alone(spark):
+    """Rows equal a plain running sum over keys; no other window than that within a cut's range is over documents."""
+    rng = random.Random(3)
+    rows = [(i // 2 if i % 7 == 0 else i, " ".join("w" * (1 + rng.randrange(9)) for _ in range(rng.randrange(30))), "en", rng.choice(["a", "b", "c", None]), 0)
+            for i in range(3000)]
+    mixed = mixing.mix(spark.createDataFrame(rows, DOCS), WEIGHTS, CAP)
+    plan = mixed._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Window [") == 1 and "SortMergeJoin" not in mixed._jdf.queryExecution().executedPlan().toString()
+    got = collected(mixed, "doc_id", "source", "_size", "_taken")
+    target = {r["source"]: (r["_source_size"], int(r["_target"] // 1)) for r in mixed.select("source", "_source_size", "_target").distinct().collect()}
+    want, at = [], {}
+    for doc_id, text, _, source, _ in sorted(rows, key=lambda r: (hashlib.md5(str(r[0]).encode()).hexdigest(), r[0], len(r[1].split()))):
+        n, (whole, budget) = len(text.split()), target[source]
+        epochs, rest = divmod(budget, whole)
+        want.append((doc_id, source, n, epochs * n + min(max(rest - at.get(source, 0), 0), n)))
+        at[source] = at.get(source, 0) + n
+    assert got == sorted(want, key=repr) and all(sum(r[3] for r in got if r[1] == s) == b for s, (_, b) in target.items())
+
+
 def test_mixing(spark, odd_docs):
     got = mixing.mix(odd_docs, WEIGHTS, CAP)
     assert got.columns.count("_taken") == 1 and "_key" in got.columns
