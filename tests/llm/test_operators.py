@@ -201,6 +201,37 @@ def test_similar_groups_compares_few_pairs_of_near_copies(spark, monkeypatch):
     assert sum(asked) < 10 * len(rows)
 
 
+def test_sketches_bound_what_sets_share():
+    rnd = np.random.default_rng(4)
+    for size, other in ((5, 6), (90, 100), (300, 1200), (9000, 9500)):
+        both = rnd.integers(0, 1 << 63, size // 2, dtype=np.uint64)
+        one, two = (np.unique(np.concatenate([both, rnd.integers(0, 1 << 63, n - len(both), dtype=np.uint64)])) for n in (size, other))
+        differ = ngram_join._differences([ngram_join._sketch(one), ngram_join._sketch(one)], [ngram_join._sketch(two), ngram_join._sketch(one), ngram_join._sketch(two)])
+        assert differ.shape == (2, 3) and (differ[:, 1] == 0).all()
+        assert (differ[:, 0] == differ[:, 2]).all() and 0 < differ[0, 0] <= len(np.setxor1d(one, two))
+
+
+def test_large_regions_compare_only_what_may_link_components(spark):
+    """Cells of the same members are one, near copies cost no pairs among themselves, and each open pair of similar sets is found."""
+    rnd = random.Random(12)
+    base = [f"w{i}" for i in range(200)]
+    sets = {i: base[:(k := rnd.randrange(200))] + [f"x{i}"] + base[k + 1:] for i in range(600)}
+    sets |= {600: base[:190] + [f"y{i}" for i in range(10)], 601: base[:60] + [f"z{i}" for i in range(140)], 602: base[:60] + [f"z{i}" for i in range(139)] + ["end"]}
+    cells = spark.createDataFrame([(cell, x) for cell in (1, 2) for x in sets] + [(3, 601), (3, 602), (4, 5)], "cell long, x long")
+    cells = ngram_join._distinct_cells(cells)
+    assert cells.groupBy("cell").count().count() == 2
+    named = cells.withColumn("c", F.when(F.col("x") < 600, 0).otherwise(F.col("x")))
+    sketches = ngram_join._sketches(spark.createDataFrame([(x, " ".join(words)) for x, words in sets.items()], "set_id long, text string"), 5)
+    prints = {x: set(ngram_join.shingle_set(" ".join(words)).tolist()) for x, words in sets.items()}
+    rule = ngram_join.Threshold(75)
+    linked = {(x, y) for x in prints for y in (600, 601, 602) if x < y and rule.linked(len(prints[x] & prints[y]), len(prints[x]), len(prints[y]))}
+    every = {tuple(r) for r in ngram_join._across(named, sketches, rule, False).collect()}
+    assert linked <= every and (601, 602) in linked and all(y >= 600 for _, y in every) and len(every) < 700
+    closest = {tuple(r) for r in ngram_join._across(named, sketches, rule, True).collect()}
+    assert closest <= every and (601, 602) in closest and len(closest) <= 3 and {y for _, y in closest} == {y for _, y in every}
+    assert ngram_join._star(named, 0).count() <= len(sets)
+
+
 def test_components(spark):
     rnd = random.Random(2)
     edges = [(i, i + 1) for i in range(100, 160)] + [(500, x) for x in range(501, 560)] + [(rnd.randrange(60), rnd.randrange(60)) for _ in range(40)]

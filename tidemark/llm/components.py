@@ -36,14 +36,14 @@ def components(edges: DataFrame, label: str = "components") -> DataFrame:
     """(node, component) for every node of ``edges`` (two columns of longs): the smallest node reachable.
 
     Alternating large-star and small-star steps: each node's larger, then smaller, neighbours are linked to the smallest
-    one it knows, until the table is stars. Every step is an aggregate and a join on nodes, whose tables are written to
+    one it knows, and each batch of links is contracted by itself, until the table is stars. Every step is an aggregate and a join on nodes, whose tables are written to
     the shared folder and read back, so a node with very many links is cut up by the skew join and nothing is
     recomputed. Links to itself and null ends are left out; an empty table gives no rows. Rounds go on until one changes
     nothing, some logarithm of the table's size; there is no limit to their number.
     """
     a, b = edges.columns[:2]
     edges = edges.select(F.greatest(a, b).alias("a"), F.least(a, b).alias("b")).where(f"`{a}` is not null and `{b}` is not null and a <> b")
-    edges = kept(_forest(edges).distinct(), label)
+    edges = kept(_forest(_forest(edges).distinct()).distinct(), label)
     before = None
     while True:
         both = edges.union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
@@ -53,7 +53,7 @@ def components(edges: DataFrame, label: str = "components") -> DataFrame:
         least = large.groupBy("a").agg(F.min("b").alias("m"))
         moved = large.join(least, "a")
         small = moved.where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
-        last, edges = edges, kept(least.select("a", F.col("m").alias("b")).union(small).distinct(), label)
+        last, edges = edges, kept(_forest(least.select("a", F.col("m").alias("b")).union(small).distinct()).distinct(), label)
         dropped(last, large)
         now = tuple(edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
         if now == before or not now[0]:

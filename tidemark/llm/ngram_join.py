@@ -1,11 +1,10 @@
 """Exact Jaccard self-join of word shingles in metric-space regions.
 
 In the Jaccard metric two texts without a common shingle are at distance 1 from each other, whatever pivots they are
-compared with, so document pivots alone cannot tell unrelated texts apart. The first pivots are therefore shingles: the
-region of a shingle holds the documents that have it among the shingles they must share with any partner (their least
-ones in a common order). Regions of few documents are joined as they are. In larger ones a document is dealt to its
-nearest pivot document and, as far as the triangle inequality asks for it, to others, and these regions are joined in
-the same way.
+compared with, so document pivots cannot tell unrelated texts apart. The pivots are therefore shingles: the region of a
+shingle holds the documents that have it among the shingles they must share with any partner (their least ones in a
+common order). Regions of few documents are joined as they are. In larger ones documents that their stars do not connect
+are compared by sketches that bound the common shingles from above, and on their texts where these leave them open.
 """
 
 from __future__ import annotations
@@ -19,10 +18,10 @@ from tidemark.llm.shingling import Fingerprints, split_words, word_hashes
 from tidemark.llm.storage import each, kept, set_aside
 
 SHINGLE = 5
-#: documents of a region that are joined without pivots
+#: documents of a region that are joined as they are
 SMALL_REGION = 32
-#: pivots of the largest region in one round, on average
-PIVOTS = 128
+#: members of a large region that a task compares with as many others, about, and bits of a sketch at most
+BLOCK, MOST_BITS = 256, 1 << 15
 #: entries (shingle, document) meant for one bucket
 BUCKET_ENTRIES = 1_000_000
 #: pairs whose sets are in a task's memory together
@@ -246,102 +245,153 @@ def _ordered(x, y):
     return F.least(x, y).alias("x"), F.greatest(x, y).alias("y")
 
 
-def _all_pairs(cells: DataFrame) -> DataFrame:
-    """Pairs x < y within cells of at most SMALL_REGION members, but for two that are connected to the cell's pivot."""
-    groups = cells.groupBy("cell").agg(F.collect_set(F.struct("x", "inner")).alias("xs"))
-    pairs = groups.select(F.explode("xs").alias("a"), "xs").select("a", F.explode("xs").alias("b")).where("a.x < b.x and not (a.inner and b.inner)")
-    return pairs.select(F.col("a.x").alias("x"), F.col("b.x").alias("y"))
+def _distinct_cells(cells: DataFrame) -> DataFrame:
+    """One cell of those that have the same members, by two hashes of them; cells of one member are left out."""
+    alike = (cells.groupBy("cell").agg(F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("x").cast("decimal(38,0)")).alias("one"), F.bit_xor(F.xxhash64(F.lit(1), "x")).alias("two"))
+             .where("n > 1").groupBy("n", "one", "two").agg(F.min("cell").alias("cell")))
+    return cells.join(alike, "cell", "left_semi")
 
 
-def _pivots(members: DataFrame, most: int, turn: int) -> DataFrame:
-    """(cell, p): members not yet connected to their cell's pivot, by a hash of the round, about PIVOTS in the largest cell.
+def _sketch(prints) -> bytes:
+    """Parities of the numbers of shingles that fall on each bit, some 4 bits a shingle.
 
-    A set is a pivot in all its cells or in none, so a pivot has met all it shares a cell with and is done for good.
+    Two sets' sketches differ in no more bits than the sets in shingles; one folded in half is the sketch of half the bits.
     """
-    mark = F.xxhash64(F.lit(turn), "x").bitwiseAND(F.lit((1 << 62) - 1))
-    return members.where(~F.col("inner") & (mark.cast("double") * most < float(PIVOTS) * (1 << 62))).select("cell", F.col("x").alias("p"))
+    import numpy as np
+    bits = min(MOST_BITS, max(512, 1 << (4 * len(prints) - 1).bit_length()))
+    return np.packbits((np.bincount((prints & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1).astype(np.uint8), bitorder="little").tobytes()
+
 
+def _sketches(texts: DataFrame, width: int) -> DataFrame:
+    """(x, size, sketch) of sets (set_id, text)."""
+    def rows(batches):
+        import pyarrow as pa
+        for batch in batches:
+            found = []
+            for x, text in zip(*(each(c) for c in batch.columns)):
+                prints = shingle_set(text, width)
+                found.append((x, len(prints), _sketch(prints)))
+            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in found], t) for i, t in enumerate((pa.int64(), pa.int64(), pa.binary()))], ["x", "size", "sketch"])
 
-def _stars(cells: DataFrame, lookup, compared: DataFrame, rule: Threshold) -> tuple[DataFrame, DataFrame]:
-    """(cells, compared): (cell, x, inner), where all inner members of a cell are connected by links found here.
+    return texts.select("set_id", "text").mapInArrow(rows, "x long, size long, sketch binary")
 
-    Members are compared with one member of their cell, the least by a hash of the round, which is the same one in most
-    of the cells that near copies share; so a round takes a row per membership and few pairs a set. The members of a cell's
-    largest component are its inner ones. Rounds go on among the others as long as each halves their memberships.
+
+def _differences(one: list, two: list):
+    """Bits that two lists of sketches of any lengths differ in, the longer one folded: a matrix."""
+    import numpy as np
+    out = np.zeros((len(one), len(two)), np.int64)
+    lengths = [np.array([len(s) for s in side]) for side in (one, two)]
+    for a in np.unique(lengths[0]):
+        for b in np.unique(lengths[1]):
+            at = [np.flatnonzero(own == n) for own, n in zip(lengths, (a, b))]
+            words = []
+            for side, own in zip((one, two), at):
+                block = np.frombuffer(b"".join(side[i] for i in own), np.uint64).reshape(len(own), -1)
+                while block.shape[1] * 8 > min(a, b):
+                    half = block.shape[1] // 2
+                    block = block[:, :half] ^ block[:, half:]
+                words.append(block)
+            step = max(1, (8 << 20) // (len(at[1]) * int(min(a, b))))
+            for start in range(0, len(at[0]), step):
+                part = words[0][start:start + step]
+                out[np.ix_(at[0][start:start + step], at[1])] = np.bitwise_count(part[:, None, :] ^ words[1][None, :, :]).sum(axis=2, dtype=np.int64)
+    return out
+
+
+def _across(named: DataFrame, sketches: DataFrame, rule: Threshold, closest: bool) -> DataFrame:
+    """Pairs x < y of sets that share a cell (cell, x, c), not a component c, and may be similar by their sizes and sketches.
+
+    With ``closest`` one pair a set, that whose sketches differ least. A cell's largest component is never compared with
+    itself, so a cell of near copies costs its members times the others; both are dealt into blocks of about BLOCK, and a
+    task holds two blocks.
     """
-    before, cells = None, cells.withColumn("inner", F.lit(False))
-    for turn in itertools.count():
-        cells = kept(cells, "cells")
-        others = cells.where(~F.col("inner"))
-        left = others.count()
-        if not left or before is not None and 2 * left > before:
-            return cells, compared
-        before = left
-        pivots = others.groupBy("cell").agg(F.min(F.struct(F.xxhash64(F.lit(turn), "x").alias("h"), "x")).alias("m")).select("cell", F.col("m.x").alias("p"))
-        star = others.join(pivots, "cell").where("x <> p").select(*_ordered(F.col("x"), F.col("p"))).distinct()
-        asked = kept(star.join(compared.select("x", "y"), ["x", "y"], "left_anti"), "asked")
-        compared = kept(compared.union(lookup(asked)), "compared")
-        known = components(_links(compared, rule), "connected").withColumnRenamed("node", "x")
-        named = kept(cells.join(known, "x", "left").select("cell", "x", F.coalesce("component", "x").alias("c")), "named")
-        largest = (named.groupBy("cell", "c").agg(F.count(F.lit(1)).alias("n")).groupBy("cell").agg(F.max(F.struct("n", "c")).alias("m"))
-                   .select("cell", F.col("m.c").alias("top")))
-        cells = named.join(largest, "cell").select("cell", "x", (F.col("c") == F.col("top")).alias("inner"))
-
-
-def _large_regions(cells: DataFrame, lookup, rule: Threshold) -> DataFrame:
-    """Links that connect whatever links connect within large regions (cell, x), found by pivots.
-
-    First ``_stars`` connects near copies. Then, round by round: a cell of at most SMALL_REGION members is joined as it is. In others all members are compared with
-    some members as pivots, which are then done. The pivots' Voronoi regions are the next cells: a member goes to its
-    nearest pivot's and to those of pivots at most twice the distance limit further, as a partner's nearest pivot can be.
-    Links found so far connect members with their cell's pivot or not. Two connected ones need no comparison, so a cell
-    ends when all are, pivots are taken from the others, and of the connected ones only those stay whose distance to the
-    pivot is at least the least of the others' less the limit, as the triangle inequality asks of partners. Regions of
-    one pivot are one cell, from whatever cells they come. Every round is done with about PIVOTS
-    members of the largest cell, so it ends, after however many rounds.
+    parts = named.groupBy("cell", "c").agg(F.count(F.lit(1)).alias("n"))
+    tops = (parts.groupBy("cell").agg(F.max(F.struct("n", "c")).alias("m"), F.sum("n").alias("all")).where("all > m.n")
+            .select("cell", F.col("m.c").alias("top"), F.ceil(F.col("m.n") / BLOCK).alias("ib"), F.ceil((F.col("all") - F.col("m.n")) / BLOCK).alias("ob")))
+    rows = named.join(tops, "cell").join(sketches, "x").withColumn("inner", F.col("c") == F.col("top"))
+    rows = rows.withColumn("block", F.pmod(F.xxhash64("x"), F.when(F.col("inner"), F.col("ib")).otherwise(F.col("ob"))))
+    rows = rows.withColumn("place", F.when(F.col("inner"), F.col("ob") + F.col("block")).otherwise(F.col("block")))
+    ahead = F.transform(F.sequence(F.lit(0).cast("long"), F.when(F.col("inner"), F.col("ob") - 1).otherwise(F.col("place"))), lambda i: F.struct(i.alias("i"), F.col("place").alias("j")))
+    behind = F.transform(F.sequence(F.col("place"), F.col("ob") + F.col("ib") - 1), lambda j: F.struct(F.col("place").alias("i"), j.alias("j")))
+    both = F.when(F.col("inner"), ahead).otherwise(F.array_distinct(F.concat(ahead, behind)))
+    dealt = rows.withColumn("g", F.explode(both)).select("cell", F.col("g.i").alias("i"), F.col("g.j").alias("j"), "place", "inner", "x", "c", "size", "sketch")
+
+    def compared(members):
+        import numpy as np
+        import pyarrow as pa
+        x, c, size, place, inner = (members[k].to_numpy() for k in ("x", "c", "size", "place", "inner"))
+        i, j = members["i"][0].as_py(), members["j"][0].as_py()
+        sketch = members["sketch"].to_pylist()
+        left, right = np.flatnonzero(place == i), np.flatnonzero(place == j)
+        out = [np.empty(0, np.int64)] * 3
+        if len(left) and len(right):
+            total, apart = size[left][:, None] + size[right][None, :], np.minimum(size[left][:, None], size[right][None, :])
+            open_ = (c[left][:, None] != c[right][None, :]) & (100 * apart >= rule.share * (total - apart))
+            if open_.any():
+                differ = _differences([sketch[k] for k in left], [sketch[k] for k in right])
+                common = (total - differ) // 2
+                open_ &= 100 * common >= rule.share * (total - common)
+                score = np.where(open_, 1_000_000 * differ // total, 1 << 40)
+                if closest:
+                    best, back, own = score.argmin(axis=1), score.argmin(axis=0), np.flatnonzero(~inner[right])
+                    p, q = np.concatenate([np.arange(len(left)), back[own]]), np.concatenate([best, own])
+                    out = [np.concatenate([x[left], x[right[own]]]), np.concatenate([x[right[best]], x[left[back[own]]]]), score[p, q]]
+                    met = out[2] < 1 << 40
+                    out = [v[met] for v in out]
+                else:
+                    p, q = np.nonzero(open_)
+                    out = [x[left[p]], x[right[q]], score[p, q]]
+        return pa.table([pa.array(v, pa.int64()) for v in out], ["x", "y", "score"])
+
+    found = dealt.groupBy("cell", "i", "j").applyInArrow(compared, "x long, y long, score long")
+    if closest:
+        found = found.groupBy("x").agg(F.min(F.struct("score", "y")).alias("m")).select("x", F.col("m.y").alias("y"))
+    return found.select(*_ordered(F.col("x"), F.col("y"))).distinct()
+
+
+def _star(named: DataFrame, turn: int) -> DataFrame:
+    """Pairs x < y: a set with the member that most of its cells have as their least by a hash of the round, if that is of another component.
+
+    So a round takes a row per membership and one pair a set.
     """
-    limit = 1 - rule.share / 100 + 1e-9
+    pivots = (named.groupBy("cell").agg(F.min(F.struct(F.xxhash64(F.lit(turn), "x").alias("h"), F.col("x").alias("p"), F.col("c").alias("pc"))).alias("m"),
+                                        F.min("c").alias("low"), F.max("c").alias("high")).where("low < high").select("cell", "m.p", "m.pc"))
+    met = named.join(pivots, "cell").where("c <> pc").groupBy("x", "p").agg(F.count(F.lit(1)).alias("n"))
+    return met.groupBy("x").agg(F.max(F.struct("n", "p")).alias("m")).select(*_ordered(F.col("x"), F.col("m.p"))).distinct()
+
+
+def _large_regions(cells: DataFrame, sketches: DataFrame, lookup, rule: Threshold) -> DataFrame:
+    """Links that connect whatever links connect within large regions (cell, x).
+
+    Cells of the same members are one. First near copies are connected: round by round a set is compared with one member
+    of another component, chosen by ``_star`` and then by its sketch, as long as a quarter of those pairs are links. Then
+    all pairs of different components that share a cell and that sizes and sketches leave open are compared on their
+    texts. Sketches bound the number of common shingles from above, so no link is lost.
+    """
+    cells = kept(_distinct_cells(cells), "cells")
     spark = cells.sparkSession
     compared = kept(spark.createDataFrame([], "x long, y long, common long, x_size long, y_size long"), "compared")
-    cells, compared = _stars(cells, lookup, compared, rule)
+    stage, named = "star", cells.withColumn("c", F.col("x"))
     for turn in itertools.count():
-        cells = kept(cells, "cells")
-        sizes = kept(cells.groupBy("cell").agg(F.count(F.lit(1)).alias("size"), F.sum((~F.col("inner")).cast("long")).alias("outer"))
-                     .where("size > 1 and outer > 0"), "cell-sizes")
-        if sizes.isEmpty():
+        named = kept(named, "named")
+        pairs = _star(named, turn) if stage == "star" else _across(named, sketches, rule, stage == "closest")
+        asked = kept(pairs.join(compared.select("x", "y"), ["x", "y"], "left_anti"), "asked")
+        found = kept(lookup(asked), "found")
+        compared = kept(compared.union(found), "compared")
+        if stage == "all":
             return _links(compared, rule)
-        cells = cells.join(sizes, "cell")
-        large = cells.where(F.col("size") > SMALL_REGION)
-        most = sizes.agg(F.max("outer")).first()[0]
-        pivots = kept(_pivots(large, most, turn), "pivots")
-        to_pivot = kept(large.select("cell", "x").join(pivots, "cell"), "to-pivots")
-        star = to_pivot.where("x <> p").select(*_ordered(F.col("x"), F.col("p")))
-        asked = _all_pairs(cells.where(F.col("size") <= SMALL_REGION)).union(star).distinct()
-        asked = kept(asked.join(compared.select("x", "y"), ["x", "y"], "left_anti"), "asked")
-        compared = kept(compared.union(lookup(asked)), "compared")
-        known = components(_links(compared, rule), "connected")
-        rest = to_pivot.join(pivots.withColumnRenamed("p", "x"), ["cell", "x"], "left_anti")
-        union = F.col("x_size") + F.col("y_size") - F.col("common")
-        distance = compared.select(F.col("x").alias("one"), F.col("y").alias("two"), (1 - F.col("common") / union).alias("d"))
-        rest = (rest.withColumns({"one": F.least("x", "p"), "two": F.greatest("x", "p")}).join(distance, ["one", "two"])
-                .select("cell", "x", "p", "d"))
-        home = rest.groupBy("cell", "x").agg(F.min("d").alias("nearest"))
-        dealt = rest.join(home, ["cell", "x"]).where(F.col("d") <= F.col("nearest") + 2 * limit).groupBy("p", "x").agg(F.min("d").alias("d"))
-        one, two = (known.select(F.col("node").alias(k), F.col("component").alias(f"{k}_c")) for k in ("x", "p"))
-        dealt = kept(dealt.join(one, "x", "left").join(two, "p", "left").select(
-            F.col("p").alias("cell"), "x", "d", (F.coalesce("x_c", "x") == F.coalesce("p_c", "p")).alias("inner")), "dealt")
-        others = dealt.where("not inner").groupBy("cell").agg(F.min("d").alias("least"))
-        waiting = large.select("cell", "x", "inner").join(pivots.select("cell").distinct(), "cell", "left_anti")
-        cells = (dealt.join(others, "cell").where(~F.col("inner") | (F.col("d") >= F.col("least") - limit))
-                 .select("cell", "x", "inner").union(waiting))
+        if 4 * _links(found, rule).count() <= asked.count():
+            stage = "closest" if stage == "star" else "all"
+        known = components(_links(compared, rule), "connected").withColumnRenamed("node", "x")
+        named = cells.join(known, "x", "left").select("cell", "x", F.coalesce("component", "x").alias("c"))
 
 
 def _rarest_first(texts: DataFrame, rule: Threshold, width: int) -> DataFrame:
     """(cell, x): each set (set_id, text) in the regions of its rarest shingles, as many as it takes to meet all partners.
 
     All sets order their shingles alike, by the number of ``texts`` that have them, so a region of many sets only holds
-    those that consist of frequent shingles for the most part. One row per shingle and set is counted and joined back;
-    only the shingles of one set are ever gathered.
+    those that consist of frequent shingles for the most part. One row per shingle and set is counted, and shingles of
+    more than one set are joined back; a set's others come first in its order. Only the shingles of one set are ever gathered.
     """
     def rows(batches):
         import numpy as np
@@ -352,12 +402,14 @@ def _rarest_first(texts: DataFrame, rule: Threshold, width: int) -> DataFrame:
             least = [n - rule.common(n) + 1 for n in size]
             prints = np.concatenate([p for _, p in found]) if found else np.empty(0, np.int64)
             yield pa.RecordBatch.from_arrays([pa.array(np.repeat(np.array([x for x, _ in found], np.int64), size)), pa.array(prints),
-                                              pa.array(np.repeat(np.array(least, np.int32), size))], ["x", "cell", "least"])
+                                              pa.array(np.repeat(np.array(size, np.int32), size)), pa.array(np.repeat(np.array(least, np.int32), size))],
+                                             ["x", "cell", "size", "least"])
 
-    all_rows = texts.select("set_id", "text").mapInArrow(rows, "x long, cell long, least int")
-    often = kept(all_rows.groupBy("cell").agg(F.count(F.lit(1)).alias("often")), "shingle-counts")
-    ordered = (all_rows.join(often, "cell").groupBy("x", "least").agg(F.array_sort(F.collect_list(F.struct("often", "cell"))).alias("cells")))
-    return ordered.select("x", F.explode(F.slice("cells", F.lit(1), F.col("least"))).alias("c")).where("c.often > 1").select(F.col("c.cell").alias("cell"), "x")
+    all_rows = texts.select("set_id", "text").mapInArrow(rows, "x long, cell long, size int, least int")
+    often = kept(all_rows.groupBy("cell").agg(F.count(F.lit(1)).alias("often")).where("often > 1"), "shingle-counts")
+    ordered = all_rows.join(often, "cell").groupBy("x", "size", "least").agg(F.array_sort(F.collect_list(F.struct("often", "cell"))).alias("cells"))
+    left = F.greatest(F.col("least") - (F.col("size") - F.size("cells")), F.lit(0))
+    return ordered.select("x", F.explode(F.slice("cells", F.lit(1), left)).alias("c")).select(F.col("c.cell").alias("cell"), "x")
 
 
 def similar_groups(docs: DataFrame, share: int = 75, width: int = SHINGLE) -> DataFrame:
@@ -369,7 +421,7 @@ def similar_groups(docs: DataFrame, share: int = 75, width: int = SHINGLE) -> Da
     SMALL_REGION sets are left out by count, and each other pair is compared on its whole texts unless links found
     before connect it. Sets whose prefix has more shingles
     of large regions than partners share anyhow take the regions of their rarest shingles instead; those that are large
-    all the same, of sets with many near copies, are joined by pivots. Null, empty and wordless texts have no shingles, link with nothing and are their own component; rows with
+    all the same, of sets with many near copies, are joined by stars and sketches. Null, empty and wordless texts have no shingles, link with nothing and are their own component; rows with
     a null id link with nothing; rows of one id may be in two components. An empty table gives no rows.
     """
     rule = Threshold(share)
@@ -395,14 +447,15 @@ def similar_groups(docs: DataFrame, share: int = 75, width: int = SHINGLE) -> Da
     crowd = kept(sized.where("crowded").select("set_id"), "crowded")
     wanted = pairs.select("x").union(pairs.select("y")).union(crowd).distinct().withColumnRenamed("x", "set_id")
     texts = _texts_of(docs, sets, wanted)
-    cells = _rarest_first(texts.join(crowd, "set_id", "left_semi"), rule, width)
+    crowded = kept(texts.join(crowd, "set_id", "left_semi"), "crowded-texts")
+    cells, sketches = _rarest_first(crowded, rule, width), kept(_sketches(crowded, width), "sketches")
 
-    def lookup(asked: DataFrame) -> DataFrame:
+    def lookup(asked: DataFrame, texts: DataFrame = texts) -> DataFrame:
         return _common(asked, texts, width)
 
     both = pairs.union(pairs.select("y", "x", "n"))
     best = both.groupBy("x").agg(F.max(F.struct("n", "y")).alias("b")).select(*_ordered(F.col("x"), F.col("b.y"))).distinct()
-    links = kept(_links(lookup(best), rule).union(_large_regions(cells, lookup, rule)), "links")
+    links = kept(_links(lookup(best), rule).union(_large_regions(cells, sketches, lambda asked: lookup(asked, crowded), rule)), "links")
     known = kept(components(links, "sets-first"), "known")
     left, right = (known.select(F.col("node").alias(k), F.col("component").alias(f"{k}_c")) for k in ("x", "y"))
     open_pairs = (pairs.select("x", "y").join(best, ["x", "y"], "left_anti").join(left, "x", "left").join(right, "y", "left")
