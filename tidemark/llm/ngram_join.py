@@ -24,6 +24,8 @@ SMALL_REGION = 32
 BLOCK, MOST_BITS = 256, 1 << 15
 #: entries (shingle, document) meant for one bucket
 BUCKET_ENTRIES = 1_000_000
+#: entries that a task holds before it packs them, about
+ENTRIES_AT_ONCE = 200_000
 #: pairs whose sets are in a task's memory together
 COMPARED_AT_ONCE = 500
 _UPPER = bytes(range(256)).translate(bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123))))
@@ -82,9 +84,9 @@ def document_sets(docs: DataFrame, width: int = SHINGLE) -> DataFrame:
 
 
 def _prefix_entries(docs: DataFrame, buckets: int, rule: Threshold, width: int) -> DataFrame:
-    """Rows (kind, bucket, shingles, sets): the prefixes of a batch's distinct sets, as packed arrays per bucket.
+    """Rows (kind, bucket, shingles, sets): the prefixes of a batch's distinct sets, as packed arrays per bucket, some ENTRIES_AT_ONCE at a time.
 
-    Kind 0: shingles (32 bits within the bucket) with their sets' ids. A shingle that more than SMALL_REGION sets of the batch have is in a large
+    Kind 0: shingles (32 bits within the bucket) with their sets' ids. A shingle that more than SMALL_REGION sets packed together have is in a large
     region anyhow: its sets go to kind 1 rows, which are spread evenly, and only a mark (set id -1) to its bucket.
     """
     def entries(batches):
@@ -93,18 +95,8 @@ def _prefix_entries(docs: DataFrame, buckets: int, rule: Threshold, width: int)
         names = ["kind", "bucket", "shingles", "sets"]
         types = [pa.int32(), pa.int32(), pa.binary(), pa.binary()]
         turn = 0
-        for batch in batches:
-            found, seen = [], set()
-            for text in each(batch.column(0)):
-                prints = shingle_set(text, width)
-                size = len(prints)
-                own = _set_id(prints) if size else -1
-                if size and own not in seen:
-                    seen.add(own)
-                    prefix = prints[:rule.prefix(size)]
-                    found.append((prefix, np.full(len(prefix), own)))
-            if not found:
-                continue
+        def packed(found):
+            nonlocal turn
             shingles, sets = (np.concatenate(x) for x in zip(*found))
             order = np.argsort(shingles % np.uint64(buckets), kind="stable")
             values, place, count = np.unique(shingles, return_inverse=True, return_counts=True)
@@ -127,7 +119,24 @@ def _prefix_entries(docs: DataFrame, buckets: int, rule: Threshold, width: int)
                 for a, b in zip(edges[:-1], edges[1:]):
                     part = chosen[a:b]
                     rows.append((0, int(bucket[a]), _low(shingles[part], buckets).tobytes(), sets[part].tobytes()))
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types)], names)
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types)], names)
+
+        for batch in batches:
+            found, seen, held = [], set(), 0
+            for text in each(batch.column(0)):
+                prints = shingle_set(text, width)
+                size = len(prints)
+                own = _set_id(prints) if size else -1
+                if size and own not in seen:
+                    seen.add(own)
+                    prefix = prints[:rule.prefix(size)].copy()
+                    found.append((prefix, np.full(len(prefix), own)))
+                    held += len(prefix)
+                    if held >= ENTRIES_AT_ONCE:
+                        yield packed(found)
+                        found, held = [], 0
+            if found:
+                yield packed(found)
 
     return docs.select("text").mapInArrow(entries, "kind int, bucket int, shingles binary, sets binary")
 
