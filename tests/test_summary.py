@@ -15,6 +15,7 @@ from tidemark.functions.texts import packed, unpacked
 from tidemark.plans import all_queries, all_sql
 from tidemark.sources import bindings
 from tidemark.sources.bindings import Tables
+from tidemark.sources.scratch import FORGET_SHUFFLES
 
 NAME = "gold_investment_summary"
 QUERIES, SQL = all_queries(), all_sql()
@@ -69,11 +70,12 @@ def test_written_tables_leave_no_shuffled_files(spark, folder):
     def files():
         found = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles()
         return {name for i in range(found.size()) if (name := found.apply(i).getName()).startswith("shuffle_")}
-    there = files()
-    Tables(spark, folder).lots()
-    until = time.time() + 20
+    there, before = files(), spark.conf.get(FORGET_SHUFFLES)
+    Tables(spark, folder).written("lots", Tables(spark, folder).dated_lots)
+    assert spark.conf.get(FORGET_SHUFFLES) == before
+    until = time.time() + 2
     while (left := files() - there) and time.time() < until:
-        time.sleep(0.5)
+        time.sleep(0.2)
     assert not left
 
 
