@@ -17,7 +17,7 @@ from tidemark.sources import bindings
 from tidemark.sources.bindings import Tables
 from tidemark.sources.scratch import FORGET_SHUFFLES
 
-NAME = "gold_investment_summary"
+NAME, START = "gold_investment_summary", dt.date(1998, 1, 5)
 QUERIES, SQL = all_queries(), all_sql()
 
 
@@ -81,11 +81,12 @@ def test_written_tables_leave_no_shuffled_files(spark, folder):
 
 def test_money_that_does_not_fit_stays_wide(spark, folder, monkeypatch):
     much = Decimal("123456789012345678.1234")
-    lots = spark.createDataFrame([(1, much, Decimal("1.25")), (2, None, None)], "portfolio_id bigint, market_value decimal(28,4), benchmark_value decimal(22,2)")
+    lots = spark.createDataFrame([(1, START, much, Decimal("1.25")), (2, None, None, None)],
+                                 "portfolio_id bigint, trade_date date, market_value decimal(28,4), benchmark_value decimal(22,2)")
     monkeypatch.setattr(Tables, "dated_lots", lambda self: lots)
     got = Tables(spark, folder).lots()
-    assert dict(got.dtypes) == {"portfolio_id": "bigint", "market_value": "decimal(28,4)", "benchmark_value": "decimal(18,2)"}
-    assert {tuple(r) for r in got.collect()} == {(1, much, Decimal("1.25")), (2, None, None)}
+    assert dict(got.drop("trade_date").dtypes) == {"portfolio_id": "bigint", "market_value": "decimal(28,4)", "benchmark_value": "decimal(18,2)"}
+    assert {tuple(r) for r in got.collect()} == {(1, START, much, Decimal("1.25")), (2, None, None, None)}
 
 
 def test_packed_texts_come_back(spark):
